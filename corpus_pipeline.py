@@ -1,4 +1,58 @@
-STAGES = []
+"""From raw documents to packed sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the runner may
+write it as Parquet and hand the reread rows to the next one. All stages but
+the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import mixing, packing, quality, secret_scan, simhash
+from quern.llm.common import cut
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good."""
+    return quality.reject(docs, quality.fit_on_labels(spark, docs, sf_dir))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found in them replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often (0 to 2 times) as the target weights of the sources take it."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of all documents, placed into sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("simhash_near_dedup", near_dedup),
+    ("secret_scans", mask_secrets),
+    ("mixing_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: No SQL for a trained classifier, token ids or a search; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; between stages the rows go through the shared checkpoint folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, cut(docs) if k else docs, sf_dir)
+    return docs

@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash
+from . import licenses, media, mixing, packing, quality, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op7_media_columns": media.op7_media_columns,
+        "op8_secret_scans": secret_scan.op8_secret_scans,
+        "op9_mixing_sources": mixing.op9_mixing_sources,
+        "op10_license_scans": licenses.op10_license_scans,
     }
 
 
