@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, packing, quality, secret_scan, simhash
+from . import licenses, lm_score, media, mixing, packing, quality, secret_scan, simhash, token_counts, weighted_sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,9 @@ def queries() -> dict[str, Query]:
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op4_token_counts": token_counts.op4_token_counts,
+        "op5_document_fingerprints": weighted_sampling.op5_document_fingerprints,
+        "op6_lm_scoring": lm_score.op6_lm_scoring,
         "op7_media_columns": media.op7_media_columns,
         "op8_secret_scans": secret_scan.op8_secret_scans,
         "op9_mixing_sources": mixing.op9_mixing_sources,
