@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import graphs, merges, reports, retrieval, texts  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
