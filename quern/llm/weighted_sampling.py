@@ -176,20 +176,20 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     terms = words.groupBy("block", "place", F.when(real, F.xxhash64("w")).alias("term")).agg(
         F.sum(F.when(real, F.col("o")).otherwise(0)).alias("original"), F.sum(F.when(real, F.col("e")).otherwise(0)).alias("edited")
     )
-    found = cut(signatures(terms, ["block", "place"], ["original", "edited"], samples))
+    plain = rows.select("block", "place", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    # Joined in one plan, both sides read the same shuffle of the texts.
+    found = cut(signatures(terms, ["block", "place"], ["original", "edited"], samples).join(plain, ["block", "place"]))
     # The next text's signature: the same neighbours, over rows that are small by now.
     order = Window.partitionBy("block").orderBy("place")
     followed = found.withColumn("follower", F.lead("original").over(order))
     firsts = found.where("place = 1").select(_lookup(before, F.col("block")).alias("block"), F.col("original").alias("over"))
-    near = followed.join(firsts, "block", "left").select(
-        "block", "place",
+    return followed.join(firsts, "block", "left").select(
+        "doc_id", "n_chars", "edited_sha256",
         as_hex(F.col("original")).alias("fingerprint"),
         as_hex(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("original"), F.col("edited")).alias("near_edited"),
         likeness(F.col("original"), F.coalesce("follower", "over")).alias("near_next"),
     )
-    plain = rows.select("block", "place", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    return plain.join(near, ["block", "place"]).drop("block", "place")
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
