@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .vectors import char_set
 
@@ -110,21 +112,23 @@ def multiset_scores(counts: DataFrame, key: str, both_empty: float = 1.0) -> Dat
     return counts.select(key, pick(r).alias("recall"), pick(p).alias("precision"), pick(harmonic(p, r)).alias("f1"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """The length of the longest common subsequence of two arrays, row by row of the usual table."""
+@F.pandas_udf(IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The length of the longest common subsequence of two arrays, a row of the usual table at a time, as bits."""
 
-    def row(previous: Column, x: Column) -> Column:
-        start = F.array(F.lit(0))
+    def one(x, y) -> int:
+        x, y = ([] if v is None else v for v in (x, y))
+        at: dict[str, int] = {}
+        for i, word in enumerate(x):
+            at[word] = at.get(word, 0) | 1 << i
+        whole = (1 << len(x)) - 1
+        row = whole
+        for word in y:
+            same = row & at.get(word, 0)
+            row = ((row + same) | (row - same)) & whole
+        return len(x) - row.bit_count()
 
-        def cell(done: Column, j: Column) -> Column:
-            diagonal, above = F.element_at(previous, j), F.element_at(previous, j + 1)
-            value = F.when(F.element_at(b, j) == x, diagonal + 1).otherwise(F.greatest(above, F.element_at(done, -1)))
-            return F.array_append(done, value)
-
-        places = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, start, cell)
-
-    return F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
 def rouge_l(answer: Column, truth: Column) -> Column:

@@ -18,7 +18,7 @@ def merge_entities(rows: DataFrame) -> DataFrame:
     highest confidence stays; sources are distinct, sorted and joined by +.
     """
     best = F.struct(F.col("confidence"), -F.col("pos"))
-    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "properties"))), lambda x: F.map_entries(x["properties"])))
+    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.map_entries("properties").alias("e")))), lambda x: x["e"]))
     last = F.transform(
         F.array_sort(F.array_distinct(F.transform("entries", lambda e: e["key"]))),
         lambda k: F.struct(k.alias("key"), F.element_at(F.filter("entries", lambda e: e["key"] == k), -1)["value"].alias("value")),

@@ -169,48 +169,48 @@ def endpoints(hits: DataFrame, k: int) -> DataFrame:
     return ranked(kept, "qid", [F.col("m.place"), F.col("m.side")], k).select("qid", "id", "rank")
 
 
-def containment(chunks: DataFrame, docs: DataFrame, window: int = 48) -> DataFrame:
-    """Chunks (chunk_id, text) with the first document (doc_id, text) that contains them or is contained: chunk_id, doc_id.
-
-    Instead of comparing all pairs, each text is sampled by content: where one
-    contains the other, the shorter's first `window` characters stand in the
-    longer, so they meet on the hash of that window, which the longer side
-    emits for every place. Texts shorter than the window meet by their whole
-    length. Every candidate is verified.
-    """
-    lengths = sorted({min(window, r[0]) for r in chunks.unionByName(docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text"), allowMissingColumns=True).where("length(text) > 0").select(F.least(F.length("text"), F.lit(window))).distinct().collect()})
-
-    def heads(df: DataFrame, key: str) -> DataFrame:
-        n = F.least(F.length("text"), F.lit(window))
-        return df.where("length(text) > 0").select(key, "text", n.alias("n"), F.xxhash64(F.substring(F.col("text"), F.lit(1), n)).alias("h"))
-
-    def windows(df: DataFrame, key: str) -> DataFrame:
-        each = F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")
-        sized = df.where("length(text) > 0").select(key, "text", each).where("n <= length(text)")
-        at = sized.select(key, "text", "n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("at"))
-        return at.select(key, "text", "n", F.xxhash64(F.substring(F.col("text"), F.col("at"), F.col("n"))).alias("h")).distinct()
-
-    a = heads(chunks, "chunk_id").withColumnRenamed("text", "t").join(windows(docs, "doc_id"), ["n", "h"]).where(F.col("text").contains(F.col("t"))).select("chunk_id", "doc_id")
-    b = heads(docs, "doc_id").withColumnRenamed("text", "t").join(windows(chunks, "chunk_id"), ["n", "h"]).where(F.col("text").contains(F.col("t"))).select("chunk_id", "doc_id")
-    return a.unionByName(b).groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"))
+def _shingle_hashes(words: Column, n: int) -> Column:
+    """A hash of each run of `n` elements."""
+    last = F.size(words) - n + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
 
 
-def containing_pairs(items: DataFrame, docs: DataFrame, window: int = 24) -> DataFrame:
-    """All (item_id, doc_id) whose document text contains the item's text.
+def containing_pairs(items: DataFrame, docs: DataFrame, block: int = 1000) -> DataFrame:
+    """All (item_id, doc_id) whose document text contains the item's (non-empty) text.
 
-    The items are a stated query set: their first `window` characters, as
-    hashes, are what documents' places are looked up by.
+    The parts of an item between its first and last space stand as whole parts
+    in any text that holds it, so up to three of them, as one hash, meet the
+    documents' runs of as many parts in an equi-join; what meets is verified.
+    Items of two parts or fewer are a query set that is compared with all
+    documents in blocks of about `block` items.
     """
-    n = F.least(F.length("text"), F.lit(window))
-    heads = items.where("length(text) > 0").select("item_id", F.col("text").alias("t"), n.alias("n"), F.xxhash64(F.substring(F.col("text"), F.lit(1), n)).alias("h"))
-    lengths = sorted(r[0] for r in heads.select("n").distinct().collect())
-    out = None
-    for size in lengths:
-        places = docs.where(F.length("text") >= size).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - size + 1)).alias("at"))
-        hashed = places.select("doc_id", "text", F.xxhash64(F.substring(F.col("text"), F.col("at"), F.lit(size))).alias("h"))
-        met = hashed.join(heads.where(F.col("n") == size), "h").where(F.col("text").contains(F.col("t"))).select("item_id", "doc_id").distinct()
-        out = met if out is None else out.unionByName(met)
-    return out if out is not None else items.select("item_id").join(docs.select("doc_id"), F.lit(False))
+    parts = lambda: F.split("text", " ")
+    # Columns of their own: within a lambda, an expression is evaluated again for each element.
+    named = items.where("length(text) > 0").select("item_id", F.col("text").alias("t"), F.least(F.lit(3), F.size(parts()) - 2).alias("n"), parts().alias("w"))
+    split = docs.select("doc_id", parts().alias("w"))
+    met = None
+    for n in (1, 2, 3):
+        heads = named.where(F.col("n") == n).select("item_id", "t", F.xxhash64(F.slice("w", 2, n)).alias("h"))
+        places = split.select("doc_id", F.explode(F.array_distinct(_shingle_hashes(F.col("w"), n))).alias("h"))
+        one = places.join(heads, "h").select("item_id", "doc_id", "t")
+        met = one if met is None else met.unionByName(one)
+    out = met.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("t"))).select("item_id", "doc_id")
+    short = named.where("n < 1").select("item_id", "t")
+    blocks = -(-short.count() // block)
+    for k in range(blocks):
+        some = F.broadcast(short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k))
+        out = out.unionByName(docs.join(some, F.col("text").contains(F.col("t"))).select("item_id", "doc_id"))
+    return out.distinct()
+
+
+def containment(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunks (chunk_id, text) with the first document (doc_id, text) that contains them or is contained: chunk_id, doc_id."""
+    a = containing_pairs(chunks.withColumnRenamed("chunk_id", "item_id"), docs).select(F.col("item_id").alias("chunk_id"), "doc_id")
+    b = containing_pairs(docs.withColumnRenamed("doc_id", "item_id"), chunks.withColumnRenamed("chunk_id", "doc_id")).select(
+        F.col("doc_id").alias("chunk_id"), F.col("item_id").alias("doc_id")
+    )
+    return a.unionByName(b).groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 def with_fallback(ids: DataFrame, mapping: DataFrame) -> DataFrame:
