@@ -10,6 +10,9 @@ confirms a structure:
 * pem: the lines between a BEGIN and an END mark of a key decode to der or ssh (or are encrypted);
 * basic: decodes to printable user:password after the word Basic.
 
+A run may follow anything that is no character of its alphabet, '=' included,
+or an escape such as \\n, whose letters are not taken for the run's own.
+
 Everything is decided from one text at a time, so the scan is a single map
 without a shuffle, and a lost executor costs the texts it was reading.
 """
@@ -37,10 +40,16 @@ _ASSIGN = re.compile(
 _NAMES = re.compile("password|passwd|secret|token|api_?key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: The same where the text writes / as \/, as JSON may.
+_SLASHED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]|\\/){24,}={0,2}(?![A-Za-z0-9+/_=-])")
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----\s*([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
-_BASIC = re.compile(r"\b[Bb]asic\x20+([A-Za-z0-9+/]{8,}={0,2})")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----\s*([A-Za-z0-9+/=\s\\:,.-]*?)-----END \1-----")
+_BASIC = re.compile(r"(?:\b|(?<=\\[nrt])|(?<=\\u[0-9a-fA-F]{4}))[Bb]asic\x20+((?:[A-Za-z0-9+/]|\\/){8,}={0,2})")
+#: What follows the backslash of an escape; its letters look like the begin of a run.
+_ESCAPE = re.compile(r"[bfnrt]|u[0-9a-fA-F]{4}")
+_BREAK = re.compile(r"\\+[nrt]|\\+(?=\s)")
+_CODED = re.compile(r"\\+u00(2[bBfF]|3[dD])")
 _HEXES = re.compile(r"[0-9a-fA-F]+")
 
 Span = tuple[str, int, int]
@@ -138,23 +147,42 @@ def structure(run: str) -> str | None:
     return "ssh" if is_ssh(data) else "der" if is_der(data) else None
 
 
+def _starts(text: str, start: int) -> list[int]:
+    """Where the run found at `start` may begin: there, and behind the letters of an escape whose backslash stands before."""
+    escape = _ESCAPE.match(text, start) if start and text[start - 1] == "\\" else None
+    return [start, escape.end()] if escape else [start]
+
+
+def _unescaped(body: str) -> str:
+    """`body` with the escapes of a string literal undone: line breaks, and the base64 characters that may be escaped."""
+    if "\\" not in body:
+        return body
+    body = _CODED.sub(lambda m: chr(int(m.group(1), 16)), _BREAK.sub("\n", body))
+    return body.replace("\\/", "/")
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """The further spans, each confirmed by its structure."""
     out: list[Span] = []
-    for m in _RUN.finditer(text):
-        if kind := structure(m.group()):
-            out.append((kind, *m.span()))
+    for m in (_SLASHED if "\\/" in text else _RUN).finditer(text):
+        for start in _starts(text, m.start()):
+            if kind := structure(text[start : m.end()].replace("\\/", "/")):
+                out.append((kind, start, m.end()))
+                break
     if "eyJ" in text or "ewo" in text or "ey" in text and "." in text:
-        out += [("jwt", *m.span()) for m in _DOTTED.finditer(text) if is_jwt(m.group())]
+        for m in _DOTTED.finditer(text):
+            start = next((a for a in _starts(text, m.start()) if is_jwt(text[a : m.end()])), None)
+            if start is not None:
+                out.append(("jwt", start, m.end()))
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            lines = [x for x in m.group(2).split("\n") if ":" not in x]
+            lines = [x for x in _unescaped(m.group(2)).split("\n") if ":" not in x]
             data = _decoded("".join("".join(lines).split()))
             if data and ("ENCRYPTED" in m.group() or is_der(data) or is_ssh(data)):
                 out.append(("pem", *m.span()))
     if "asic " in text:
         for m in _BASIC.finditer(text):
-            data = _decoded(m.group(1)) or b""
+            data = _decoded(m.group(1).replace("\\/", "/")) or b""
             user, mark, word = data.partition(b":")
             if mark and user and word and all(32 <= b < 127 for b in data):
                 out.append(("basic", *m.span()))
