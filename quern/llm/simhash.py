@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents
@@ -62,20 +62,29 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), a row for each row of `docs`.
+def _hashes() -> list[Column]:
+    """128 bits that stand for a row's text."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2")]
+
+
+def fingerprints(docs: DataFrame, hashes: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long), a row for each row of `docs`; with `hashes` also __h1 and __h2.
 
     A null or empty text has fingerprint 0. Only doc_id and text are read, so
     further columns, whatever their names, do no harm.
     """
+    names = ["doc_id", "fp", *["__h1", "__h2"] * hashes]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint_of(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, fp long")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *_hashes() * hashes
+    )
+    return rows.mapInArrow(each, ", ".join(f"{n} long" for n in names))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -117,6 +126,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _grouped(docs: DataFrame, hashes: bool = False) -> DataFrame:
+    """The rows of fingerprints() with their group: component (one for each) and component_id (its smallest doc_id)."""
+    rows = cut(fingerprints(docs, hashes))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = components(links(distinct.select("fp")))
+    grouped = distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component")
+    )
+    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    classes = grouped.join(least, "component").select("fp", "component", "component_id")
+    return rows.join(classes, "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: a row for each row of `docs`.
 
@@ -125,31 +147,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component; a null doc_id is never the smallest unless all are null. Texts
     without words have fingerprint zero and link like any other.
     """
-    rows = cut(fingerprints(docs))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(distinct.select("fp")))
-    grouped = distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
-    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = grouped.join(least, "component").select("fp", "component_id")
-    return rows.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id stands for its group of near-duplicates.
+    """One row of `docs` for each group of near-duplicates.
 
-    Rows repeated with the same doc_id are kept once (the least by text,
-    source and the other columns by name). Rows without doc_id are kept only
-    where no row of their group has one.
+    It is the one with the smallest doc_id; of several with that doc_id the
+    least by text, source and the other columns by name. Rows without doc_id
+    are kept only where no row of their group has one. A doc_id on texts of
+    several groups can stand for each of them.
     """
-    keep = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    keep = (
+        _grouped(docs, hashes=True)
+        .where("doc_id <=> component_id")
+        .select(F.col("doc_id").alias("__keep"), "__h1", "__h2", F.col("component").alias("__group"))
+        .distinct()
+        .withColumnsRenamed({"__h1": "__k1", "__h2": "__k2"})
+    )
+    h1, h2 = _hashes()
+    same = F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2"))
+    kept = docs.select("*", h1, h2).join(keep, same)
     ordered = [f.name for f in docs.schema if not re.search("map|variant|interval", f.dataType.simpleString())]
     least = F.min_by(F.struct(*docs.columns), F.struct(*sorted(ordered, key=lambda c: (c != "text", c != "source", c))))
-    return kept.groupBy("doc_id").agg(least.alias("row")).select("row.*")
+    return kept.groupBy("__group").agg(least.alias("row")).select("row.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,23 @@ def test_op3_large_buckets(spark):
     assert len(set(pairs)) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
 
 
+def test_one_of_each_row_by_row(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80)) for _ in range(4))
+    rows = [(None, a, 1), (None, b, 1), (None, a, 2), (None, c, 1), (3, c, 1)]  # three groups, one of them with an id
+    rows += [(5, d, 1), (5, c, 1), (5, b.upper(), 1), (5, d, 0), (7, d, 1)]  # an id on texts of three groups
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, a, 1), (5, b.upper(), 1), (3, c, 1), (5, d, 0)], key=repr)
+    many = [(None if i % 2 else 1, f"{a} {i}" if i % 5 else f"{b} {c} {i * 7919}" * 9, i) for i in range(60)]
+    table = spark.createDataFrame(many, "doc_id long, text string, n int")
+    root = _closed(sorted({_fingerprint(t) for _, t, _ in many}))
+    least = {}
+    for i, t, n in many:
+        k = root[_fingerprint(t)]
+        least[k] = min(least.get(k, (True, "~", 0)), (i is None, t, n))
+    assert sorted((r["doc_id"] is None, r["text"], r["n"]) for r in simhash.one_of_each(table).collect()) == sorted(least.values())
+
+
 def test_op2_places_and_ids(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
