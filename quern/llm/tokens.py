@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: The vocabulary's pattern without its look-ahead, which matters only where white space follows white space.
 _PLAIN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 _RUN = re.compile(r"\s\s")
@@ -15,8 +16,10 @@ _RUN = re.compile(r"\s\s")
 class Encoder:
     """ids_bytes(text): the ids of `text` as little-endian unsigned 32-bit numbers.
 
-    They equal those of the `tokenizers` file of the same vocabulary, without
-    special tokens; special tokens' strings in a text are ordinary text. Texts
+    They equal those of the `tokenizers` file of the same vocabulary with
+    add_special_tokens=False: no token is put around a text, but the strings of
+    the file's added tokens have these tokens' ids wherever a text holds them,
+    and the stretches between them are encoded by themselves. Stretches
     without two white-space characters in a row need no look-ahead and go
     through an equivalent pattern that is half as slow.
     """
@@ -25,6 +28,13 @@ class Encoder:
         import public_tokenizers
         import tiktoken
 
+        with open(public_tokenizers.path(TOKENIZER), "rb") as file:
+            added = json.load(file)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens that match by more than their string")
+        self._added = {t["content"]: t["id"] for t in added}
+        longest = sorted(self._added, key=len, reverse=True)
+        self._marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
         with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._plain, self._full = (
@@ -34,6 +44,14 @@ class Encoder:
         )
 
     def ids(self, text: str) -> list[int]:
+        if any(mark in text for mark in self._added):
+            out: list[int] = []
+            for i, part in enumerate(self._marks.split(text)):
+                out += [self._added[part]] if i % 2 else self._ordinary(part)
+            return out
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> list[int]:
         return (self._full if _RUN.search(text) else self._plain)(text)
 
     def ids_bytes(self, text: str) -> bytes:

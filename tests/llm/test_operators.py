@@ -164,6 +164,25 @@ def test_op2_places_and_ids(docs, texts):
     assert len(seq) >= packing.least_bins(counts, 1024)
 
 
+END = "<|endoftext|>"
+MARKED = [f"a {END} b", END, END * 3, f"x  {END}  y\n\n{END}", f"don't{END}'s é漢 {END}\t ", f"{END[:-1]} {END}", f"<{END}>", "word " * 700 + END + " end" * 700, END * 1500]
+
+
+def test_op2_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.packed(spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")).collect()
+    for i, text in enumerate(MARKED):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert 50256 in ids
+        got = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert sum(r["length"] for r in got) == len(ids)
+        for r in got:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
 def test_bin_completion_beats_best_fit():
     counts = {6: 2, 5: 2, 4: 2, 3: 2, 2: 2}  # 40 of 4 x 10
     assert packing.bins_of(packing.complete_bins(counts, 10)) == 4
@@ -295,6 +314,24 @@ def test_op4_equals_full_count(docs):
             assert counted.text == text and counted.n_tokens == len(enc.ids(text))
 
 
+def test_op4_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quern.llm.tokens import encoder
+
+    t, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(9)
+    for text in MARKED[:-1]:
+        counted = token_counts.CountedText(text, encoder(), 16)
+        for _ in range(60):
+            a = rng.randint(0, len(text))
+            b = min(len(text), a + rng.choice([0, 0, 1, 9]))
+            new = rng.choice(["", " ", END, END[:5], END[5:], f" {END} w", "\n"])
+            counted.edit(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert counted.n_tokens == len(t.encode(text, add_special_tokens=False).ids)
+
+
 def test_op1_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
