@@ -86,8 +86,8 @@ def kg_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kg_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, density, components, orphans and clustering in one row."""
-    g = _split_graph(spark, sf_dir)
+    """Counts, density, components, orphans and clustering of the whole trade graph, orders included, in one row."""
+    g = H.trade_graph(spark, sf_dir)
     return H.quality(g, U.components(g.edges, "src", "dst"))
 
 
