@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, remainder
+from .common import documents, free_name, remainder
 
 WORDS, SHAPES, DIMS, ONES, WINDOW = 12288, 4096, 32, 4, 2
 BUCKETS = WORDS + SHAPES
@@ -227,11 +227,22 @@ class Classifier:
 
     @classmethod
     def fit(cls, docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
-        """Word vectors from all of `docs`; the network from at most `sample` of `labelled` (doc_id, label)."""
+        """Word vectors from all of `docs`; the network from at most `sample` of `labelled` (doc_id, label).
+
+        An id of several labels has the largest; one on several texts stands
+        for the text of least hash; ids or labels that are null teach nothing.
+        The sample are the ids of least hash: those beyond a bound that leaves
+        about `sample` of them are dropped where they lie.
+        """
+        known = labelled.where("doc_id is not null and label is not null").select(
+            F.col("doc_id").cast("long").alias("__id"), F.col("label").cast("int").alias("__label")
+        )
+        share = min(1.0, (sample + 6 * sample**0.5) / max(1, known.count()))
+        place = F.shiftrightunsigned(F.xxhash64("__id"), 11) / F.lit(float(1 << 53))
         ids = (
-            labelled.where("doc_id is not null and label is not null")
-            .groupBy(F.col("doc_id").alias("__id"))
-            .agg(F.max("label").alias("label"))
+            known.where(place <= share)
+            .groupBy("__id")
+            .agg(F.max("__label").alias("__label"))
             .orderBy(F.xxhash64("__id"), "__id")
             .limit(sample)
         )
@@ -242,30 +253,35 @@ class Classifier:
                 for at, texts in _slices(batch.column(1)):
                     x = pooling.features(texts).astype(float)
                     part = batch.slice(at, len(texts))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x))], ["doc_id", "label", "x"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(list(x))], ["doc_id", "label", "h", "x"])
 
         # At most `sample` ids of 12 bytes: small enough to broadcast, by the parameter.
-        rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
+            F.broadcast(ids), F.col("doc_id") == F.col("__id")
+        )
         found = (
-            rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label"))
-            .mapInArrow(each, "doc_id long, label int, x array<double>")
+            rows.select("doc_id", "text", F.col("__label").alias("label"), F.xxhash64("text").alias("h"))
+            .mapInArrow(each, "doc_id long, label int, h long, x array<double>")
+            .groupBy("doc_id")  # a row for each sampled id, however many rows have it
+            .agg(F.max("label").alias("label"), F.min_by("x", "h").alias("x"))
             .toPandas()
         )
         if found.empty:
             return cls(pooling, Network.fit(np.zeros((0, 2 * DIMS + 1)), np.zeros(0)))
         x = np.stack(found["x"].to_numpy())
-        order = np.lexsort((x.sum(1), found["doc_id"].to_numpy()))  # whatever order the tasks came in
+        order = np.argsort(found["doc_id"].to_numpy())  # whatever order the tasks came in
         return cls(pooling, Network.fit(x[order], found["label"].to_numpy()[order]))
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """`docs` with the columns score and predicted; any of its own of these names are replaced.
+    def score(self, docs: DataFrame, name: str = "score") -> DataFrame:
+        """`docs` with the column `name`, the probability of a good text; an own column of that name is replaced.
 
-        Null and empty texts get the network's answer to no words at all.
+        Null and empty texts get the network's answer to no words at all;
+        equal texts get equal scores, and repeated rows repeat.
         """
-        own = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+        own = [c for c in docs.columns if c.lower() != name.lower()]
         kept = docs.select(*[F.col(f"`{c}`") for c in own])
-        at = next((i for i, c in enumerate(own) if c == "text"))
-        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema) + "score double"
+        at = own.index("text")
+        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema) + f"`{name}` double"
         pooling, network = self.pooling, self.network
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +289,9 @@ class Classifier:
                 for begin, texts in _slices(batch.column(at)):
                     part = batch.slice(begin, len(texts))
                     scores = network.scores(pooling.features(texts))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*own, "score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*own, name])
 
-        return kept.mapInArrow(each, schema).withColumn("predicted", predicted(F.col("score")))
+        return kept.mapInArrow(each, schema)
 
 
 def predicted(score: Column, threshold: float = THRESHOLD) -> Column:
@@ -289,11 +305,17 @@ def fit_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Classifi
 
 
 def reject(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """The rows of `docs` that are predicted to be of quality, with their own columns."""
-    return classifier.score(docs).where("predicted = 1").select(*docs.columns)
+    """The rows of `docs` that are predicted to be of quality, with all their own columns as they were.
+
+    The score goes under a name that `docs` does not use. Rows without text or
+    words are judged like any other; of repeated rows all stay or none.
+    """
+    name = free_name(docs, "__quality")
+    return classifier.score(docs, name).where(predicted(F.col(name)) == 1).drop(name)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     scored = fit_on_labels(spark, docs, sf_dir).score(docs)
-    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted(F.col("score")).alias("predicted"))
