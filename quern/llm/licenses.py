@@ -15,6 +15,7 @@ is small and travels with the task. The scan is a single map over the rows.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,39 +36,78 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Passages of the public licences, as their notices give them.
+#: Public licences by label, the short ones whole and the long ones by the notices that stand in files.
 TEMPLATES = {
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files, to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial "
-        "portions of the Software",
+        "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
+        "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+        "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+        "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     "apache-2": (
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
-        "compliance with the License. You may obtain a copy of the License at",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+        "compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is "
-        "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See "
+        "the License for the specific language governing permissions and limitations under the License.",
     ),
     "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-        "following disclaimer",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+        "software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "boost": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+        "and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, "
+        "distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
     ),
     "gpl": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation",
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program",
     ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation",
+    ),
     "lgpl": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
         "General Public License as published by the Free Software Foundation",
     ),
     "mpl-2": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
-        "was not distributed with this file, You can obtain one at",
+        "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
     "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
     "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",),
@@ -184,7 +224,8 @@ class Scanner:
         for s in order:  # what ends at a suffix ends here too
             self.ends[s] = ends[s] + self.ends[a.link[s]]
         for s in reversed(order):  # a run occurs wherever a longer one that it ends does
-            self.known[a.link[s]] += self.known[s]
+            if a.length[a.link[s]] >= least:  # shorter runs are no evidence
+                self.known[a.link[s]] += self.known[s]
 
     def scan(self, text: str | None) -> Found:
         words = words_of(text)
@@ -210,7 +251,14 @@ class Scanner:
         return Found(len(words), base, self.chain(runs) if runs else [])
 
     def chain(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Runs of a template in its order, at most `gap` words apart in the text, as spans of it."""
+        """Runs of a template in its order, at most `gap` words apart in the text, as spans of it.
+
+        Each run goes behind the chain that covers most of those it can follow.
+        Runs come in the order of their ends, so a chain that ended over `gap`
+        words ago is closed, and what is open is bounded by `gap` and by how
+        often one run stands in a template. Of the chains that begin with the
+        same run the one that covers most counts.
+        """
         by: dict[int, list[tuple[int, int, int]]] = {}
         for begin, end, state in runs:
             for name, at in self.known[state]:
@@ -219,16 +267,22 @@ class Scanner:
         out = []
         for name, found in by.items():
             label, size = self.sequences[name]
-            open_chains: list[list[int]] = []  # first word, end word, end in the template, words covered
-            for begin, end, at in sorted(found):
+            live: deque[tuple[int, int, int, int]] = deque()  # end word, end in the template, words covered, first word
+            best: dict[int, tuple[int, int]] = {}  # by first word: words covered, end word
+            for begin, end, at in found:
                 n = end - begin
-                fits = [c for c in open_chains if c[1] <= begin <= c[1] + self.gap and c[2] <= at - n]
-                if fits:
-                    best = max(fits, key=lambda c: c[3])
-                    best[1], best[2], best[3] = end, at, best[3] + n
-                else:
-                    open_chains.append([begin, end, at, n])
-            out += [(label, c[0], c[1], c[3] / size) for c in open_chains if c[3] >= self.share * size]
+                while live and live[0][0] + self.gap < begin:
+                    live.popleft()
+                before = (0, 0, 0, begin)
+                for chain in live:
+                    if chain[0] > begin:
+                        break
+                    if chain[1] <= at - n and chain[2] > before[2]:
+                        before = chain
+                grown = (end, at, before[2] + n, before[3])
+                live.append(grown)
+                best[grown[3]] = max(best.get(grown[3], (0, 0)), (grown[2], end))
+            out += [(label, first, end, n / size) for first, (n, end) in best.items() if n >= self.share * size]
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 

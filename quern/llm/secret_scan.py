@@ -6,15 +6,19 @@ confirms a structure:
 
 * jwt: header and payload decode to JSON objects, and the header names an algorithm;
 * der: the bytes are an ASN.1 sequence whose nested lengths add up exactly and that holds integers;
-* ssh: length-prefixed fields, an algorithm's name first, fill the bytes exactly, or an OpenSSH key file's magic leads;
-* pem: the lines between a BEGIN and an END mark of a key decode to der or ssh (or are encrypted);
+* ssh: length-prefixed fields, an algorithm's name first, fill the bytes exactly, or an OpenSSH key file's
+  fields do, with its public keys among them;
+* pem: the lines between a BEGIN and the next END mark of a key decode to der or ssh, or its headers name a
+  cipher, an initial vector of that cipher's size, and the bytes are whole blocks of it;
 * basic: decodes to printable user:password after the word Basic.
 
 A run may follow anything that is no character of its alphabet, '=' included,
 or an escape such as \\n, whose letters are not taken for the run's own.
 
 Everything is decided from one text at a time, so the scan is a single map
-without a shuffle, and a lost executor costs the texts it was reading.
+without a shuffle, and a lost executor costs the texts it was reading. Every
+pattern passes over a text once: its runs are possessive or begin where no run
+goes on, so that no text takes more than time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -40,16 +44,19 @@ _ASSIGN = re.compile(
 _NAMES = re.compile("password|passwd|secret|token|api_?key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A run, its padding, and whether it ends there.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(=*+)(?=([A-Za-z0-9+/_-]?))")
 #: The same where the text writes / as \/, as JSON may.
-_SLASHED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]|\\/){24,}={0,2}(?![A-Za-z0-9+/_=-])")
-_DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----\s*([A-Za-z0-9+/=\s\\:,.-]*?)-----END \1-----")
+_SLASHED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]|\\/){24,}+(=*+)(?=([A-Za-z0-9+/_-]?))")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,60})-----")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s\\:,.-]*+")
+_CIPHER = re.compile(r"(AES-(?:128|192|256)-CBC|DES-(?:EDE3-)?CBC),([0-9A-Fa-f]+)")
 _BASIC = re.compile(r"(?:\b|(?<=\\[nrt])|(?<=\\u[0-9a-fA-F]{4}))[Bb]asic\x20+((?:[A-Za-z0-9+/]|\\/){8,}={0,2})")
 #: What follows the backslash of an escape; its letters look like the begin of a run.
 _ESCAPE = re.compile(r"[bfnrt]|u[0-9a-fA-F]{4}")
-_BREAK = re.compile(r"\\+[nrt]|\\+(?=\s)")
-_CODED = re.compile(r"\\+u00(2[bBfF]|3[dD])")
+_BREAK = re.compile(r"(?<!\\)\\++(?:[nrt]|(?=\s))")
+_CODED = re.compile(r"(?<!\\)\\++u00(2[bBfF]|3[dD])")
 _HEXES = re.compile(r"[0-9a-fA-F]+")
 
 Span = tuple[str, int, int]
@@ -116,17 +123,51 @@ def is_der(data: bytes, least: int = 24) -> bool:
     return keyed and items >= 2
 
 
-def is_ssh(data: bytes) -> bool:
-    """An OpenSSH private key's magic, or two or more length-prefixed fields after a key algorithm's name."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, 0
-    while at + 4 <= len(data):
+_MAGIC = b"openssh-key-v1\0"
+
+
+def _fields(data: bytes, at: int = 0, most: int = 10_000) -> tuple[list[bytes], int]:
+    """The length-prefixed fields from `at` on, up to `most`, and where they end (beyond the data if one is cut off)."""
+    out: list[bytes] = []
+    while at + 4 <= len(data) and len(out) < most:
         n = int.from_bytes(data[at : at + 4], "big")
-        if at == 0 and not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", data[4 : 4 + n]):
-            return False
-        at, fields = at + 4 + n, fields + 1
-    return at == len(data) and fields >= 2
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out, at
+
+
+def is_ssh(data: bytes) -> bool:
+    """Two or more length-prefixed fields, the first a key algorithm's name, or an OpenSSH private key file:
+    cipher, key derivation, its options, a number of keys, as many public keys, and the private part."""
+    if not data.startswith(_MAGIC):
+        found, end = _fields(data)
+        return end == len(data) and len(found) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", found[0]))
+    head, at = _fields(data, len(_MAGIC), 3)
+    if len(head) < 3 or at + 4 > len(data) or not all(re.fullmatch(rb"[a-z0-9@.-]{1,60}", x) for x in head[:2]):
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big")
+    rest, end = _fields(data, at + 4)
+    return end == len(data) and 1 <= keys == len(rest) - 1 and len(rest[-1]) >= 8 and all(is_ssh(k) and not k.startswith(_MAGIC) for k in rest[:-1])
+
+
+def is_encrypted(head: list[str], data: bytes) -> bool:
+    """Headers of an encrypted key: they say so, and cipher, initial vector and length agree."""
+    named = {k.strip(): v.strip() for k, v in (x.split(":", 1) for x in head)}
+    cipher = _CIPHER.fullmatch(named.get("DEK-Info", ""))
+    if not cipher or named.get("Proc-Type", "").replace(" ", "") != "4,ENCRYPTED":
+        return False
+    block = 16 if cipher[1].startswith("AES") else 8
+    return len(cipher[2]) == 2 * block and len(data) >= 16 and len(data) % block == 0
+
+
+def _pem_bodies(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and contents of each BEGIN mark of a key or certificate with the END mark of its name right after it."""
+    begun = None
+    for m in _MARK.finditer(text):
+        if m[1] == "END" and begun and begun[2] == m[2] and ("KEY" in m[2] or "CERTIFICATE" in m[2]):
+            if _BODY.fullmatch(text, begun.end(), m.start()):
+                yield begun.start(), m.end(), text[begun.end() : m.start()]
+        begun = m if m[1] == "BEGIN" else None
 
 
 def is_jwt(token: str) -> bool:
@@ -165,6 +206,8 @@ def confirmed_spans(text: str) -> list[Span]:
     """The further spans, each confirmed by its structure."""
     out: list[Span] = []
     for m in (_SLASHED if "\\/" in text else _RUN).finditer(text):
+        if len(m[1]) > 2 or m[2]:
+            continue
         for start in _starts(text, m.start()):
             if kind := structure(text[start : m.end()].replace("\\/", "/")):
                 out.append((kind, start, m.end()))
@@ -175,11 +218,11 @@ def confirmed_spans(text: str) -> list[Span]:
             if start is not None:
                 out.append(("jwt", start, m.end()))
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            lines = [x for x in _unescaped(m.group(2)).split("\n") if ":" not in x]
-            data = _decoded("".join("".join(lines).split()))
-            if data and ("ENCRYPTED" in m.group() or is_der(data) or is_ssh(data)):
-                out.append(("pem", *m.span()))
+        for start, end, body in _pem_bodies(text):
+            lines = _unescaped(body).split("\n")
+            data = _decoded("".join("".join(x for x in lines if ":" not in x).split()))
+            if data and (is_der(data) or is_ssh(data) or is_encrypted([x for x in lines if ":" in x], data)):
+                out.append(("pem", start, end))
     if "asic " in text:
         for m in _BASIC.finditer(text):
             data = _decoded(m.group(1).replace("\\/", "/")) or b""
