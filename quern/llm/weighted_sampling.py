@@ -8,11 +8,14 @@ the smallest a. Two texts get the same draw with a probability equal to their
 generalised Jaccard similarity, sum of minima over sum of maxima, so the share
 of equal draws estimates it.
 
-A text's neighbour in id order is found without a global sort: a histogram of
-id ranges, of fixed size, cuts the ids into blocks of about BLOCK rows; a
-window orders each block, and the first row of each block is joined to the
-last row of the one before. The texts are shuffled once, by block; counting
-words and taking minima happen where they then lie.
+A text's neighbour in id order is found without a global sort: borders taken
+from a sample of the keys cut the rows into blocks of about BLOCK rows (or
+more, where that would be more than BORDERS blocks); a key is an id, a hash of
+the text and the row's place in the input, so that rows without id and
+repeated ids are split like any others. A window orders each block, and the
+last row of a block is joined to the first row of the next. The texts are
+shuffled once, by block; counting words and taking minima happen where they
+then lie.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents
 
-SAMPLES, BLOCK, CELLS = 32, 512, 1 << 16
+SAMPLES, BLOCK = 32, 512
+#: The most block borders, and the sampled keys for each of them.
+BORDERS, PER_BORDER = 1 << 15, 8
 _GAP = r"[\x20\x09-\x0D]+"
 _NONE = (1 << 63) - 1
 
@@ -97,60 +102,81 @@ def as_hex(signature: Column) -> Column:
     return F.lower(F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
-def blocks(docs: DataFrame, size: int = BLOCK, cells: int = CELLS) -> tuple[Column, list[int]]:
-    """A block number for doc_id, larger ids first and null last, and the numbers of the blocks that have rows.
+_KEY = "struct<n:boolean,i:bigint,h:bigint,m:bigint>"
 
-    The histogram has at most `cells` + 1 counts, whatever the number of rows.
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as '') and key, whose ascending order is that of descending ids, rows without id last."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # ~id turns the order round without overflow; the place tells repeated rows apart.
+    return rows.withColumn("key", F.struct(
+        F.col("doc_id").isNull().alias("n"), F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long"))).alias("i"),
+        F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"),
+    ))
+
+
+def borders(rows: DataFrame, size: int = BLOCK, most: int = BORDERS, seed: int = 3) -> list[str]:
+    """Keys, as JSON and in order, that cut `rows` (with key) into parts of about `size` rows, `most` of them at most.
+
+    They come from a sample whose expected size is PER_BORDER times their
+    number; they decide how even the parts are, and nothing else.
     """
-    low, high, nulls, rows = docs.agg(
-        F.min("doc_id"), F.max("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1)), F.count("*")
-    ).first()
-    if low is None:
-        return F.lit(0), [0] if nulls else []
-    cells = min(cells, max(16, 4 * rows // size))
-    step = float(high - low + 1) / cells
-    cell = F.least(F.floor((F.lit(float(high)) - F.col("doc_id")) / F.lit(step)), F.lit(cells - 1)).cast("int")
-    counts = dict(docs.where("doc_id is not null").groupBy(cell.alias("c")).count().collect())
-    total, of_cell = 0, []
-    for c in range(cells):
-        of_cell.append(total // size)
-        total += counts.get(c, 0)
-    last = of_cell[-1] + 1
-    block = F.coalesce(_lookup(of_cell, cell), F.lit(last))
-    return block, sorted({of_cell[c] for c in counts} | ({last} if nulls else set()))
-
-
-def edited(docs: DataFrame) -> tuple[DataFrame, list[int]]:
+    n = rows.count()
+    parts = min(most, n // size)
+    if parts < 2:
+        return []
+    share = min(1.0, parts * PER_BORDER / n)
+    picked = rows.select("key").sample(share, seed)
+    place = F.row_number().over(Window.orderBy("key"))  # over the sample alone
+    cuts = picked.withColumn("place", place).where(F.col("place") % PER_BORDER == 0).select(F.to_json("key").alias("key"), "place")
+    return [r["key"] for r in cuts.orderBy("place").limit(most).collect()]
+
+
+def block_of(key: Column, cuts: list[str]) -> Column:
+    """How many of the sorted `cuts` are at most `key`: found in three steps of about the cube root of their number."""
+    if not cuts:
+        return F.lit(0)
+    w = 2
+    while w**3 < len(cuts):
+        w += 1
+    level = lambda part: F.from_json(F.lit("[" + ",".join(part) + "]"), f"array<{_KEY}>")
+    below = lambda part: F.size(F.filter(part, lambda x: x <= key))
+    first = below(level(cuts[w * w - 1 :: w * w])) * w
+    second = first + below(F.slice(level(cuts[w - 1 :: w]), first + 1, F.lit(w)))
+    return second * w + below(F.slice(level(cuts), second * w + 1, F.lit(w)))
+
+
+def following(placed: DataFrame, value: str, last: Column) -> DataFrame:
+    """`placed` (block, place, ...) with over: for the last row of a block `value` of the next block's first row,
+    for the last of all that of the first of all, and null for the others."""
+    firsts = placed.where("place = 1").select(F.col("block").alias("__b"), F.col(value).alias("over"))
+    # A row for each block: at most BORDERS + 1.
+    ring = Window.orderBy("__b")
+    blocks = placed.where("place = 1").select(F.col("block").alias("__b"))
+    before = F.coalesce(F.lag("__b").over(ring), F.max("__b").over(Window.partitionBy()))
+    ends = firsts.join(F.broadcast(blocks.select("__b", before.alias("__before"))), "__b")
+    return placed.join(ends.drop("__b"), (F.col("block") == F.col("__before")) & last, "left").drop("__before")
+
+
+def edited(docs: DataFrame) -> DataFrame:
     """block, place, doc_id, text, next (the next text by descending id, the first after the last) and edited.
 
-    Rows of equal id go by text; repeated rows follow each other, and a lone
-    row follows itself. A null text counts as empty, a null id comes last. The
-    second result tells which block comes before a block, the last before the first.
+    Rows of equal id go by the hash of their text, repeated rows follow each
+    other, and a lone row follows itself. A null text counts as empty, a null
+    id comes last.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    block, present = blocks(rows)
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
-    placed = rows.withColumn("block", block).select(
-        "*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("follower")
+    rows = keyed(docs)
+    order = Window.partitionBy("block").orderBy("key")
+    placed = rows.withColumn("block", block_of(F.col("key"), borders(rows))).select(
+        "block", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("follower")
     )
-    before = [0] * (max(present, default=0) + 1)
-    for k, b in enumerate(present):
-        before[b] = present[k - 1]
-    firsts = placed.where("place = 1").select(_lookup(before, F.col("block")).alias("block"), F.col("text").alias("over"))
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
-    following = F.coalesce("follower", "over", F.lit(""))
-    out = (
-        placed.join(firsts, "block", "left")
-        .select("block", "place", "doc_id", "text", following.alias("next"))
+    return (
+        following(placed, "text", F.col("follower").isNull())
+        .select("block", "place", "doc_id", "text", F.coalesce("follower", "over", F.lit("")).alias("next"))
         .withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k)))
     )
-    return out, before
-
-
-def _lookup(values: list[int], index: Column) -> Column:
-    """A short list of numbers as one literal, by 0-based place."""
-    return F.element_at(F.from_json(F.lit(str(values or [0])), "array<int>"), (index + 1).cast("int"))
 
 
 def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -158,8 +184,11 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next, a row for each row of `docs`.
+
+    Null and empty texts have signatures of zeros, which are alike; further
+    columns are not read; an empty table gives an empty one.
     """
-    rows, before = edited(docs)
+    rows = edited(docs)
     n = F.length("text")
     kept = F.regexp_extract(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), r"(?s)^(.*[\x20\x09-\x0D])", 1)
     # Words before the last gap that both forms share are counted once for both.
@@ -181,9 +210,8 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     found = cut(signatures(terms, ["block", "place"], ["original", "edited"], samples).join(plain, ["block", "place"]))
     # The next text's signature: the same neighbours, over rows that are small by now.
     order = Window.partitionBy("block").orderBy("place")
-    followed = found.withColumn("follower", F.lead("original").over(order))
-    firsts = found.where("place = 1").select(_lookup(before, F.col("block")).alias("block"), F.col("original").alias("over"))
-    return followed.join(firsts, "block", "left").select(
+    followed = following(found.withColumn("follower", F.lead("original").over(order)), "original", F.col("follower").isNull())
+    return followed.select(
         "doc_id", "n_chars", "edited_sha256",
         as_hex(F.col("original")).alias("fingerprint"),
         as_hex(F.col("edited")).alias("edited_fingerprint"),
