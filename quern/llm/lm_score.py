@@ -1,31 +1,40 @@
 """Language-model scores from a subword lattice.
 
-An existing subword vocabulary weights all segmentations of a word. Its file
-carries merge ranks instead of probabilities, so the unigram weights are
-measured: the vocabulary's own tokenizer segments each distinct training word,
-and a piece counts once for each place in one of them. (The lattice has to
-answer for new words, which resemble the rare ones, and each rare word is one
-of many.) Pieces that begin
-a word, and pieces or a stop inside one, are two distributions, so that the
-probabilities of all words add up to one. The forward recursion over a word's
-lattice, in log space, gives the sum over all its segmentations; pieces never
-cross words, so a text's marginal is the product over its words and one end.
-A training word is also a single arc of its lattice, weighted by the share of
-training tokens that are not singletons (what a next word is known with).
+An existing subword vocabulary weights all segmentations of a word: pieces
+that begin a word, and pieces, bytes or a stop inside one, are two
+distributions, so that the probabilities of all words add up to one. The
+forward recursion over a word's lattice, in log space, gives the sum over all
+its segmentations; pieces never cross words. The vocabulary's file carries
+ranks instead of probabilities; they give the weights to begin with (falling
+as one over the rank), and ROUNDS rounds of expected counts over all distinct
+training words (forward and backward sums, EM) make them likelihoods. A
+distinct word counts once: the lattice has to answer for new words, which
+resemble the rare ones, and each rare word is one of many.
+
+A text's kind (its language, in the query) is a hidden variable: each of the
+most frequent KINDS - 1 kinds of training rows, and all others together, has
+piece weights and word counts of its own. Within a kind a word is drawn from
+the kind's counts; with the share of tokens that stand alone there (what a next
+word is new with) it is drawn from all kinds' counts or, mostly, spelled by the
+lattice. The text's marginal probability is the sum over kinds of the kind's
+share times the product over its words and one end; the kind of a text to be
+scored is not looked at.
 
 The corpus is counted in a table with one row for each distinct word. What a
-text needs of it is looked up in two ways: the FREQUENT words travel with the
-tasks (a fixed number, of bounded length), which settles most tokens where
-they lie and keeps hot words out of the shuffle; the remaining (text, word)
-pairs meet the table in an equi-join.
+text needs of it is looked up in two ways: the most frequent words (FREQUENT
+at most, of bounded length, by a count that a histogram of counts gives)
+travel with the tasks, which settles most tokens where they lie and keeps hot
+words out of the shuffle; the remaining (text, word) pairs meet the table in
+an equi-join.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +46,10 @@ from .common import cut, documents, remainder
 VOCABULARY = "piece_bpe_32k.model"
 FREQUENT, LONGEST = 131_072, 64
 SMOOTH = 0.1
+#: Kinds of text, the one of all rare kinds included; rounds of expected counts; characters that a lattice covers at once.
+KINDS, ROUNDS, STRETCH = 6, 2, 4096
 _FLUSH = 400_000
+_BATCH = 40_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -45,31 +57,44 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary) and c, its count in the rows whose column `train` is true, for every word of `docs`."""
+def kinds_of(docs: DataFrame, most: int = KINDS) -> list[str]:
+    """The most frequent kinds of the training rows, at most `most` - 1; nulls and all others go together."""
+    if "kind" not in docs.columns or most < 2:
+        return []
+    by = docs.where(F.col("train") & F.col("kind").isNotNull()).groupBy("kind").count()
+    return [r["kind"] for r in by.orderBy(F.desc("count"), "kind").limit(most - 1).collect()]
+
+
+def word_counts(docs: DataFrame, n: int) -> DataFrame:
+    """word (binary) and c (array): its counts by place of the kind in the rows whose `train` is true, for every word.
+
+    `docs` has text, train and at (0 to `n` - 1).
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every: set[bytes] = set()
-        train: Counter[bytes] = Counter()
+        train: list[Counter[bytes]] = [Counter() for _ in range(n)]
 
-        def flush() -> pa.RecordBatch:
-            words = list(every | train.keys())
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array([train[w] for w in words], pa.int64())], ["word", "c"]
-            )
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, part in enumerate([dict.fromkeys(every, 0), *train]):
+                columns = [pa.array(part.keys(), pa.binary()), pa.array([max(k - 1, 0)] * len(part), pa.int32()), pa.array(part.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "at", "n"])
+                part.clear()
             every.clear()
-            train.clear()
-            return out
 
         for batch in batches:
-            for text, of_train in zip(batch.column(0), batch.column(1).to_pylist()):
-                (train if of_train else every).update(tokens_of(text.as_py()))
-                if len(every) + len(train) > _FLUSH:
-                    yield flush()
-        yield flush()
+            for text, of_train, at in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                (train[at] if of_train else every).update(tokens_of(text.as_py()))
+                if len(every) + sum(map(len, train)) > _FLUSH:
+                    yield from flush()
+        yield from flush()
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), "train")
-    return rows.mapInArrow(each, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), "train", "at").mapInArrow(each, "word binary, at int, n long")
+    sums = [F.sum(F.when(F.col("at") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(n)]
+    # Tasks have summed up their words. The table is small beside the work on it, so its parts are set here, not by their bytes.
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, "word").groupBy("word").agg(*sums).select("word", F.array(*[f"c{k}" for k in range(n)]).alias("c"))
 
 
 def _processor(path: str | None):
@@ -79,97 +104,181 @@ def _processor(path: str | None):
     return sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
 
 
-def piece_counts(words: DataFrame, path: str | None = None) -> dict[int, int]:
-    """How often each piece of the vocabulary stands in the distinct training words: a row for each piece at most."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _processor(path)
-        total = np.zeros(sp.get_piece_size())
-        for batch in batches:
-            texts = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            for at in range(0, len(texts), 10_000):
-                ids = np.concatenate([np.array(x, np.int64) for x in sp.encode(texts[at : at + 10_000], num_threads=1)])
-                total += np.bincount(ids, minlength=len(total))
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit].astype(np.int64))], ["piece", "n"])
-
-    found = words.where("c > 0").select("word").mapInArrow(each, "piece long, n long")
-    return {r["piece"]: r["n"] for r in found.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-
-
 @dataclass
 class Lattice:
-    """Natural-log weights of pieces that begin a word, of pieces inside one, of bytes, and of the stop."""
+    """Pieces that begin a word, pieces inside one, bytes and the stop, with natural-log weights for each kind of text.
 
-    first: dict[str, float]
-    inner: dict[str, float]
-    byte: list[float]
-    stop: float
+    `first` and `inner` give a piece's row of `weights`, whose last 257 rows are
+    the bytes and the stop; its columns are the kinds.
+    """
+
+    first: dict[str, int]
+    inner: dict[str, int]
+    weights: np.ndarray
 
     @classmethod
-    def of(cls, counts: dict[int, int], words: int, path: str | None = None) -> Lattice:
-        """Smoothed weights: every piece of the vocabulary has SMOOTH added to its count."""
+    def of_vocabulary(cls, kinds: int = 1, path: str | None = None) -> Lattice:
+        """The vocabulary's pieces, weighted by one over their rank in its file."""
         sp = _processor(path)
-        first, inner, byte = {}, {}, [SMOOTH] * 256
+        first, inner, rank = {}, {}, []
         for i in range(sp.get_piece_size()):
-            piece, n = sp.id_to_piece(i), counts.get(i, 0) + SMOOTH
-            if sp.is_byte(i):
-                byte[int(piece[3:-1], 16)] = n
-            elif sp.is_control(i) or sp.is_unknown(i) or "▁" in piece[1:]:
+            piece = sp.id_to_piece(i)
+            if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or "▁" in piece[1:]:
                 continue
-            elif piece[0] == "▁":
-                first[piece[1:]] = n
-            else:
-                inner[piece] = n
-        begin, inside = math.log(sum(first.values())), math.log(sum(inner.values()) + sum(byte) + words + SMOOTH)
-        return cls(
-            {p: math.log(n) - begin for p, n in first.items()},
-            {p: math.log(n) - inside for p, n in inner.items()},
-            [math.log(n) - inside for n in byte],
-            math.log(words + SMOOTH) - inside,
-        )
+            (first if piece[0] == "▁" else inner)[piece.removeprefix("▁")] = len(rank)
+            rank.append(max(0.0, -sp.get_score(i)))
+        rows = np.concatenate([1.0 / (np.array(rank) + 10.0), np.full(256, 1e-6), [0.5]])
+        return cls(first, inner, np.tile(rows[:, None], kinds)).normalised()
+
+    @property
+    def bytes_at(self) -> int:
+        return len(self.weights) - 257
+
+    def normalised(self, counts: np.ndarray | None = None) -> Lattice:
+        """The lattice of given positive weights (its own, not yet logs, if none), scaled to the two distributions."""
+        rows = self.weights if counts is None else counts
+        begins = np.zeros(len(rows), bool)
+        begins[list(self.first.values())] = True
+        total = np.where(begins[:, None], rows[begins].sum(0), rows[~begins].sum(0))
+        return Lattice(self.first, self.inner, np.log(rows / total))
 
     def __post_init__(self) -> None:
         self.most_first = max(map(len, self.first), default=0)
-        self.most_inner = max(map(len, self.inner), default=1)
-
-    def log_probability(self, word: str) -> float:
-        """The natural log of the sum over all segmentations of `word`; -inf never occurs, as bytes can spell anything."""
-        n, first, inner = len(word), self.first, self.inner
-        none = -math.inf
-        alpha = [none] * (n + 1)
-        for j in range(min(n, self.most_first) + 1):
-            if (w := first.get(word[:j])) is not None:
-                alpha[j] = w
-        log1p, exp, most = math.log1p, math.exp, self.most_inner
-        for i in range(n):
-            a = alpha[i]
-            if a == none:
-                continue
-            for j in range(i + 1, min(n, i + most) + 1):
-                w = inner.get(word[i:j])
-                if w is None:
-                    if j > i + 1:
-                        continue
-                    w = sum(self.byte[b] for b in word[i].encode("utf-8", "surrogatepass"))
-                w += a
-                b = alpha[j]
-                if b == none:
-                    alpha[j] = w
-                else:
-                    alpha[j] = w + log1p(exp(b - w)) if w > b else b + log1p(exp(w - b))
-        return alpha[n] + self.stop
+        #: Every beginning of an inner piece, with the piece's row, or -1 if it is none itself.
+        self.begun = {p[:j]: -1 for p in self.inner for j in range(1, len(p))} | self.inner
+
+    def arcs(self, words: Sequence[str]) -> tuple[np.ndarray, ...]:
+        """The arcs of all words' lattices: from, to (places, each word's own one after the other), row of the weights
+        (below 0: minus one minus a place in the list of spelled characters), and word; that list; and the words' first places.
+
+        From is -1 for an arc that begins a word. Long words are covered in
+        stretches of STRETCH characters; a later one begins at no cost, and no
+        piece crosses into it.
+        """
+        start, end, row, owner, spelled, base = [], [], [], [], [], []
+        first, begun, most_first, at = self.first, self.begun.get, self.most_first, 0
+        for k, word in enumerate(words):
+            n = len(word)
+            base.append(at)
+            for j in range(min(n, most_first) + 1):
+                if (r := first.get(word[:j])) is not None:
+                    start.append(-1)
+                    end.append(at + j)
+                    row.append(r)
+                    owner.append(k)
+            before = len(start)
+            for i in range(n):
+                j, limit, here = i + 1, n if n <= STRETCH else min(n, (i // STRETCH + 1) * STRETCH), at + i
+                r = begun(word[i])
+                if r is None or r < 0:
+                    spelled.append(word[i])
+                    start.append(here)
+                    end.append(here + 1)
+                    row.append(-len(spelled))
+                while r is not None:
+                    if r >= 0:
+                        start.append(here)
+                        end.append(at + j)
+                        row.append(r)
+                    j += 1
+                    if j > limit:
+                        break
+                    r = begun(word[i:j])
+            owner += [k] * (len(start) - before)
+            at += n + 1
+        base.append(at)
+        return (*(np.array(x, np.int64) for x in (start, end, row, owner)), spelled, np.array(base))
+
+    def _costs(self, row: np.ndarray, spelled: list[str]) -> np.ndarray:
+        own = self.weights
+        if spelled:
+            bytes_ = own[self.bytes_at : -1]
+            extra = np.array([bytes_[list(c.encode("utf-8", "surrogatepass"))].sum(0) for c in spelled])
+            own = np.concatenate([own, extra])
+            row = np.where(row < 0, len(self.weights) - 1 - row, row)
+        return own[row]
+
+    def forward(self, arcs: tuple[np.ndarray, ...]) -> np.ndarray:
+        """For each place and kind the log of the sum over all ways there."""
+        start, end, row, owner, spelled, base = arcs
+        return _sums(start, end, self._costs(row, spelled), end - base[owner], np.full((base[-1] + 1, self.weights.shape[1]), -np.inf))
+
+    def log_probabilities(self, words: Sequence[str]) -> np.ndarray:
+        """For each word and kind the natural log of the sum over all segmentations, the stop included."""
+        out = np.zeros((len(words), self.weights.shape[1]))
+        for a, b in _batches(words):
+            arcs = self.arcs(words[a:b])
+            out[a:b] = self.forward(arcs)[arcs[-1][1:] - 1] + self.weights[-1]
+        return out
+
+    def expected(self, words: Sequence[str], times: np.ndarray) -> np.ndarray:
+        """The expected uses of each row of the weights by kind, over `words` that count `times` (words x kinds)."""
+        total = np.zeros_like(self.weights)
+        total[-1] = times.sum(0)
+        for a, b in _batches(words):
+            arcs = self.arcs(words[a:b])
+            start, end, row, owner, spelled, base = arcs
+            cost = self._costs(row, spelled)
+            alpha = self.forward(arcs)
+            beta = np.full_like(alpha, -np.inf)
+            beta[base[1:] - 1] = 0.0
+            inside = start >= 0
+            # The same sums from the ends: places count down, and what is known is kept.
+            _sums(end[inside], start[inside], cost[inside], -(start[inside] - base[owner[inside]]), beta, seeded=True)
+            back = np.where(inside[:, None], alpha[start], 0.0)
+            whole = alpha[base[1:] - 1][owner]
+            with np.errstate(invalid="ignore"):
+                share = np.nan_to_num(np.exp(back + cost + beta[end] - whole)) * times[a:b][owner]
+            plain = row >= 0
+            for k in range(total.shape[1]):
+                total[:, k] += np.bincount(row[plain], share[plain, k], len(total))
+            for r, s in zip(row[~plain].tolist(), share[~plain]):
+                for byte in spelled[-1 - r].encode("utf-8", "surrogatepass"):
+                    total[self.bytes_at + byte] += s
+        return total
+
+
+def _batches(words: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Runs of words of about _BATCH characters."""
+    begin = size = 0
+    for i, w in enumerate(words):
+        size += len(w) + 1
+        if size >= _BATCH:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(words):
+        yield begin, len(words)
+
+
+def _sums(source: np.ndarray, target: np.ndarray, cost: np.ndarray, level: np.ndarray, out: np.ndarray, seeded: bool = False) -> np.ndarray:
+    """Fills `out` at the targets with the log of the sum of exp(out[source] + cost), level after level; source -1 is the start."""
+    order = np.lexsort((target, level))
+    source, target, cost, level = source[order], target[order], cost[order], level[order]
+    if not len(level):
+        return out
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
+    first = np.concatenate([[True], np.diff(target) != 0]) | np.concatenate([[True], np.diff(level) != 0])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        came = cost[a:b] + np.where(source[a:b, None] >= 0, out[source[a:b]], 0.0)
+        begin = np.flatnonzero(first[a:b])
+        at = target[a:b][begin]
+        found = np.logaddexp.reduceat(came, begin, axis=0)
+        out[at] = np.logaddexp(out[at], found) if seeded else found
+    return out
 
 
 @dataclass
 class Model:
-    """What scores a word: corpus totals, the lattice, and the weight of whole-word arcs."""
+    """What scores a word: corpus totals, the lattice, and for each kind its words, its singletons and its share of texts."""
 
     lattice: Lattice
     train_tokens: int  # words and ends
     distinct: int  # words, and the end if there is one
     ends: int
-    known: float  # weight of the whole-word arc
+    words: np.ndarray  # training words by kind
+    single: np.ndarray  # of which distinct ones that stand there once
+    shared: float  # share of those that other kinds know
+    texts: np.ndarray  # training rows by kind
 
     @property
     def base_norm(self) -> float:
@@ -183,53 +292,122 @@ class Model:
         """The share of ends among tokens, within (0, 1)."""
         return (self.ends + SMOOTH) / (self.train_tokens + 2 * SMOOTH)
 
-    def word(self, word: bytes, c: int) -> float:
-        """log10 of the word's marginal probability: its whole-word arc and all its segmentations."""
-        sub = self.lattice.log_probability(word.decode("utf-8", "surrogatepass")) + math.log1p(-self.known)
-        if c and self.known:
-            whole = math.log(self.known * c / (self.train_tokens - self.ends))
-            sub = max(whole, sub) + math.log1p(math.exp(-abs(whole - sub)))
-        return (sub + math.log1p(-self.end)) / math.log(10)
-
+    @property
+    def new(self) -> np.ndarray:
+        """By kind, the share of its tokens that are not drawn from its own counts."""
+        return np.clip((self.single + 1) / (self.words + 1), 1e-3, 1.0)
 
-def fit(docs: DataFrame, path: str | None = None) -> tuple[Model, DataFrame]:
-    """The model of the rows of `docs` (text, train) with `train`, and the table word, c, base, score of all words."""
-    counts = cut(word_counts(docs))
+    @property
+    def kind_shares(self) -> np.ndarray:
+        """log10 of the kinds' shares of texts."""
+        return np.log10((self.texts + 1) / (self.texts.sum() + len(self.texts)))
+
+    def word_scores(self, words: Sequence[bytes], counts: np.ndarray) -> np.ndarray:
+        """log10 of each word's probability by kind, from its `counts` (words x kinds)."""
+        spelled = self.lattice.log_probabilities([w.decode("utf-8", "surrogatepass") for w in words])
+        all_words = max(1, int(self.words.sum()))
+        known = (1 - self.new) * counts / np.maximum(1, self.words) + (self.new * self.shared * counts.sum(1, keepdims=True) / all_words)
+        with np.errstate(divide="ignore"):
+            both = np.logaddexp(np.log(known), spelled + np.log(self.new * (1 - self.shared)))
+        return (both + math.log1p(-self.end)) / math.log(10)
+
+
+def fit(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model of the rows of `docs` (text, train, and kind if there is one) with `train`, and the table
+    word, c (its training count), base, scores (array, by kind) of all words."""
+    names = kinds_of(docs)
+    n = len(names) + 1
+    place = F.lit(n - 1)
+    for k, name in enumerate(names):
+        place = F.when(F.col("kind") == name, k).otherwise(place)
+    rows = docs.select("text", F.coalesce("train", F.lit(False)).alias("train"), (place if names else F.lit(0)).cast("int").alias("at"))
+    counts = cut(word_counts(rows, n))
+    c, whole = F.col("c"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x)
+    once = F.transform(c, lambda x: (x == 1).cast("long"))
     row = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))
-    ).first()
-    ends = docs.where("train").count()
-    words, distinct, single = row
-    known = min(0.999, max(0.0, 1 - (single + 1) / (words + 1)))
-    lattice = Lattice.of(piece_counts(counts, path), distinct, path)
-    model = Model(lattice, words + ends, distinct + (ends > 0), ends, known)
+        F.count(F.when(whole > 0, 1)).alias("distinct"),
+        F.sum(F.aggregate(once, F.lit(0).cast("long"), lambda s, x: s + x)).alias("lone"),
+        F.sum(F.when(whole > 1, F.aggregate(once, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(0)).alias("met"),
+        *[F.coalesce(F.sum(c[k]), F.lit(0)).alias(f"w{k}") for k in range(n)], *[F.coalesce(F.sum(once[k]), F.lit(0)).alias(f"s{k}") for k in range(n)],
+    ).first()
+    texts = dict(rows.where("train").groupBy("at").count().collect())  # a row for each kind
+    ends = sum(texts.values())
+    words = np.array([row[f"w{k}"] for k in range(n)])
+    model = Model(
+        Lattice.of_vocabulary(n, path), int(words.sum()) + ends, row["distinct"] + (ends > 0), ends, words,
+        np.array([row[f"s{k}"] for k in range(n)]), ((row["met"] or 0) + SMOOTH) / ((row["lone"] or 0) + 2 * SMOOTH), np.array([texts.get(k, 0) for k in range(n)]),
+    )
+    for _ in range(rounds):
+        model.lattice = model.lattice.normalised(piece_counts(counts, model.lattice) + SMOOTH)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([model.base(c) for _, c in pairs]), pa.array([model.word(w, c) for w, c in pairs])],
-                ["word", "c", "base", "score"],
-            )
+            words, own = batch.column(0).to_pylist(), _matrix(batch.column(1), n)
+            found, total = model.word_scores(words, own), own.sum(1)
+            base = np.log10((total + SMOOTH) / model.base_norm)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(base), pa.array(list(found), pa.list_(pa.float64()))], ["word", "c", "base", "scores"])
+
+    return model, cut(counts.mapInArrow(each, "word binary, c long, base double, scores array<double>"))
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
-    return model, cut(counts.select("word", "c").mapInArrow(each, "word binary, c long, base double, score double"))
+
+def piece_counts(counts: DataFrame, lattice: Lattice) -> np.ndarray:
+    """The expected uses of all rows of the lattice's weights, over all words that a kind's training rows hold."""
+    n = lattice.weights.shape[1]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros_like(lattice.weights)
+        for batch in batches:
+            own = (_matrix(batch.column(1), n) > 0).astype(float)
+            some = np.flatnonzero(own.any(1))
+            words = batch.column(0).take(pa.array(some)).to_pylist()
+            total += lattice.expected([w.decode("utf-8", "surrogatepass") for w in words], own[some])
+        hit = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(total[hit, k]) for k in range(n))], ["row", *(f"n{k}" for k in range(n))])
+
+    schema = "row long, " + ", ".join(f"n{k} double" for k in range(n))
+    # A row for each piece of the vocabulary at most. Sums of doubles depend on their order in the last digits: round them.
+    found = counts.mapInArrow(each, schema).groupBy("row").agg(*[F.round(F.sum(f"n{k}"), 6).alias(f"n{k}") for k in range(n)]).toPandas()
+    out = np.zeros_like(lattice.weights)
+    out[found["row"].to_numpy(np.int64)] = found[[f"n{k}" for k in range(n)]].to_numpy(float)
+    return out
+
+
+def frequent_words(table: DataFrame, most: int = FREQUENT) -> tuple[list[bytes], np.ndarray]:
+    """The words of count t or more, for the least t that leaves at most `most` of them, with (base, scores...) for each.
+
+    t comes from a histogram of counts in steps of an eighth of a power of two,
+    some 500 rows at most; words over LONGEST bytes stay in the table.
+    """
+    short = table.where((F.length("word") <= LONGEST) & (F.col("c") > 0))
+    step = F.floor(F.log2("c") * 8).cast("int")
+    held, least = 0, None
+    for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+    if least is None:
+        return [], np.zeros((0, 0))
+    found = short.where(step >= least).select("word", "base", "scores").toPandas()
+    return [bytes(w) for w in found["word"]], np.column_stack([found["base"], np.stack(found["scores"].to_numpy())])
 
 
 def scores(docs: DataFrame, model: Model, table: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10) for each row of `docs`.
 
     Null and empty texts are one end. Repeated rows are scored each by itself.
-    `table` holds every word of `docs`. A text's words within `frequent` are
-    settled in its task; the others by a join with `table`.
+    `table` holds every word of `docs`. A text's words among the `frequent`
+    ones are settled in its task; the others by a join with `table`. Further
+    columns are not read; an empty table gives an empty one.
     """
-    top = (
-        table.where((F.length("word") <= LONGEST) & (F.col("c") > 0))
-        .orderBy(F.desc("c"), "word")
-        .limit(frequent)
-        .collect()  # `frequent` words of at most LONGEST bytes
-    )
-    index = {bytes(r["word"]): i for i, r in enumerate(top)}
-    values = np.array([(r["base"], r["score"]) for r in top] + [(0.0, 0.0)])
+    top, values = frequent_words(table, frequent)
+    kinds = len(model.texts)
+    index = {w: i for i, w in enumerate(top)}
+    values = np.concatenate([values.reshape(len(top), kinds + 1), np.zeros((1, kinds + 1))])
     end_base, end_score = model.base(model.ends), math.log10(model.end)
     end_known = int(model.ends > 0)
     lookup = docs.sparkSession.sparkContext.broadcast((index, values))
@@ -247,32 +425,36 @@ def scores(docs: DataFrame, model: Model, table: DataFrame, frequent: int = FREQ
                 tokens = tokens_of(text.as_py())
                 at = np.fromiter((index.get(t, -1) for t in tokens), np.int64, len(tokens))
                 rest = np.flatnonzero(at < 0).tolist()
-                b, s = values[at].sum(0).tolist()
-                put(key, b" %d" % key, 0, doc_id, len(tokens) + 1, len(tokens) - len(rest) + end_known, b + end_base, s + end_score)
+                b, *s = values[at].sum(0).tolist()
+                put(key, b" %d" % key, 0, doc_id, len(tokens) + 1, len(tokens) - len(rest) + end_known, b + end_base, [x + end_score for x in s])
                 for word, n in Counter([tokens[i] for i in rest]).items():
                     put(key, word, n)
-            columns = [pa.array(keys, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+            columns = [pa.array(keys, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "word", "n", "doc_id", "size", "known", "b", "s"])
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-    ).mapInArrow(each, "key long, word binary, n long, doc_id long, size long, known long, b double, s double")
+    ).mapInArrow(each, "key long, word binary, n long, doc_id long, size long, known long, b double, s array<double>")
     # A text's own row goes under a key of its own that is no word, and so meets nothing.
-    met = rows.join(table.select("word", "c", "base", "score"), "word", "left")
+    met = rows.join(table.select("word", "c", "base", "scores"), "word", "left")
     part = lambda own, found: F.sum(F.coalesce(own, F.lit(0)) + F.coalesce(F.col("n") * found, F.lit(0)))
-    return met.groupBy("key").agg(
+    summed = met.groupBy("key").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("size").alias("n_tokens"),
         part(F.col("known"), (F.col("c") > 0).cast("long")).alias("n_known"),
         part(F.col("b"), F.col("base")).alias("base_score"),
-        part(F.col("s"), F.col("score")).alias("score"),
-    ).drop("key")
+        *[part(F.col("s")[k], F.col("scores")[k]).alias(f"s{k}") for k in range(kinds)],
+    )
+    by = [F.col(f"s{k}") + F.lit(float(x)) for k, x in enumerate(model.kind_shares)]
+    most = F.greatest(*by) if kinds > 1 else by[0]
+    score = most + F.log10(reduce(lambda a, b: a + b, [F.pow(F.lit(10.0), x - most) for x in by]))
+    return summed.select("doc_id", "n_tokens", "n_known", "base_score", score.alias("score"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("kind"))
     model, table = fit(docs.withColumn("train", remainder(F.col("doc_id"), 10) != 0))
     return scores(docs, model, table).select(
         "doc_id",

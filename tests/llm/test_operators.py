@@ -209,24 +209,6 @@ def test_op5_brute_force(docs, texts):
         assert same.setdefault(t, got[i]["fingerprint"]) == got[i]["fingerprint"]
 
 
-def test_op6_base_and_lattice(spark, sf_dir, texts):
-    got = {r["doc_id"]: r for r in lm_score.op6_lm_scoring(spark, sf_dir).collect()}
-    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), 0]
-    c = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in words(t))
-    n, v = sum(c.values()), len(c)
-    for i, t in texts.items():
-        w = words(t)
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-    held = [i for i in got if got[i]["held_out"]]
-    # The base gives every unseen word 0.1 of a count, however many there are, so it is no bound; bytes at random are.
-    assert all(-np.log10(256) * (len((texts[i] or "").encode()) + 2) < got[i]["score"] < 0 for i in held)
-    lattice = lm_score.Lattice({"a": -1.0, "ab": -2.0}, {"b": -1.5, "c": -1.0, "bc": -2.5}, [-9.0] * 256, -0.5)
-    ways = [-1.0 - 1.5 - 1.0, -1.0 - 2.5, -2.0 - 1.0]
-    assert lattice.log_probability("abc") == pytest.approx(np.log(np.exp(ways).sum()) - 0.5, abs=1e-3)
-
-
 def test_op7_round_trips(docs, texts):
     rng = np.random.default_rng(1)
     for shape in ((5, 7), (4, 6, 3)):
