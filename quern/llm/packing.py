@@ -3,10 +3,14 @@
 Documents are tokenized where they lie; only (doc_id, piece, length, ...) rows
 go on. What a packing needs to know is how many pieces there are of each
 length: at most `capacity` numbers, however large the corpus. Bin completion
-with branch and bound runs over that histogram on the driver: it takes the
-largest length left, enumerates the undominated fillings around it, applies a
-filling as often as the counts allow at once, prunes by waste bounds, and keeps
-best-fit-decreasing as the first incumbent. Its result is a short list of
+with branch and bound runs over that histogram on the driver. Its first
+incumbent is best-fit decreasing. A search for fewer bins takes the largest
+length left, enumerates the undominated fillings around it by their waste,
+applies each as often as the counts allow and then once, gives up where the
+waste made so far or a lower bound of what is left is too much, and asks
+best-fit to finish what little is left. It runs over all pieces, and then again
+and again over the pieces of a few bins alone, the most wasteful ones and some
+others, which it tries to put into one bin less. Its result is a short list of
 (filling, times). The pieces find their places by rank within their length,
 which Spark counts out by salted windows, so that a length shared by a third
 of all pieces is spread over many tasks.
@@ -14,8 +18,8 @@ of all pieces is spread over many tasks.
 
 from __future__ import annotations
 
+import random
 import zlib
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +31,8 @@ from .common import cut, documents
 from .tokens import encoder
 
 CAPACITY, END_ID = 1024, 2
+#: Nodes of the search in all, and of one try over a few bins; best-fit finishes what holds so many pieces or fewer.
+NODES, TRY_NODES, FEW = 4000, 400, 48
 Plan = list[tuple[tuple[int, ...], int]]
 
 
@@ -89,51 +95,68 @@ def best_fit(counts: Counter[int], capacity: int) -> Plan:
     return [(filling, n) for bins in open_bins for filling, n in bins.items()]
 
 
-def fillings(counts: Counter[int], sizes: list[int], room: int, width: int) -> list[tuple[int, ...]]:
-    """Up to `width` undominated fillings of `room` from the lengths left, least waste first.
-
-    A filling is dominated if another one's pieces can hold its pieces: one
-    that leaves room for a further piece is, and one whose two pieces fit into
-    a single available length is. `sizes` are the lengths left, ascending.
+def sums_of(sizes: list[int], counts: Counter[int], room: int) -> list[int]:
+    """For each place in `sizes` (descending) the sums up to `room` that the sizes from there on can make, as bits."""
+    whole = (1 << (room + 1)) - 1
+    out = [1]
+    for s in reversed(sizes):
+        bits, many, step = out[-1], min(counts[s], room // s), 1
+        while many:
+            take = min(step, many)
+            bits |= bits << (take * s) & whole
+            many -= take
+            step *= 2
+        out.append(bits)
+    return out[::-1]
+
+
+def fillings(counts: Counter[int], room: int, waste: int) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of `room` from the lengths left that waste at most `waste`, least waste first.
+
+    Of equal waste those with longer pieces come first. A filling is dominated
+    if some of its pieces (two or more, or one that is shorter) could be
+    swapped for one piece that is left and no smaller than they are together,
+    within the room.
     """
-    fit = bisect_right(sizes, room)
-    if not fit:
-        return [()]
-    best: dict[tuple[int, ...], int] = {}
-    single = sizes[fit - 1]
-    if single == room:
-        return [(single,)]
-
-    def grow(taken: tuple[int, ...], left: int, most: int, depth: int) -> None:
-        k = bisect_right(sizes, min(left, most))
-        tried = 0
-        if not k or not depth:
-            if taken:
-                best.setdefault(taken, left)
-            return
-        while k and tried < width:
-            k -= 1
-            size = sizes[k]
-            if counts[size] - taken.count(size) < 1:
-                continue
-            tried += 1
-            rest = left - size
-            if not rest or rest < sizes[0]:
-                best.setdefault(taken + (size,), rest)
-            else:
-                grow(taken + (size,), rest, size, depth - 1)
-            if len(best) > 8 * width * width:
+    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
+    reach = sums_of(sizes, counts, room)
+
+    def grow(at: int, left: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        while left:
+            # The next length from which on `left` can still be made; each is tried as often as it goes, then less often.
+            while sizes[at] > left:
+                at += 1
+            s = sizes[at]
+            for k in range(min(counts[s], left // s), 0, -1):
+                if reach[at + 1] >> (left - k * s) & 1:
+                    yield from grow(at + 1, left - k * s, taken + (s,) * k)
+            at += 1
+            if not reach[at] >> left & 1:
                 return
-
-    grow((), room, room, 8)
-    found = sorted(best, key=lambda f: (best[f], len(f), [-x for x in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(len(k) <= len(f) and all(a >= b for a, b in zip(k, f)) and len(k) == len(f) for k in kept):
-            kept.append(f)
-        if len(kept) == width:
-            break
-    return kept
+        yield taken
+
+    for lost in range(min(waste, room) + 1):
+        if reach[0] >> (room - lost) & 1:
+            for filling in grow(0, room - lost, ()):
+                if not dominated(filling, counts, lost):
+                    yield filling
+
+
+def dominated(filling: tuple[int, ...], counts: Counter[int], lost: int) -> bool:
+    """Whether a piece left besides `filling`, which leaves `lost` of its room, could stand for some of its pieces (see fillings)."""
+    one, many = 0, 0  # sums of one piece, and of several, as bits
+    for s in filling:
+        many |= (many | one) << s
+        one |= 1 << s
+    used = Counter(filling)
+    spread = 0
+    for k in range(lost + 1):
+        spread |= many << k | (one << k if k else 0)
+    free = 0
+    for s, n in counts.items():
+        if n > used.get(s, 0):
+            free |= 1 << s
+    return bool(spread & free)
 
 
 def bins_of(plan: Plan) -> int:
@@ -159,83 +182,122 @@ def least_bins(counts: Counter[int], capacity: int) -> int:
     return best
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, width: int = 6, nodes: int = 20_000) -> Plan:
-    """(filling, times) pairs that pack `counts` pieces of each length, in as few bins as were found.
+def search(counts: Counter[int], capacity: int, target: int, nodes: int) -> tuple[Plan | None, int]:
+    """A plan of at most `target` bins, if one is met within `nodes` nodes, and the nodes it took.
 
-    Depth-first over the fillings of the largest length left, pruned where the
-    waste so far and the total left can't beat the incumbent. Stops at a proven
-    optimum or after `nodes` nodes; the incumbent then is the result. All
-    pieces are packed in any case.
+    Depth first, always around the largest length left. Without a limit the
+    search would meet a plan whenever there is one.
     """
-    counts = Counter({s: n for s, n in counts.items() if n})
-    if not counts:
-        return []
-    if min(counts) < 1 or max(counts) > capacity:
-        raise ValueError("lengths must lie between 1 and the capacity")
-    best = best_fit(counts, capacity)
-    bound = least_bins(counts, capacity)
-    if bins_of(best) == bound:
-        return best
-    left, plan, used = Counter(counts), [], 0
-    total = sum(s * n for s, n in left.items())
-    sizes = sorted(left)
-    stack: list[tuple[Iterator[tuple[int, ...]], tuple[tuple[int, ...], int] | None]] = []
-
-    def options() -> Iterator[tuple[int, ...]]:
-        top = sizes[-1]
-        left[top] -= 1
-        rest = sizes if left[top] else sizes[:-1]
-        out = [(top, *f) for f in (fillings(left, rest, capacity - top, width) if rest else [()])]
-        left[top] += 1
-        return iter(out)
+    left, plan, used, total, spent = Counter(counts), [], 0, sum(s * n for s, n in counts.items()), 0
+
+    def options() -> Iterator[tuple[tuple[int, ...], int]]:
+        top = max(s for s, n in left.items() if n)
+        slack = (target - used) * capacity - total  # what may still be wasted
+        rest = Counter({s: n - (s == top) for s, n in left.items() if n - (s == top)})
+        for f in fillings(rest, capacity - top, slack):
+            filling = (top, *f)
+            waste = capacity - sum(filling)
+            times = min(left[s] // k for s, k in Counter(filling).items())
+            times = min(times, slack // waste) if waste else times
+            yield filling, times
+            if times > 1:
+                yield filling, 1
 
     def put(filling: tuple[int, ...], times: int) -> None:
         nonlocal total, used
         for s, k in Counter(filling).items():
             left[s] -= k * times
-            if left[s] == 0:
-                sizes.remove(s)
         total -= sum(filling) * times
         used += times
 
-    def take_back(filling: tuple[int, ...], times: int) -> None:
-        nonlocal total, used
-        for s, k in Counter(filling).items():
-            if left[s] == 0:
-                sizes.insert(bisect_right(sizes, s), s)
-            left[s] += k * times
-        total += sum(filling) * times
-        used -= times
-
-    stack.append((options(), None))
-    while stack and nodes > 0:
-        choices, made = stack[-1]
-        filling = next(choices, None)
-        if filling is None:
+    stack = [options()] if total else []
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
             stack.pop()
-            if made:
-                take_back(*made)
-                plan.pop()
+            if plan:
+                filling, times = plan.pop()
+                put(filling, -times)
             continue
-        nodes -= 1
-        times = min(left[s] // k for s, k in Counter(filling).items())
-        put(filling, times)
-        plan.append((filling, times))
-        if used + -(-total // capacity) >= bins_of(best):
-            take_back(filling, times)
-            plan.pop()
-            continue
-        if not sizes:
-            best = list(plan)
-            if used == bound:
-                break
-            take_back(filling, times)
+        spent += 1
+        put(*step)
+        plan.append(step)
+        if not total:
+            return plan, spent
+        if sum(left.values()) <= FEW and used + bins_of(end := best_fit(Counter({s: n for s, n in left.items() if n}), capacity)) <= target:
+            return plan + end, spent
+        if spent >= nodes:
+            break
+        if used + least_bins(left, capacity) > target:
             plan.pop()
+            put(step[0], -step[1])
             continue
-        stack.append((options(), (filling, times)))
+        stack.append(options())
+    return None, spent
+
+
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, seed: int = 5) -> Plan:
+    """(filling, times) pairs that pack `counts` pieces of each length, in as few bins as were found.
+
+    Stops at a proven optimum (the lower bound) or after `nodes` nodes; the
+    incumbent then is the result. All pieces are packed in any case, and
+    equal counts give equal plans.
+    """
+    counts = Counter({s: n for s, n in counts.items() if n})
+    if not counts:
+        return []
+    if min(counts) < 1 or max(counts) > capacity:
+        raise ValueError("lengths must lie between 1 and the capacity")
+    best, bound = best_fit(counts, capacity), least_bins(counts, capacity)
+    if bins_of(best) > bound:
+        found, spent = search(counts, capacity, bound, nodes // 3)
+        best = found or fewer_by_few(best, capacity, bound, nodes - spent, seed)
     return best
 
 
+def fewer_by_few(plan: Plan, capacity: int, bound: int, nodes: int, seed: int) -> Plan:
+    """`plan` after tries to put the pieces of a few of its bins into one bin less, until it has `bound` bins.
+
+    Half of the few are the most wasteful ones, the others are drawn from `seed`.
+    """
+    rng = random.Random(seed)
+    best: Counter[tuple[int, ...]] = Counter()
+    for f, n in plan:
+        best[tuple(sorted(f, reverse=True))] += n
+    size, tries, spent = 16, 0, 0
+    while best.total() > bound and spent < nodes:
+        chosen: Counter[tuple[int, ...]] = Counter()
+        for f, n in sorted(best.items(), key=lambda x: (sum(x[0]), x)):  # the most wasteful
+            chosen[f] += min(n, max(1, size // 8), size // 2 - chosen.total())
+            if chosen.total() >= size // 2:
+                break
+        others = sorted((best - chosen).items())
+        while chosen.total() < size and others:
+            k = rng.randrange(len(others))
+            f, n = others[k]
+            chosen[f] += 1
+            others[k : k + 1] = [(f, n - 1)] if n > 1 else []
+        pieces_ = Counter()
+        for f, n in chosen.items():
+            for s, k in Counter(f).items():
+                pieces_[s] += k * n
+        found, took = None, 1
+        if least_bins(pieces_, capacity) < chosen.total():
+            found, took = search(pieces_, capacity, chosen.total() - 1, min(TRY_NODES, nodes - spent))
+        spent, tries = spent + took, tries + 1
+        if found:
+            times = min(best[f] // n for f, n in chosen.items())  # as often as the same bins are there
+            for f, n in chosen.items():
+                best[f] -= n * times
+            for f, n in found:
+                best[tuple(sorted(f, reverse=True))] += n * times
+            best = +best
+            size, tries = 16, 0
+        elif tries % 4 == 0:  # more bins, and from the beginning when all have been tried
+            size = 16 if size >= best.total() or size >= 1024 else size * 2
+    return list(best.items())
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """`items`, which have a column `length` (1 to `capacity`), with sequence_id and offset.
 
