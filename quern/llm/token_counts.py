@@ -1,18 +1,25 @@
 """Edit-aware token counts.
 
-A text is kept as leaves: runs of pre-tokens of about LEAF characters, cut
-only before a space that stands between two characters that are no white
-space, where the vocabulary's pattern always begins a new pre-token. A segment
-tree over the leaves holds sums of characters and tokens. An edit finds its
-leaves by descending the tree, encodes again only those it touches (and a
-neighbour, where the characters that make a cut safe change), and updates the
-sums above them; everything else keeps its counts.
+A text is kept as leaves of about LEAF characters. Most are cut between a
+character that is no white space and one that is: there the vocabulary's
+pattern always begins a new pre-token. Where no such place comes for a long
+time (scripts written without spaces, runs of one letter or sign) a leaf is
+cut within a pre-token, between two tokens of it. Such a cut holds while the
+two tokens beside it are still how the vocabulary writes their bytes, because
+merging by rank gives a sequence of tokens exactly if it gives each two
+neighbours among them.
+
+A segment tree over the leaves holds sums of characters and tokens. An edit
+finds its leaves by descending the tree, encodes again those it touches, and
+further ones beside them as long as the cut to the next one doesn't hold; it
+then updates the sums above. Everything else keeps its counts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,36 +29,101 @@ from .common import documents
 from .tokens import Encoder, encoder
 
 LEAF = 256
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Without a safe place within so many leaves' length a cut is made within a pre-token.
+PATIENCE = 4
+#: What a leaf beside such a cut has at least: more than an added token or a contraction reaches over it.
+LEAST = 16
+_BLANKS = " \t\n\r\f\v"
+_CUT = re.compile(rf"(?<=\S)(?=[{_BLANKS}])")
+#: Characters of which the vocabulary's pattern takes any number into one pre-token: letters, digits, signs.
+_CLASSES = re.compile(
+    "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f\u0e01-\u0e30\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3])"
+    r"|([0-9])|([!-&(-/:-@\[-`{-~])"
+)
 Edit = tuple[int, int, str]
 
 
-def leaves_of(text: str, leaf: int = LEAF) -> list[str]:
-    """The text in pieces of `leaf` characters or a little more, cut at safe places only."""
-    out, at = [], 0
-    while len(text) - at > leaf and (cut := _CUT.search(text, at + leaf)):
-        out.append(text[at : cut.start()])
-        at = cut.start()
-    if at < len(text) or not out:
-        out.append(text[at:])
+class Leaf(NamedTuple):
+    text: str
+    n: int  # tokens
+    first: int  # the first token's id, -1 for no text
+    last: int
+
+
+def _kind(char: str) -> int:
+    found = _CLASSES.fullmatch(char)
+    return found.lastindex if found else 0
+
+
+def holds(left: str, right: str, marks: Sequence[str]) -> bool:
+    """Whether a cut between `left` and `right` within a pre-token can hold, by their characters."""
+    if len(left) < LEAST or len(right) < LEAST or not _kind(left[-1]) == _kind(right[0]) > 0 or "'" in left[-3:]:
+        return False
+    around = left[1 - LEAST :] + right[: LEAST - 1]
+    return all(m not in around for m in marks)
+
+
+def encoded(text: str, enc: Encoder) -> Leaf:
+    ids = enc.ids(text)
+    return Leaf(text, len(ids), ids[0], ids[-1]) if ids else Leaf(text, 0, -1, -1)
+
+
+def within(text: str, enc: Encoder, leaf: int = LEAF) -> list[Leaf]:
+    """The leaves of a text that is to be cut between its tokens, as far as such cuts hold."""
+    ids, marks = enc.ids(text), enc.marks
+    out: list[Leaf] = []
+    data = text.encode("utf-8", "surrogatepass")
+    begin = at = chars = begin_chars = begin_id = 0
+    for k, i in enumerate(ids):
+        # A token may end within a character; a cut needs a whole one.
+        if k > begin_id and chars - begin_chars >= leaf and at < len(data) and data[at] & 0xC0 != 0x80:
+            left, right = text[max(begin_chars, chars - LEAST) : chars], text[chars : chars + LEAST]
+            if holds(left, right, marks):
+                out.append(Leaf(text[begin_chars:chars], k - begin_id, ids[begin_id], ids[k - 1]))
+                begin, begin_chars, begin_id = at, chars, k
+        part = enc.token(i)
+        at += len(part)
+        chars += sum(byte & 0xC0 != 0x80 for byte in part)
+    out.append(Leaf(text[begin_chars:], len(ids) - begin_id, ids[begin_id] if ids else -1, ids[-1] if ids else -1))
     return out
 
 
+def leaves_of(text: str, enc: Encoder, leaf: int = LEAF) -> list[Leaf]:
+    """The text in leaves of `leaf` characters or a little more."""
+    out: list[Leaf] = []
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + leaf)
+        end = cut.start() if cut else len(text)
+        if end - at > PATIENCE * leaf and max(map(len, enc.marks), default=0) < LEAST:
+            out += within(text[at:end], enc, leaf)
+        else:
+            out.append(encoded(text[at:end], enc))
+        at = end
+    return out or [Leaf("", 0, -1, -1)]
+
+
 class CountedText:
     """A text whose number of tokens stays known while it is edited."""
 
     def __init__(self, text: str, enc: Encoder, leaf: int = LEAF):
         self._encoder, self._leaf = enc, leaf
         self.encoded = 0  # characters encoded so far
-        self._build([(t, self._tokens(t)) for t in leaves_of(text, leaf)])
+        self._build(self._leaves_of(text))
 
-    def _tokens(self, text: str) -> int:
+    def _leaves_of(self, text: str) -> list[Leaf]:
         self.encoded += len(text)
-        return len(self._encoder.ids(text))
+        return leaves_of(text, self._encoder, self._leaf)
+
+    def _joins(self, left: Leaf, right: Leaf) -> bool:
+        """Whether the tokens of two leaves side by side are those of their texts in one."""
+        if right.text[0] in _BLANKS and not left.text[-1].isspace():
+            return True
+        return holds(left.text, right.text, self._encoder.marks) and self._encoder.stay_apart(left.last, right.first)
 
-    def _build(self, leaves: list[tuple[str, int]]) -> None:
+    def _build(self, leaves: list[Leaf]) -> None:
         self._size = 1 << max(0, len(leaves) - 1).bit_length()
-        self._leaves: list[list[tuple[str, int]]] = [[x] for x in leaves] + [[] for _ in range(self._size - len(leaves))]
+        self._leaves: list[list[Leaf]] = [[x] for x in leaves] + [[] for _ in range(self._size - len(leaves))]
         self._sums = [(0, 0)] * (2 * self._size)
         for i in range(self._size):
             self._sums[self._size + i] = self._sum(i)
@@ -59,13 +131,13 @@ class CountedText:
             self._sums[i] = self._add(i)
 
     def _sum(self, i: int) -> tuple[int, int]:
-        return sum(len(t) for t, _ in self._leaves[i]), sum(n for _, n in self._leaves[i])
+        return sum(len(x.text) for x in self._leaves[i]), sum(x.n for x in self._leaves[i])
 
     def _add(self, i: int) -> tuple[int, int]:
         (a, b), (c, d) = self._sums[2 * i], self._sums[2 * i + 1]
         return a + c, b + d
 
-    def _set(self, i: int, leaves: list[tuple[str, int]]) -> None:
+    def _set(self, i: int, leaves: list[Leaf]) -> None:
         self._leaves[i] = leaves
         i += self._size
         self._sums[i] = self._sum(i - self._size)
@@ -83,7 +155,7 @@ class CountedText:
 
     @property
     def text(self) -> str:
-        return "".join(t for slot in self._leaves for t, _ in slot)
+        return "".join(x.text for slot in self._leaves for x in slot)
 
     def _slot(self, at: int) -> tuple[int, int]:
         """The slot that holds the character at `at`, and where that slot begins."""
@@ -101,28 +173,47 @@ class CountedText:
         n = self.n_chars
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
-        # The characters that decide whether the cuts around are safe, and one more on either side.
-        first, begin = self._slot(max(0, start - 2))
-        last, last_begin = self._slot(min(max(0, n - 1), end + 1)) if n else (first, begin)
-        old = [x for slot in self._leaves[first : last + 1] for x in slot]
-        # Leaves of these slots that lie wholly outside keep their counts.
-        head, tail = 0, len(old)
-        at = begin
-        while head < tail and at + len(old[head][0]) < start - 1 and head + 1 < tail:
-            at += len(old[head][0])
-            head += 1
-        stop = last_begin + self._sums[self._size + last][0]
-        while tail - 1 > head and stop - len(old[tail - 1][0]) > end + 1:
-            stop -= len(old[tail - 1][0])
-            tail -= 1
-        region = "".join(t for t, _ in old[head:tail])
-        changed = region[: start - at] + new + region[end - at :]
-        fresh = [(t, self._tokens(t)) for t in leaves_of(changed, self._leaf)] if changed else []
+        # The leaves around these places are encoded again; they move outward until the cuts beside the leaves hold,
+        # by twice as much each time, so that a run whose tokens all shift is encoded a few times at most.
+        low, high, more = max(0, start - 1), min(n, end + 1), 1
+        while True:
+            first, begin = self._slot(low)
+            last, stop = self._slot(max(low, high - 1)) if n else (first, begin)
+            stop += self._sums[self._size + last][0]
+            old = [x for slot in self._leaves[first : last + 1] for x in slot]
+            head, tail = 0, len(old)
+            while head < tail and begin + len(old[head].text) <= low:
+                begin += len(old[head].text)
+                head += 1
+            while tail > head and stop - len(old[tail - 1].text) >= high:
+                stop -= len(old[tail - 1].text)
+                tail -= 1
+            region = "".join(x.text for x in old[head:tail])
+            changed = region[: start - begin] + new + region[end - begin :]
+            fresh = self._leaves_of(changed) if changed else []
+            row = [*self._beside(old, head - 1, first, -1), *fresh, *self._beside(old, tail, last, 1)]
+            left_ok = begin == 0 or len(row) < 2 or self._joins(row[0], row[1])
+            right_ok = stop == n or len(row) < 2 or self._joins(row[-2], row[-1])
+            if left_ok and right_ok:
+                break
+            low, high = low if left_ok else max(0, begin - more), high if right_ok else min(n, stop + more)
+            more = max(2 * more, self._leaf)
         for i in range(first + 1, last + 1):
             self._set(i, [])
         self._set(first, old[:head] + fresh + old[tail:])
         if len(self._leaves[first]) > 16:  # leaves gather in one slot: lay them out again, at no encoding
-            self._build([x for slot in self._leaves for x in slot if x[0]] or [("", 0)])
+            self._build([x for slot in self._leaves for x in slot if x.text] or [Leaf("", 0, -1, -1)])
+
+    def _beside(self, old: list[Leaf], at: int, slot: int, step: int) -> list[Leaf]:
+        """The leaf at `at` of `old`, or else the nearest one before (step -1) or behind `slot`; none at the text's ends."""
+        if 0 <= at < len(old):
+            return [old[at]]
+        slot += step
+        while 0 <= slot < self._size:
+            if found := [x for x in self._leaves[slot] if x.text]:
+                return [found[0 if step > 0 else -1]]
+            slot += step
+        return []
 
 
 def edited_counts(rows: DataFrame) -> DataFrame:

@@ -37,11 +37,26 @@ class Encoder:
         self._marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
         with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._plain, self._full = (
+        self._names = {i: mark.encode() for mark, i in self._added.items()}
+        plain, self._core = (
             # The list of ids as it comes, without the wrapper's second pass over the text.
-            tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+            tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe
             for p in (_PLAIN, public_tokenizers.PATTERN)
         )
+        self._plain, self._full = plain.encode_ordinary, self._core.encode_ordinary
+
+    @property
+    def marks(self) -> list[str]:
+        """The strings of the added tokens."""
+        return list(self._added)
+
+    def token(self, i: int) -> bytes:
+        """The bytes that a token stands for."""
+        return self._names.get(i) or self._core.decode_single_token_bytes(i)
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether token `b` right after token `a` within one pre-token is how the vocabulary writes their bytes."""
+        return self._core.encode_single_piece(self.token(a) + self.token(b)) == [a, b]
 
     def ids(self, text: str) -> list[int]:
         if any(mark in text for mark in self._added):
