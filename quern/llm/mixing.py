@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, documents, numbered
 
 WEIGHTS, SHARE, CAP, GROUP = (5, 2, 1), 1.5, 2.0, 256
+RUN = 4096
 _KEY = ("doc_id", "source", "size")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and size (words; 0 for null), with copies told apart by nth (from 1).
 
-    Rows alike in these three are interchangeable, so each is counted and laid out again.
+    Rows alike in these three are interchangeable, so each is counted and laid
+    out again, RUN at a time, so that no array grows with their number.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -37,7 +39,9 @@ def sized(docs: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     counted = rows.groupBy(*_KEY).agg(F.count("*").alias("n"))
-    return counted.select(*_KEY, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))
+    begun = counted.select(*_KEY, "n", F.explode(F.transform(runs, lambda k: k * RUN)).alias("before"))
+    return begun.select(*_KEY, F.explode(F.sequence(F.col("before") + 1, F.least(F.col("n"), F.col("before") + RUN))).alias("nth"))
 
 
 def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:

@@ -234,21 +234,6 @@ def test_op8_escapes_need_structure():
     assert secret_scan.spans_of("\\n" + PKCS8) == [("der", 2, 2 + len(PKCS8))]
 
 
-def test_op9_targets(docs):
-    rows = mixing.mixed(docs).collect()
-    again = mixing.mixed(docs.repartition(7)).collect()
-    assert sorted(map(repr, rows)) == sorted(map(repr, again))
-    taken, most, target = Counter(), Counter(), {}
-    for r in rows:
-        taken[r["source"]] += r["copies"] * r["size"]
-        most[r["source"]] = max(most[r["source"]], r["size"])
-        target[r["source"]] = r["target"]
-        assert 0 <= r["copies"] <= 2
-    total = sum({r["source"]: r["source_size"] for r in rows}.values())
-    assert sum(target.values()) == pytest.approx(1.5 * total)
-    assert all(abs(taken[s] - target[s]) <= most[s] for s in target)
-
-
 def test_op4_added_tokens():
     import public_tokenizers
     from tokenizers import Tokenizer
