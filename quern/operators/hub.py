@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
+from .lineage import cut
 
 
 @dataclass(frozen=True)
@@ -209,11 +210,11 @@ def clustering(edges: DataFrame) -> DataFrame:
     Triangles are found once, from the end of smaller degree on, so that a hub
     contributes its neighbours' few pairs and not all pairs of its own.
     """
-    pairs = both_ways(edges).select("src", "dst")
+    pairs = cut(both_ways(edges).select("src", "dst"))
     deg = pairs.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "id")
     rank = lambda c: F.struct(f"{c}_degree", c)
     ranked = pairs.join(deg.withColumnsRenamed({"id": "src", "degree": "src_degree"}), "src").join(deg.withColumnsRenamed({"id": "dst", "degree": "dst_degree"}), "dst")
-    up = ranked.where(rank("src") < rank("dst")).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("dst_degree", "dst").alias("rb"))
+    up = cut(ranked.where(rank("src") < rank("dst")).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("dst_degree", "dst").alias("rb")))
     wedge = up.alias("x").join(up.alias("y"), F.col("x.a") == F.col("y.a")).where("x.rb < y.rb").select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("y.b").alias("c"))
     closed = wedge.join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_semi")
     per = closed.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))

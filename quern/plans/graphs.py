@@ -11,33 +11,37 @@ from ..operators import traverse as V
 from .registry import query
 
 _G = """
-WITH RECURSIVE nodes AS (
+WITH nodes AS MATERIALIZED (
   SELECT 'R:' || r_regionkey AS id, 'region' AS type, r_name AS name FROM region
   UNION ALL SELECT 'N:' || n_nationkey, 'nation', n_name FROM nation
   UNION ALL SELECT 'C:' || c_custkey, 'customer', c_name FROM customer
   UNION ALL SELECT 'S:' || s_suppkey, 'supplier', s_name FROM supplier
-  UNION ALL SELECT 'P:' || p_partkey, 'part', p_name FROM part),
-edges AS (
+  UNION ALL SELECT 'P:' || p_partkey, 'part', p_name FROM part
+  UNION ALL SELECT 'O:' || o_orderkey, 'order', o_orderkey::VARCHAR FROM orders),
+edges AS MATERIALIZED (
   SELECT 'N:' || n_nationkey AS src, 'R:' || n_regionkey AS dst, 'in_region' AS relation, 1.0::DOUBLE AS weight FROM nation
   UNION ALL SELECT 'C:' || c_custkey, 'N:' || c_nationkey, 'in_nation', 1.0 FROM customer
   UNION ALL SELECT 'S:' || s_suppkey, 'N:' || s_nationkey, 'in_nation', 1.0 FROM supplier
-  UNION ALL SELECT 'P:' || l_partkey, 'S:' || l_suppkey, 'supplied_by', count(*)::DOUBLE FROM lineitem GROUP BY l_partkey, l_suppkey),
-near AS (SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) WHERE src <> dst GROUP BY src, dst),
+  UNION ALL SELECT 'P:' || l_partkey, 'S:' || l_suppkey, 'supplied_by', count(*)::DOUBLE FROM lineitem GROUP BY l_partkey, l_suppkey
+  UNION ALL SELECT 'O:' || o_orderkey, 'C:' || o_custkey, 'placed_by', 1.0 FROM orders
+  UNION ALL SELECT 'O:' || l_orderkey, 'P:' || l_partkey, 'contains', sum(l_quantity)::DOUBLE FROM lineitem GROUP BY l_orderkey, l_partkey),
+near AS MATERIALIZED (SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) WHERE src <> dst GROUP BY src, dst),
 deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)
 """
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> H.Graph:
-    return H.trade_graph(spark, sf_dir, orders=False)
+    return H.trade_graph(spark, sf_dir)
 
 
-def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two queries: three nations each."""
-    ids = F.concat(F.lit("N:"), F.col("id").cast("string"))
-    return spark.range(6).select((F.col("id") % 2).alias("qid"), ids.alias("id"), F.lit(1.0).alias("score"))
+def _seeds(spark: SparkSession, sf_dir: str, kinds: str = "CSPO") -> DataFrame:
+    """A query for each node whose key is divisible by 100, of the tables with these letters."""
+    nodes = _graph(spark, sf_dir).nodes
+    key = F.substring_index("id", ":", -1).cast("long")
+    return nodes.where(F.substring("id", 1, 1).isin(*kinds) & (key % 100 == 0)).select(F.col("id").alias("qid"), "id", F.lit(1.0).alias("score"))
 
 
-_SEEDS = "seeds AS (SELECT k % 2 AS qid, 'N:' || k AS id, 1.0::DOUBLE AS score FROM range(6) t(k))"
+_SEEDS = "seeds AS (SELECT id AS qid, id, 1.0::DOUBLE AS score FROM nodes WHERE id[1] IN ('C', 'S', 'P', 'O') AND split_part(id, ':', 2)::BIGINT % 100 = 0)"
 
 
 @query(_G + "SELECT id, type, name FROM nodes")
@@ -70,24 +74,28 @@ def kg_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.clustering(_graph(spark, sf_dir).edges).withColumn("coefficient", F.round("coefficient", 6))
 
 
-def _split_graph(spark: SparkSession, sf_dir: str) -> H.Graph:
-    """Regions, nations and their members only: one component for each region."""
-    g = _graph(spark, sf_dir)
-    return H.Graph(g.nodes.where("type <> 'part'"), g.edges.where("relation <> 'supplied_by'"))
+#: The least label around each node, ten times over: the trade graph's nodes are at most ten edges apart.
+_LABELS = ", c0 AS MATERIALIZED (SELECT src AS node, least(src, min(dst)) AS c FROM near GROUP BY src)" + "".join(
+    f", c{k} AS MATERIALIZED (SELECT a.node, least(any_value(a.c), min(b.c)) AS c FROM c{k - 1} a JOIN near ON src = a.node JOIN c{k - 1} b ON b.node = dst GROUP BY a.node)" for k in range(1, 10)
+)
 
 
-@query(_G + """, pairs AS (SELECT src, dst FROM near WHERE src[1] <> 'P' AND dst[1] <> 'P'),
-reach AS (SELECT src AS node, least(src, dst) AS c FROM pairs UNION SELECT p.src, r.c FROM pairs p JOIN reach r ON p.dst = r.node)
-SELECT node, min(c) AS component FROM reach GROUP BY node""")
+@query(_G + _LABELS + " SELECT node, c AS component FROM c9")
 def kg_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components, named by their smallest node."""
-    return U.components(_split_graph(spark, sf_dir).edges, "src", "dst")
+    return U.components(_graph(spark, sf_dir).edges, "src", "dst")
 
 
-@query()
+@query(_G + _LABELS + """, nd AS (SELECT src AS id, count(*) AS degree FROM near GROUP BY src),
+tri AS (SELECT a.src AS id, count(*) AS t FROM near a JOIN near b ON a.src = b.src AND a.dst < b.dst JOIN near c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src),
+co AS (SELECT sum(CASE WHEN degree > 1 THEN 2.0 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END) AS clustered FROM nd LEFT JOIN tri USING (id)),
+sizes AS (SELECT count(*) AS joined, coalesce(max(size), 0) AS largest FROM (SELECT count(*) AS size FROM c9 GROUP BY c)),
+d AS (SELECT count(*) AS nodes, avg(coalesce(degree, 0)) AS avg_degree, max(coalesce(degree, 0)) AS max_degree, count(*) FILTER (degree IS NULL) AS orphans FROM nodes LEFT JOIN deg USING (id))
+SELECT nodes, (SELECT count(*) FROM edges) AS edges, round((SELECT count(*) FROM edges) / (nodes * (nodes - 1) / 2.0), 6)::DOUBLE AS density, round(avg_degree, 4)::DOUBLE AS avg_degree, max_degree,
+  joined + orphans AS components, round(largest::DOUBLE / nodes, 4)::DOUBLE AS largest_ratio, orphans, round(orphans::DOUBLE / nodes, 4)::DOUBLE AS orphan_ratio, round(clustered::DOUBLE / nodes, 4)::DOUBLE AS avg_clustering FROM d, sizes, co""")
 def kg_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, density, components, orphans and clustering of the whole trade graph, orders included, in one row."""
-    g = H.trade_graph(spark, sf_dir)
+    g = _graph(spark, sf_dir)
     return H.quality(g, U.components(g.edges, "src", "dst"))
 
 
@@ -112,11 +120,11 @@ def valid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_G + """, t AS (SELECT e.*, coalesce(a.type, '') AS head_type, coalesce(b.type, '') AS tail_type FROM edges e LEFT JOIN nodes a ON a.id = src LEFT JOIN nodes b ON b.id = dst)
-SELECT src, dst, relation, head_type, tail_type, CASE relation WHEN 'in_region' THEN head_type = 'nation' AND tail_type = 'region' WHEN 'in_nation' THEN head_type = 'customer' ELSE false END AS valid FROM t""")
+SELECT src, dst, relation, head_type, tail_type, CASE relation WHEN 'in_region' THEN head_type = 'nation' AND tail_type = 'region' WHEN 'in_nation' THEN head_type = 'customer' WHEN 'contains' THEN head_type = 'order' AND tail_type IN ('part', 'supplier') ELSE false END AS valid FROM t""")
 def schema_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges against a schema that knows two of the relations."""
+    """Edges against a schema that knows three of the relations."""
     allowed = spark.createDataFrame(
-        [("in_region", ["nation"], ["region"]), ("in_nation", ["customer"], [])], "relation string, head_types array<string>, tail_types array<string>"
+        [("in_region", ["nation"], ["region"]), ("in_nation", ["customer"], []), ("contains", ["order"], ["part", "supplier"])], "relation string, head_types array<string>, tail_types array<string>"
     )
     return H.conformance(_graph(spark, sf_dir), F.broadcast(allowed))
 
@@ -152,10 +160,19 @@ def khop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.khop(_graph(spark, sf_dir), _seeds(spark, sf_dir), 2, 50)[1]
 
 
-@query()
+#: Each round as a table of its own: what comes along the edges, and from nodes without edges back to the seed.
+_PPR = _G + "," + _SEEDS.replace("'C', 'S', 'P', 'O'", "'C', 'S'") + """, t AS (SELECT src, sum(greatest(weight, 0.01)) AS t FROM near GROUP BY src),
+p AS MATERIALIZED (SELECT near.src, dst, greatest(weight, 0.01) / t AS p FROM near JOIN t ON t.src = near.src), v0 AS (SELECT qid, id, 1.0::DOUBLE AS v FROM seeds)""" + "".join(
+    f""", v{k} AS MATERIALIZED (SELECT qid, id, sum(v) AS v FROM (SELECT qid, dst AS id, 0.85 * v * p AS v FROM v{k - 1} JOIN p ON src = id UNION ALL SELECT qid, qid, 0.15 FROM seeds
+  UNION ALL SELECT qid, qid, 0.85 * v FROM v{k - 1} WHERE id NOT IN (SELECT src FROM t)) GROUP BY qid, id)""" for k in range(1, 7)
+)
+
+
+@query(_PPR + """, r AS (SELECT qid, id, v, row_number() OVER (PARTITION BY qid ORDER BY (qid = id) DESC, round(v, 9) DESC, id) AS place FROM v6)
+SELECT qid, id, round(v, 6) AS value, row_number() OVER (PARTITION BY qid ORDER BY round(v, 9) DESC, id)::INT AS rank FROM r WHERE place <= 20""")
 def ppr_fixed_iters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six rounds of personalised PageRank, the best 20 and all seeds."""
-    g, seeds = _split_graph(spark, sf_dir), _seeds(spark, sf_dir)
+    """Six rounds of personalised PageRank around each customer and supplier whose key is divisible by 100: the best 20 and all seeds."""
+    g, seeds = _graph(spark, sf_dir), _seeds(spark, sf_dir, "CS")
     values = V.pagerank(g, seeds, rounds=6, tolerance=None)
     return V.pagerank_select(values, seeds, 20).withColumn("value", F.round("value", 6))
 
