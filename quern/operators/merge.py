@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_double, cosine, similar_pairs, string_similarity
+from ..functions.vectors import as_double, char_set, cosine, similar_pairs, string_similarity
 from .hub import Graph, degrees, neighbours
 from .lineage import cut
 
@@ -147,21 +147,35 @@ def typed_pairs(pairs: DataFrame, typed: DataFrame) -> DataFrame:
 def similar_names(names: DataFrame, low: float, high: float = 2.0) -> DataFrame:
     """Pairs of distinct names (column name) by containment or by their character sets, within a stated list.
 
-    Names are first joined on a character they share, rarest first by prefix
-    filtering: sets with a Jaccard similarity of `low` or more agree on one of
-    their first few characters in any fixed order, and a contained name's
-    characters all occur in the other.
+    Two names that pass share a piece: names with a Jaccard similarity of
+    `low` or more agree on one of the first few characters of either, in the
+    order of how few names have them; a name inside another one has its rarest
+    pair of neighbouring characters (or its only character) there too.
+    Candidates meet on these, with sets of sizes that can pass, and are
+    verified. The rarest pieces keep the joins small; frequencies are counted.
     """
     base = names.select("name", F.lower("name").alias("l")).where("length(l) > 0").distinct()
-    from ..functions.vectors import char_set
-
-    chars = cut(base.withColumn("s", F.array_sort(char_set(F.col("l")))))
-    head = F.slice("s", F.lit(1), F.greatest(F.lit(1), F.size("s") - F.ceil(low * F.size("s")).cast("int") + 1))
-    posted = chars.select("name", "l", F.explode(F.array_union(head, F.slice("s", 1, 1))).alias("c"), "s")
-    full = chars.select("name", "l", F.explode("s").alias("c"))
-    x, y = posted.alias("x"), full.alias("y")
-    met = x.join(y, F.col("x.c") == F.col("y.c")).where("x.name <> y.name").select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
-    scored = met.withColumn("sim", string_similarity(F.col("a"), F.col("b")))
+    pairs = F.when(F.length("l") > 1, F.transform(F.sequence(F.lit(1), F.length("l") - 1), lambda i: F.substr("l", i, F.lit(2)))).otherwise(F.array("l"))
+    rows = cut(base.select("name", "l", char_set(F.col("l")).alias("s"), F.array_distinct(pairs).alias("g")))
+
+    def ordered(piece: str) -> DataFrame:
+        """name and its pieces, the rarest first."""
+        one = rows.select("name", F.explode(piece).alias("c"))
+        often = one.groupBy("c").agg(F.count("*").alias("n"))
+        return one.join(often, "c").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]).alias("o"))
+
+    sized = cut(ordered("s").withColumn("k", F.size("o")))
+    head = F.slice("o", F.lit(1), F.greatest(F.lit(1), F.col("k") - F.ceil(low * F.col("k")).cast("int") + 1))
+    posted = sized.select("name", "k", F.explode(head).alias("c"))
+    x, y = posted.alias("x"), posted.alias("y")
+    size_fits = (F.col("x.k") >= low * F.col("y.k") - 1e-9) & (F.col("y.k") >= low * F.col("x.k") - 1e-9)
+    alike = x.join(y, (F.col("x.c") == F.col("y.c")) & (F.col("x.name") < F.col("y.name")) & size_fits).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    # Containment: the rarest pair of the inner name stands in the outer one; one-character names meet all pairs' characters.
+    rarest = ordered("g").select("name", F.element_at("o", 1).alias("c")).join(rows.select("name", "l"), "name")
+    outer = rows.select(F.col("name").alias("other"), F.col("l").alias("m"), F.explode(F.array_distinct(F.concat("g", "s"))).alias("c"))
+    inside = rarest.join(outer, "c").where((F.col("name") != F.col("other")) & F.col("m").contains(F.col("l")))
+    held = inside.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"))
+    scored = alike.unionByName(held).distinct().withColumn("sim", string_similarity(F.col("a"), F.col("b")))
     return scored.where((F.col("sim") >= low) & (F.col("sim") < high))
 
 

@@ -7,27 +7,38 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import jaccard, ranked
+from .lineage import cut
 
 K1, B = 1.5, 0.75
 
 
+#: The most rows of a query set that travel with the tasks; larger sets are shuffled.
+CARRIED = 1_000_000
+
+
+def carried(df: DataFrame, most: int = CARRIED) -> DataFrame:
+    """`df`, broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, tokens=T.ascii_tokens, per_query: bool = False, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 scores (qid, id, score) of `corpus` (id, text) for `queries` (qid, text).
 
-    Only texts that share a term with a query get a row. Term and document
-    frequencies are grouped sums over the query terms' postings alone: the
-    queries' distinct terms are joined before anything is counted, so words
-    that nobody asks for never leave the scan. With `per_query`, `corpus` has a
-    qid and each query is scored within its own candidates.
+    Only texts that share a term with a query get a row. The corpus is read
+    and tokenized once: its words meet the queries' distinct terms where they
+    lie, and one more row for each text carries its length; all frequencies and
+    totals are sums over what is left. With `per_query`, `corpus` has a qid and
+    each query is scored within its own candidates.
     """
     own = ["qid"] if per_query else []
-    terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    terms = cut(queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+    asked = (terms if per_query else terms.select("term").distinct()).withColumn("asked", F.lit(True))
     words = corpus.select(*own, "id", tokens(F.col("text")).alias("words"))
-    lengths = words.select(*own, "id", F.size("words").alias("n"))
-    totals = lengths.groupBy(*own).agg(F.count("*").alias("docs"), (F.sum("n") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    asked = terms if per_query else terms.select("term").distinct()
-    posted = words.select(*own, "id", F.greatest(F.size("words"), F.lit(1)).alias("dl"), F.explode("words").alias("term"))
-    tf = posted.join(asked, [*own, "term"], "left_semi").groupBy(*own, "id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    posted = words.select(*own, "id", F.size("words").alias("n"), F.explode(F.array_append("words", F.lit(None).cast("string"))).alias("term"))
+    met = posted.join(carried(asked), [*own, "term"], "left").where("asked or term is null")
+    tf = cut(met.groupBy(*own, "id", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n")))
+    totals = tf.where("term is null").groupBy(*own).agg(F.count("*").alias("docs"), (F.sum("n") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+    tf = tf.where("term is not null").withColumn("dl", F.greatest("n", F.lit(1)))
     df = tf.groupBy(*own, "term").agg(F.count("*").alias("df"))
     hits = tf.join(df, [*own, "term"])
     hits = hits.join(totals, "qid") if per_query else hits.crossJoin(F.broadcast(totals))  # a single row
@@ -35,8 +46,8 @@ def bm25(corpus: DataFrame, queries: DataFrame, tokens=T.ascii_tokens, per_query
     rest = k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9)))
     part = idf * F.col("tf") * (k1 + 1) / F.greatest(F.col("tf") + rest, F.lit(1e-9))
     scored = hits.select(*own, "id", "term", part.alias("part"))
-    met = scored if per_query else scored.join(terms, "term")
-    return met.groupBy("qid", "id").agg(F.sum("part").alias("score"))
+    found = scored if per_query else scored.join(terms, "term")
+    return found.groupBy("qid", "id").agg(F.sum("part").alias("score"))
 
 
 def top(scores: DataFrame, k: int, by: str = "qid", item: str = "id") -> DataFrame:
@@ -99,25 +110,48 @@ def contexts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.select("qid", "m.section", "m.rank", line.alias("context"))
 
 
+def running_sums(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """`rows` (narrow: they are written once) with running, the sum of `value` up to each row of its group, and nth.
+
+    The rows are dealt by ranges of (group, order); sums of earlier ranges are
+    added to those within a range, so that a group of any size is spread.
+    """
+    dealt = cut(rows.repartitionByRange(group, order).withColumn("__part", F.spark_partition_id()))
+    parts = dealt.groupBy(group, "__part").agg(F.sum(value).alias("s"), F.count("*").alias("c"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        F.col(group).alias("__g"), F.col("__part").alias("__p"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__c")
+    )
+    within = Window.partitionBy(group, "__part").orderBy(order)
+    summed = dealt.withColumn("__sum", F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__nth", F.row_number().over(within))
+    met = summed.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return met.withColumns({"running": F.col("__sum") + F.col("__s"), "nth": F.col("__nth") + F.col("__c")}).select(*rows.columns, "running", "nth")
+
+
+def _counted(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    return running_sums(rows.select(group, order, T.n_tokens(F.col(text)).alias("tokens")), group, order, "tokens")
+
+
+def _kept(rows: DataFrame, keep: DataFrame, group: str, order: str) -> DataFrame:
+    """The rows of `keep`, joined to the whole ones: these are few, and the texts of the others go nowhere."""
+    k = keep.withColumnsRenamed({group: "__g", order: "__o"})
+    return rows.join(k, F.col(group).eqNullSafe(F.col("__g")) & (F.col(order) == F.col("__o"))).drop("__g", "__o")
+
+
 def within_tokens(rows: DataFrame, group: str, order: str, text: str, most: int, tail: int = 50) -> DataFrame:
     """The rows of each group while their tokens fit into `most`; the one that overflows is kept cut
-    if more than `tail` tokens are left; nothing after it. Adds tokens, kept_tokens."""
+    if more than `tail` tokens are left; nothing after it. Adds tokens, kept_tokens. `order` tells a group's rows apart."""
     if most <= 0:
         return rows.withColumns({"tokens": T.n_tokens(F.col(text)), "kept_tokens": T.n_tokens(F.col(text))})
-    over = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = rows.withColumn("tokens", T.n_tokens(F.col(text))).withColumn("__sum", F.sum("tokens").over(over))
-    left = most - (F.col("__sum") - F.col("tokens"))
-    whole = F.col("__sum") <= most
-    partial = ~whole & (left > tail)
-    return counted.withColumn("kept_tokens", F.when(whole, F.col("tokens")).when(partial, left).cast("int")).where("kept_tokens is not null").drop("__sum")
+    left = most - (F.col("running") - F.col("tokens"))
+    whole = F.col("running") <= most
+    keep = _counted(rows, group, order, text).withColumn("kept_tokens", F.when(whole, F.col("tokens")).when(left > tail, left).cast("int"))
+    return _kept(rows, keep.where("kept_tokens is not null").drop("running", "nth"), group, order)
 
 
 def within_tokens_keep_first(rows: DataFrame, group: str, order: str, text: str, most: int) -> DataFrame:
-    """A prefix of each group within `most` tokens; the first row stays even when it is larger."""
-    over = Window.partitionBy(group).orderBy(order)
-    running = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = rows.withColumn("tokens", T.n_tokens(F.col(text)))
-    return counted.withColumns({"running": F.sum("tokens").over(running), "nth": F.row_number().over(over)}).where(f"nth = 1 or running <= {most}")
+    """A prefix of each group within `most` tokens; the first row stays even when it is larger. Adds tokens, running, nth."""
+    return _kept(rows, _counted(rows, group, order, text).where(f"nth = 1 or running <= {most}"), group, order)
 
 
 def hierarchical_chunks(docs: DataFrame, sizes: tuple[int, ...] = (2048, 1024, 512)) -> DataFrame:
@@ -176,32 +210,51 @@ def _shingle_hashes(words: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
 
 
-def containing_pairs(items: DataFrame, docs: DataFrame, block: int = 1000) -> DataFrame:
+def containing_pairs(items: DataFrame, docs: DataFrame, block: int = 1000, small: int = 100_000) -> DataFrame:
     """All (item_id, doc_id) whose document text contains the item's (non-empty) text.
 
     The parts of an item between its first and last space stand as whole parts
     in any text that holds it, so up to three of them, as one hash, meet the
     documents' runs of as many parts in an equi-join; what meets is verified.
-    Items of two parts or fewer are a query set that is compared with all
-    documents in blocks of about `block` items.
+    Of an item's runs the one that fewest documents hold is taken. Items of two
+    parts or fewer are compared with all documents: the smaller side travels,
+    if it has at most `small` rows, else the items in blocks of about `block`.
     """
     parts = lambda: F.split("text", " ")
     # Columns of their own: within a lambda, an expression is evaluated again for each element.
     named = items.where("length(text) > 0").select("item_id", F.col("text").alias("t"), F.least(F.lit(3), F.size(parts()) - 2).alias("n"), parts().alias("w"))
-    split = docs.select("doc_id", parts().alias("w"))
-    met = None
-    for n in (1, 2, 3):
-        heads = named.where(F.col("n") == n).select("item_id", "t", F.xxhash64(F.slice("w", 2, n)).alias("h"))
-        places = split.select("doc_id", F.explode(F.array_distinct(_shingle_hashes(F.col("w"), n))).alias("h"))
-        one = places.join(heads, "h").select("item_id", "doc_id", "t")
-        met = one if met is None else met.unionByName(one)
-    out = met.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("t"))).select("item_id", "doc_id")
-    short = named.where("n < 1").select("item_id", "t")
-    blocks = -(-short.count() // block)
-    for k in range(blocks):
-        some = F.broadcast(short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k))
-        out = out.unionByName(docs.join(some, F.col("text").contains(F.col("t"))).select("item_id", "doc_id"))
-    return out.distinct()
+    inner = named.where("n > 0").select("item_id", "t", "n", F.slice("w", F.lit(2), F.size("w") - 2).alias("w"))
+    runs = F.when(F.col("n") == 3, _shingle_hashes(F.col("w"), 3)).when(F.col("n") == 2, _shingle_hashes(F.col("w"), 2)).otherwise(_shingle_hashes(F.col("w"), 1))
+    asked = cut(inner.select("item_id", "n", F.explode(F.array_distinct(runs)).alias("h")))
+    lengths = [r["n"] for r in asked.select("n").distinct().collect()]  # 1, 2 and 3 at most
+    if lengths:
+        held = F.concat(*[_shingle_hashes(F.col("w"), n) for n in lengths])
+        words = docs.select("doc_id", parts().alias("w"))
+        wanted = asked.select("h").distinct()
+        places = cut(words.select("doc_id", F.explode(F.array_distinct(held)).alias("h")).join(carried(wanted), "h", "left_semi"))
+        often = places.groupBy("h").agg(F.count("*").alias("df"))
+        rarest = asked.join(often, "h", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h")).alias("m"))
+        met = places.join(rarest.where("m.df > 0").select("item_id", F.col("m.h").alias("h")), "h").join(named.select("item_id", "t"), "item_id")
+        out = met.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("t"))).select("item_id", "doc_id")
+    else:
+        out = items.join(docs, F.lit(False)).select("item_id", "doc_id")
+    short = cut(named.where("n < 1").select("item_id", "t"))
+    few = short.count()
+    if not few:
+        return out.distinct()
+    within = F.col("text").contains(F.col("t"))
+    texts = docs.select("doc_id", "text")
+    if few <= small:
+        found = texts.join(F.broadcast(short), within)
+    elif texts.limit(small + 1).count() <= small:
+        found = short.join(F.broadcast(texts), within)
+    else:
+        blocks = -(-few // block)
+        found = None
+        for k in range(blocks):
+            one = texts.join(F.broadcast(short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)), within)
+            found = one if found is None else found.unionByName(one)
+    return out.unionByName(found.select("item_id", "doc_id")).distinct()
 
 
 def containment(chunks: DataFrame, docs: DataFrame) -> DataFrame:

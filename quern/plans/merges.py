@@ -16,18 +16,22 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "customer")
     return c.select(
         F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"),
-        F.create_map(F.lit("balance"), F.col("c_acctbal").cast("string")).alias("properties"), F.array("c_name").alias("aliases"),
+        F.create_map(F.lit("balance"), F.col("c_acctbal").cast("string"), F.concat(F.lit("k"), F.col("c_custkey") % 4), F.col("c_name")).alias("properties"), F.array("c_name").alias("aliases"),
         (F.col("c_custkey") % 10 / 10.0).alias("confidence"), F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b").alias("source"), F.col("c_custkey").alias("pos"),
     )
 
 
-@query("""SELECT c_mktsegment || '-' || c_nationkey AS id, arg_max(c_name, c_custkey % 10 * 1000000000 - c_custkey) AS name, c_mktsegment AS type, count(*) AS merged,
+_PROPERTIES = """string_agg('k' || k || '=' || name, ',' ORDER BY k) FROM (SELECT c_mktsegment || '-' || c_nationkey AS id, c_custkey % 4 AS k, arg_max(c_name, c_custkey) AS name FROM customer GROUP BY 1, 2) x"""
+
+
+@query(f"""SELECT c_mktsegment || '-' || c_nationkey AS id, 'balance=' || arg_max(CAST(c_acctbal AS VARCHAR), c_custkey) || ',' || (SELECT {_PROPERTIES} WHERE x.id = c_mktsegment || '-' || c_nationkey) AS properties, arg_max(c_name, c_custkey % 10 * 1000000000 - c_custkey) AS name, c_mktsegment AS type, count(*) AS merged,
 count(DISTINCT c_name)::INT AS n_aliases, max(c_custkey % 10 / 10.0)::DOUBLE AS confidence, string_agg(DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END, '+' ORDER BY CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END) AS source
 FROM customer GROUP BY c_mktsegment, c_nationkey""")
 def entity_dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions merged into entities: the most confident names them."""
     found = U.merge_entities(_entities(spark, sf_dir))
-    return found.select("id", "name", "type", "merged", F.size("aliases").alias("n_aliases"), "confidence", "source")
+    listed = F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("id", F.array_join(listed, ",").alias("properties"), "name", "type", "merged", F.size("aliases").alias("n_aliases"), "confidence", "source")
 
 
 @query("""SELECT 'P' || l_partkey AS src, 'supplied_by' AS relation, 'S' || l_suppkey AS dst, max(l_quantity)::DOUBLE AS confidence, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY l_partkey, l_suppkey""")
@@ -103,10 +107,10 @@ def type_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best_types(spark, sf_dir).select("id", "type", F.round("sim", 6).alias("sim"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_type AS name FROM part), s AS (SELECT name, list_distinct(regexp_extract_all(lower(name), '(?s).')) AS s FROM n),
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT name, list_distinct(regexp_extract_all(lower(name), '(?s).')) AS s FROM n),
 p AS (SELECT x.name AS a, y.name AS b, CASE WHEN contains(lower(x.name), lower(y.name)) OR contains(lower(y.name), lower(x.name)) THEN 0.9
 ELSE len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(list_concat(x.s, y.s))) END AS sim FROM s x JOIN s y ON x.name < y.name) SELECT a, b, round(sim, 6)::DOUBLE AS sim FROM p WHERE sim >= 0.3""")
 def string_sim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct names that are alike by their characters."""
-    names = load(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct()
+    names = load(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     return U.similar_names(names, 0.3).select("a", "b", F.round("sim", 6).alias("sim"))

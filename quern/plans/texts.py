@@ -21,7 +21,8 @@ def doc_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unique_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct texts with their first document."""
     docs = load(spark, sf_dir, "documents")
-    return docs.groupBy("text").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).select(F.md5("text").alias("text_id"), "first_doc", "copies")
+    keyed = docs.select(F.md5("text").alias("text_id"), F.length("text").alias("n"), "doc_id")  # 128 bits and a length stand for a text
+    return keyed.groupBy("text_id", "n").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).drop("n")
 
 
 _RECORDS = """
