@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import hub as H
 from ..operators import merge as U
+from ..operators import pattern as C
+from ..operators import retrieve as R
 from ..operators import traverse as V
+from ..sources.tables import load
 from .registry import query
 
 _G = """
@@ -182,3 +185,100 @@ def inverse_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every relation and its inverse, as triples."""
     edges = _graph(spark, sf_dir).edges
     return H.relation_triples(edges.unionByName(H.inverse(edges))).select("triple")
+
+
+@query(_G + """, pairs AS (SELECT DISTINCT 'P:' || least(a.p_partkey, b.p_partkey) AS a, 'P:' || greatest(a.p_partkey, b.p_partkey) AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
+nb AS (SELECT DISTINCT src AS id, dst AS n FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)), sz AS (SELECT id, count(*) AS c FROM nb GROUP BY id),
+cm AS (SELECT a, b, count(*) AS c FROM pairs JOIN nb x ON x.id = a JOIN nb y ON y.id = b AND y.n = x.n GROUP BY a, b),
+o AS (SELECT a, b, sa.c AS ca, sb.c AS cb, coalesce(cm.c, 0) / (sa.c + sb.c - coalesce(cm.c, 0))::DOUBLE AS overlap FROM pairs LEFT JOIN cm USING (a, b) LEFT JOIN sz sa ON sa.id = a LEFT JOIN sz sb ON sb.id = b)
+SELECT a, b, round(coalesce(overlap, 0), 6)::DOUBLE AS overlap FROM o WHERE ca IS NULL OR cb IS NULL OR overlap >= 0.02""")
+def topo_gated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one brand and type that share enough neighbours."""
+    part = load(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey")
+    twin = part.select("p_brand", "p_type", F.col("p_partkey").alias("other"))
+    tag = lambda c: F.concat(F.lit("P:"), F.col(c).cast("string"))
+    pairs = part.join(twin, ["p_brand", "p_type"]).where("p_partkey < other").select(tag("p_partkey").alias("a"), tag("other").alias("b")).distinct()
+    return U.topology_gate(pairs, _graph(spark, sf_dir), 0.02).withColumn("overlap", F.round("overlap", 6))
+
+
+def _beam_sql(prune: bool) -> str:
+    """The beam written out: three rounds of paths, what they tried, and how often the last beam holds it."""
+    out = _G + "," + _SEEDS.replace("'C', 'S', 'P', 'O'", "'C', 'S'")
+    out += ", steps AS MATERIALIZED (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS nth FROM near)" + (" WHERE nth <= 3)" if prune else ")")
+    out += ", b0 AS MATERIALIZED (SELECT qid, [id] AS path, id AS tail, 0.0::DOUBLE AS total, 10.0::DOUBLE AS score FROM seeds)"
+    for k in (1, 2, 3):
+        score = f"(score * {k} + 5) / {k + 1}" if prune else f"(total + weight) / {k}"
+        out += f", t{k} AS MATERIALIZED (SELECT qid, list_append(path, dst) AS path, dst AS tail, total + weight AS total, {score} AS score FROM b{k - 1} JOIN steps ON src = tail WHERE NOT list_contains(path, dst))"
+        out += f", b{k} AS MATERIALIZED (SELECT * FROM t{k} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, array_to_string(path, '>')) <= 5)"
+    tried = " UNION ".join(["SELECT qid, tail AS id FROM b0", *(f"SELECT qid, tail FROM t{k}" for k in (1, 2, 3))])
+    out += f", visited AS ({tried}), held AS (SELECT qid, id, count(*) AS n FROM (SELECT qid, unnest(path) AS id FROM b3) GROUP BY qid, id)"
+    out += ", marked AS (SELECT qid, id, coalesce(n, 0) + CASE WHEN qid = id THEN 100 ELSE 0 END AS frequency, qid = id AS is_seed, count(*) OVER (PARTITION BY qid) AS whole FROM visited LEFT JOIN held USING (qid, id))"
+    return out + " SELECT qid, id, frequency::BIGINT AS frequency, is_seed FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY frequency DESC, id) AS place FROM marked WHERE whole <= 20 OR frequency > 0) WHERE place <= 20"
+
+
+@query(_beam_sql(False))
+def tog_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beams of paths from each customer and supplier whose key is divisible by 100, by the mean weight of their edges."""
+    return V.beam(_graph(spark, sf_dir), _seeds(spark, sf_dir, "CS").withColumn("rank", F.lit(1)))
+
+
+@query(_beam_sql(True))
+def tog_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, along the three heaviest edges of each tail."""
+    return V.beam(_graph(spark, sf_dir), _seeds(spark, sf_dir, "CS").withColumn("rank", F.lit(1)), prune=3)
+
+
+@query()
+def pcst_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of short paths: for each region, what joins the first suppliers whose key is divisible by 10."""
+    s = load(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").join(load(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    seeds = s.select(F.concat(F.lit("Q:"), F.col("n_regionkey").cast("string")).alias("qid"), F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_suppkey").alias("rank"))
+    return V.steiner(_graph(spark, sf_dir), seeds, terminals=4)
+
+
+@query(_G + "," + _SEEDS.replace("'C', 'S', 'P', 'O'", "'C', 'S'") + r""", dg AS (SELECT src AS id, count(*) AS rank FROM near GROUP BY src),
+cand AS MATERIALIZED (SELECT DISTINCT qid, dst AS id FROM seeds JOIN near ON src = id WHERE dst <> id),
+w AS (SELECT qid, id, regexp_extract_all(lower(type || ' ' || name), '[a-z0-9_]+') AS w FROM cand JOIN nodes USING (id)),
+st AS (SELECT qid, count(*) AS n, sum(len(w))::DOUBLE / greatest(count(*), 1) AS avgdl FROM w GROUP BY qid),
+tf AS (SELECT qid, id, term, count(*) AS tf FROM (SELECT qid, id, unnest(w) AS term FROM w) WHERE term IN ('nation', 'order', '7', 'germany', 'steel') GROUP BY qid, id, term),
+df AS (SELECT qid, term, count(*) AS df FROM tf GROUP BY qid, term),
+bm AS (SELECT tf.qid, tf.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / greatest(tf + 1.5 * (0.25 + 0.75 * greatest(len(w), 1) / greatest(avgdl, 1e-9)), 1e-9)) AS s FROM tf JOIN df ON df.qid = tf.qid AND df.term = tf.term JOIN w ON w.qid = tf.qid AND w.id = tf.id JOIN st ON st.qid = tf.qid GROUP BY tf.qid, tf.id),
+sc AS (SELECT c.qid, c.id, coalesce(s, 0) AS s, min(coalesce(s, 0)) OVER (PARTITION BY c.qid) AS lo, max(coalesce(s, 0)) OVER (PARTITION BY c.qid) AS hi FROM cand c LEFT JOIN bm ON bm.qid = c.qid AND bm.id = c.id),
+u AS (SELECT qid, sc.id, 1 AS hop, 0.5 * CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 0 END AS h, rank FROM sc JOIN dg ON dg.id = sc.id UNION ALL SELECT qid, seeds.id, 0, 0, coalesce(rank, 0) FROM seeds LEFT JOIN dg ON dg.id = seeds.id)
+SELECT qid, id, hop::INT AS hop, round(h, 6)::DOUBLE AS hybrid_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(h, 9) DESC, rank DESC, id) AS place FROM u) WHERE place <= 20""")
+def anchor_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of each seed by BM25 for a fixed question, degree second."""
+    g, seeds = _graph(spark, sf_dir), _seeds(spark, sf_dir, "CS")
+    texts = g.nodes.select("id", F.concat_ws(" ", "type", "name").alias("text"))
+    asked = seeds.select("qid", F.lit("nation order 7 GERMANY steel").alias("text"))
+    return V.anchor_hybrid(g, seeds, texts, asked).withColumn("hybrid_score", F.round("hybrid_score", 6)).select("qid", "id", "hop", "hybrid_score", "rank")
+
+
+@query(_G + "SELECT count(DISTINCT n.id) AS nodes, (SELECT count(*) FROM edges) AS edges, round((SELECT count(*) FROM edges) / (count(DISTINCT n.id) * (count(DISTINCT n.id) - 1) / 2.0), 6)::DOUBLE AS density, round((SELECT count(*) FROM edges) / (count(DISTINCT n.id) * (count(DISTINCT n.id) - 1.0)), 6)::DOUBLE AS directed FROM nodes n")
+def kg_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges over all possible ones."""
+    g = _graph(spark, sf_dir)
+    n, m = g.nodes.agg(F.countDistinct("id").alias("nodes")), g.edges.agg(F.count("*").alias("edges"))
+    both = n.crossJoin(m)  # two single rows
+    return both.select("nodes", "edges", H.density(F.col("nodes"), F.col("edges")).alias("density"), H.density(F.col("nodes"), F.col("edges"), True).alias("directed"))
+
+
+@query(_G + "SELECT id, type, name FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
+def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes without edges."""
+    return H.isolated(_graph(spark, sf_dir))
+
+
+@query(_G + """, e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, weight FROM edges), hits AS (SELECT id AS qid, id FROM nodes WHERE id[1] = 'S')
+SELECT qid, a, b, max(weight) AS weight FROM hits JOIN e ON id = a OR id = b GROUP BY qid, a, b""")
+def hit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges at each supplier, as a vector search's hits get them."""
+    g = _graph(spark, sf_dir)
+    hits = g.nodes.where("type = 'supplier'").select(F.col("id").alias("qid"), "id", F.lit(1.0).alias("score"))
+    return R.enrich(hits, g.nodes, g.edges)[1]
+
+
+@query("""SELECT DISTINCT 'S:' || s_suppkey AS src, 'in_nation' AS relation, 'N:' || n_nationkey AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_3'""")
+def cypher_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph pattern's names, relations and labels as filters over triples."""
+    return C.select(_graph(spark, sf_dir), "MATCH (s:supplier)-[r:IN_NATION]->(n:nation {name: 'NATION_3'}) RETURN s, r, n")

@@ -34,14 +34,18 @@ def entity_dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.array_join(listed, ",").alias("properties"), "name", "type", "merged", F.size("aliases").alias("n_aliases"), "confidence", "source")
 
 
-@query("""SELECT 'P' || l_partkey AS src, 'supplied_by' AS relation, 'S' || l_suppkey AS dst, max(l_quantity)::DOUBLE AS confidence, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY l_partkey, l_suppkey""")
-def relation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated relations, the most confident kept."""
-    rows = load(spark, sf_dir, "lineitem").select(
+def _supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as mentions of a part's supplier."""
+    return load(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("P"), F.col("l_partkey")).alias("src"), F.lit("supplied_by").alias("relation"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("dst"),
         F.col("l_quantity").cast("double").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
     )
-    return U.dedup_relations(rows)
+
+
+@query("""SELECT 'P' || l_partkey AS src, 'supplied_by' AS relation, 'S' || l_suppkey AS dst, max(l_quantity)::DOUBLE AS confidence, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY l_partkey, l_suppkey""")
+def relation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated relations, the most confident kept."""
+    return U.dedup_relations(_supplies(spark, sf_dir))
 
 
 @query("""WITH u AS (SELECT DISTINCT p_type AS name, 'part ' || p_type AS definition, 0 AS side FROM part WHERE p_size < 25 UNION ALL SELECT DISTINCT p_type, 'any ' || p_type, 1 FROM part)
@@ -114,3 +118,55 @@ def string_sim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct names that are alike by their characters."""
     names = load(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     return U.similar_names(names, 0.3).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query(_TYPES + ", p AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) AS sim FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) SELECT a, b, u.type, round(p.sim, 6) AS sim FROM p JOIN best u ON u.id = a JOIN best w ON w.id = b WHERE p.sim >= 0.38 AND u.type = w.type AND u.sim >= 0.1 AND w.sim >= 0.1")
+def typed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs whose nearest types agree."""
+    return U.typed_pairs(_pairs(spark, sf_dir), _best_types(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
+
+
+_MERGED = """WITH c AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS g FROM customer),
+n AS (SELECT c_mktsegment || '-' || c_nationkey AS id, arg_max(c_name, c_custkey % 10 * 100000000000 - g * 10000000000 - c_custkey) AS name, count(*) AS merged, max(c_custkey % 10 / 10.0)::DOUBLE AS confidence FROM c GROUP BY 1)"""
+
+
+@query(_MERGED + " SELECT * FROM n")
+def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of two graphs in one: the most confident mention names a node, the first graph's before the second's."""
+    e, edges = _entities(spark, sf_dir), _supplies(spark, sf_dir)
+    second = F.col("pos") % 3 == 0
+    nodes, _ = U.merge_graphs([e.where(~second), e.where(second)], [edges.where(~second), edges.where(second)])
+    return nodes.select("id", "name", "merged", "confidence")
+
+
+@query("""SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, max(l_quantity)::DOUBLE AS confidence,
+  min(CASE WHEN (l_orderkey * 10 + l_linenumber) % 3 = 0 THEN 1099511627776 ELSE 0 END + l_orderkey * 10 + l_linenumber)::BIGINT AS pos FROM lineitem GROUP BY l_partkey, l_suppkey""")
+def graph_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of two graphs in one."""
+    e, edges = _entities(spark, sf_dir), _supplies(spark, sf_dir)
+    second = F.col("pos") % 3 == 0
+    return U.merge_graphs([e.where(~second), e.where(second)], [edges.where(~second), edges.where(second)])[1].select("src", "dst", "confidence", "pos")
+
+
+@query("""WITH a AS (SELECT DISTINCT p_type AS name FROM part WHERE p_size < 25), b AS (SELECT DISTINCT upper(p_type) AS name FROM part WHERE p_size > 2 UNION SELECT DISTINCT p_brand FROM part)
+SELECT name, 'added' AS change FROM b WHERE lower(name) NOT IN (SELECT lower(name) FROM a) UNION ALL SELECT name, 'removed' FROM a WHERE lower(name) NOT IN (SELECT lower(name) FROM b)""")
+def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one list of types has that another one lacks, case ignored."""
+    p = load(spark, sf_dir, "part")
+    new = p.where("p_size > 2").select(F.upper("p_type").alias("name")).unionByName(p.select(F.col("p_brand").alias("name"))).distinct()
+    return U.schema_changes(p.where("p_size < 25").select(F.col("p_type").alias("name")).distinct(), new)
+
+
+@query("""WITH d AS (SELECT c_mktsegment AS grp, c_name || ' of ' || c_nationkey % 3 AS description, min(c_custkey) AS pos FROM customer WHERE c_custkey % 4 < 2 GROUP BY 1, 2)
+SELECT grp, string_agg(description, ' | ' ORDER BY pos, description) AS description FROM d GROUP BY grp""")
+def description_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct descriptions of a group in order of first sight."""
+    c = load(spark, sf_dir, "customer").where("c_custkey % 4 < 2")
+    rows = c.select(F.col("c_mktsegment").alias("grp"), F.concat("c_name", F.lit(" of "), F.col("c_nationkey") % 3).alias("description"), F.col("c_custkey").alias("pos"))
+    return U.merge_descriptions(rows, "grp")
+
+
+@query()
+def kmeans_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector nearest to each of eight cluster centres."""
+    return U.representatives(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)

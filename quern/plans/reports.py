@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import text as T
 from ..operators import reports as P
+from ..sources.results import comparison
 from ..sources.tables import load
 from .registry import query
 
@@ -110,3 +111,125 @@ def events_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.events import hourly
 
     return hourly(load(spark, sf_dir, "events"))
+
+
+_LANG = "t AS (SELECT lang, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS c FROM documents), m AS (SELECT lang, avg(c) AS mean FROM t GROUP BY lang)"
+
+
+def _lang_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.token_stats(load(spark, sf_dir, "documents").select("lang", T.n_tokens(F.col("text")).alias("tokens")), "lang", "tokens")
+
+
+@query("WITH " + _LANG + """, k AS (SELECT unnest(['local', 'global', 'hybrid', 'mix', 'naive', 'other']) AS mode),
+b AS (SELECT lang, mode, floor(mean)::BIGINT AS base, floor(floor(mean) * 1.1::DOUBLE)::BIGINT AS target FROM m, k),
+e AS (SELECT *, floor(target * CASE WHEN mode IN ('local', 'global') THEN 0.35::DOUBLE WHEN mode = 'hybrid' THEN 0.25::DOUBLE WHEN mode = 'other' THEN 0 ELSE 0.15::DOUBLE END)::BIGINT AS max_entity_tokens,
+  floor(target * CASE WHEN mode IN ('local', 'global') THEN 0.45::DOUBLE WHEN mode = 'hybrid' THEN 0.35::DOUBLE WHEN mode = 'other' THEN 0 ELSE 0.25::DOUBLE END)::BIGINT AS max_relation_tokens FROM b)
+SELECT lang, mode, base, target, max_entity_tokens, max_relation_tokens, greatest(1, least(20, (target - max_entity_tokens - max_relation_tokens) // 200)) AS chunk_top_k, greatest(1, target // 500) AS vector_top_k FROM e""")
+def token_budget_alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token budget for each language and retrieval mode."""
+    modes = F.explode(F.array(*[F.lit(m) for m in (*M.SHARES, "other")])).alias("mode")
+    rows = _lang_stats(spark, sf_dir).select("lang", "mean", modes).select("lang", "mode", M.token_budget(F.col("mean"), F.col("mode")).alias("b"))
+    return rows.select("lang", "mode", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("base", "target", "max_entity_tokens", "max_relation_tokens", "chunk_top_k", "vector_top_k")])
+
+
+@query("WITH " + _LANG + """, b AS (SELECT round(mean, 6) AS base FROM m WHERE lang = 'en'), r AS (SELECT lang, round(mean, 6) AS mean FROM m)
+SELECT lang, round(mean - base, 6) AS difference, round(mean / base * 100, 6) AS utilisation, abs(mean - base) <= 0.1::DOUBLE * base AS within_10, abs(mean - base) <= 0.2::DOUBLE * base AS within_20 FROM r, b""")
+def budget_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's mean tokens against English ones."""
+    return P.against_baseline(_lang_stats(spark, sf_dir), "lang", "en")
+
+
+@query("""WITH m AS (SELECT event_type AS method, count(*) AS n, round(avg(user_id), 6) AS mean_tokens, max(user_id) AS most_tokens FROM events GROUP BY event_type)
+SELECT method, n, mean_tokens, most_tokens, round(mean_tokens / (SELECT mean_tokens FROM m WHERE method = 'click') * 100, 6) AS utilisation, row_number() OVER (ORDER BY mean_tokens DESC, method) AS place FROM m""")
+def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods by their mean tokens, against one of them."""
+    return comparison(load(spark, sf_dir, "events"), "event_type", "user_id", "click")
+
+
+@query("""WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT event_type) / 5.0::DOUBLE AS coverage FROM events GROUP BY 1, 2),
+w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS nth, max(coverage) OVER t - min(coverage) OVER t AS sc, max(n) OVER t - min(n) OVER t AS se FROM d WINDOW t AS (PARTITION BY user_id ORDER BY day ROWS 2 PRECEDING))
+SELECT user_id, day, n, coverage, CASE WHEN nth >= 20 THEN 'max_rounds' WHEN nth >= 3 AND sc < 0.05 THEN 'coverage' WHEN nth >= 3 AND se < 2 THEN 'entities' END AS reason FROM w""")
+def convergence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a user as rounds: whether to stop, by what the last three had in common."""
+    days = load(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), (F.countDistinct("event_type") / 5.0).alias("coverage"))
+    return P.convergence(days, "user_id", "day", "coverage", "n")
+
+
+@query("""SELECT o_custkey, count(*) AS n, string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderkey) AS items FROM orders GROUP BY o_custkey HAVING count(*) >= 3""")
+def customer_groups3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of three or more orders, with all of them."""
+    return P.groups_of(load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderkey", 3, 1 << 30)
+
+
+_MARKED = "'Answer ' || event_id || chr(10) || '### References' || chr(10) || '- [1] d' || user_id || chr(10) || CASE WHEN event_id % 3 = 0 THEN '- [3] d9' ELSE '- [2] d' || event_id END || CASE WHEN event_id % 2 = 0 THEN chr(10) || '## End' || chr(10) || '- [9] no' ELSE '' END"
+_AUDIT = f"""WITH a AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN props ELSE {_MARKED} END AS t, CASE WHEN event_id % 5 > 0 THEN 2 ELSE 1 END AS ids FROM events),
+b AS (SELECT event_id, ids, contains(t, '### References') AS has_heading, CASE WHEN contains(t, '### References') THEN split_part(split_part(t, '### References' || chr(10), 2), chr(10) || '## ', 1) ELSE t END AS block FROM a),
+n AS (SELECT event_id, ids, has_heading, regexp_extract_all(block, '\\[(\\d+)\\] \\S', 1) AS ns FROM b),
+r AS (SELECT event_id, has_heading, len(ns)::INT AS n_references, len(ns) > 0 AND ns = list_transform(range(1, len(ns) + 1), lambda x: x::VARCHAR) AS sequential, len(ns) = ids AS count_match FROM n)"""
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .texts import _answers
+
+    rows = _answers(spark, sf_dir).join(load(spark, sf_dir, "events").select("event_id", "props"), "event_id")
+    return P.citation_audit(rows.withColumn("answer", F.when(F.col("event_id") % 7 == 0, F.col("props")).otherwise(F.col("answer"))), "event_id", "answer", "ids")
+
+
+@query(_AUDIT + " SELECT * FROM r")
+def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference lists of answers: there, numbered in order, as many as the ids."""
+    return _audit(spark, sf_dir)
+
+
+@query(_AUDIT + " SELECT count(*) AS n, round(avg(has_heading::INT), 6) AS has_heading, round(avg(sequential::INT), 6) AS sequential, round(avg(count_match::INT), 6) AS count_match FROM r")
+def citation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.audit_summary(_audit(spark, sf_dir))
+
+
+@query(_ANSWERS + r"""w AS (SELECT key, list_filter(regexp_extract_all(lower(answer), '[一-龥]|[^\s\x{4e00}-\x{9fa5}]+'), lambda x: regexp_matches(x, '[a-z0-9一-龥]')) AS a, list_filter(regexp_extract_all(lower(truth), '[一-龥]|[^\s\x{4e00}-\x{9fa5}]+'), lambda x: regexp_matches(x, '[a-z0-9一-龥]')) AS t FROM p),
+""" + _WORDS.split("\n", 1)[1] + _SCORES)
+def word_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiset F1 of words; each CJK character is a word by itself."""
+    words = _pairs(spark, sf_dir).select("key", T.mixed_tokens(F.col("answer")).alias("a"), T.mixed_tokens(F.col("truth")).alias("t"))
+    scored = M.multiset_scores(M.overlap_counts(words, "key", "a", "t"), "key")
+    return scored.select("key", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
+
+
+_GRAMS = ", ".join(f"""g{n} AS (SELECT key, sum(least(a, t)) AS m FROM (SELECT key, g, sum(a) AS a, sum(t) AS t FROM (
+  SELECT key, unnest([array_to_string(a[i:i + {n - 1}], ' ') FOR i IN range(1, len(a) - {n - 2})]) AS g, 1 AS a, 0 AS t FROM w UNION ALL
+  SELECT key, unnest([array_to_string(t[i:i + {n - 1}], ' ') FOR i IN range(1, len(t) - {n - 2})]), 0, 1 FROM w) GROUP BY key, g) GROUP BY key)""" for n in (1, 2, 3, 4))
+
+
+@query(_ANSWERS + _WORDS.split("\n")[0] + _GRAMS + """,
+r AS (SELECT w.key, len(a) AS na, len(t) AS nt, coalesce(g1.m, 0) AS m1, coalesce(g2.m, 0) AS m2, coalesce(g3.m, 0) AS m3, coalesce(g4.m, 0) AS m4 FROM w LEFT JOIN g1 ON g1.key = w.key LEFT JOIN g2 ON g2.key = w.key LEFT JOIN g3 ON g3.key = w.key LEFT JOIN g4 ON g4.key = w.key)
+SELECT key, round(CASE WHEN na = 0 OR m1 = 0 THEN 0 ELSE (CASE WHEN na >= nt THEN 1 ELSE exp(1 - nt / na::DOUBLE) END) * exp((ln(m1 / na::DOUBLE) + ln((m2 + 1) / (greatest(na - 1, 0) + 1)::DOUBLE) + ln((m3 + 1) / (greatest(na - 2, 0) + 1)::DOUBLE)
+  + ln((m4 + 1) / (greatest(na - 3, 0) + 1)::DOUBLE)) / 4) END, 6)::DOUBLE AS bleu FROM r""")
+def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed BLEU of up to four words."""
+    words = _pairs(spark, sf_dir).select("key", T.ascii_tokens(F.col("answer")).alias("a"), T.ascii_tokens(F.col("truth")).alias("t"))
+    joined, counts = words.select("key", F.size("a").alias("na"), F.size("t").alias("nt")), []
+    for n in (1, 2, 3, 4):
+        rows = words.select("key", M.ngrams(F.col("a"), n).alias("a"), M.ngrams(F.col("t"), n).alias("t")) if n > 1 else words
+        joined = joined.join(M.overlap_counts(rows, "key", "a", "t").select("key", F.col("common").alias(f"m{n}")), "key")
+        counts.append((F.col(f"m{n}"), F.greatest(F.col("na") - (n - 1), F.lit(0))))
+    return joined.select("key", F.round(M.bleu(counts, F.col("na"), F.col("nt")), 6).alias("bleu"))
+
+
+@query("""SELECT event_id, round(CASE WHEN event_id % 7 = 0 AND event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN value WHEN event_id % 11 = 0 THEN user_id ELSE (value + user_id) / 2.0 END, 4)::DOUBLE AS score FROM events""")
+def row_metric_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the metrics that are numbers: NaN and null are left out."""
+    a = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    b = F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("double"))
+    return load(spark, sf_dir, "events").select("event_id", P.row_mean([a, b]).alias("score"))
+
+
+@query("""WITH f AS (SELECT conv_id, count(*) FILTER (role = 'user') AS nf, count(*) FILTER (role = 'user' AND length(text) % 2 = 0) AS cf, count(*) FILTER (role = 'assistant') AS nc, count(*) FILTER (role = 'assistant' AND length(text) % 3 > 0) AS cc FROM conversations GROUP BY conv_id),
+s AS (SELECT conv_id, nf, nc, CASE WHEN nf > 0 THEN cf / nf::DOUBLE END AS r, CASE WHEN nf > 0 THEN CASE WHEN nc > 0 THEN cc / nc::DOUBLE ELSE 0 END END AS p FROM f)
+SELECT conv_id, round(r, 6) AS recall, round(p, 6) AS precision, round(CASE WHEN nf > 0 THEN CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END END, 6)::DOUBLE AS f1, nf::INT AS n_facts, CASE WHEN nf > 0 THEN nc::INT END AS n_claims FROM s""")
+def key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts found and claims supported, scored for each conversation."""
+    c = load(spark, sf_dir, "conversations")
+    n = F.length("text")
+    rows = c.groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "user", n % 2 == 0)).alias("facts"), F.collect_list(F.when(F.col("role") == "assistant", n % 3 > 0)).alias("claims"))
+    s = rows.select("conv_id", M.key_fact_scores(F.col("facts"), F.col("claims")).alias("s"))
+    return s.select("conv_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("recall", "precision", "f1")], "s.n_facts", "s.n_claims")
