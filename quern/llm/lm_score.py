@@ -13,7 +13,7 @@ resemble the rare ones, and each rare word is one of many.
 
 A text's kind (its language, in the query) is a hidden variable: each of the
 most frequent KINDS - 1 kinds of training rows, and all others together, has
-piece weights and word counts of its own. Within a kind a word is drawn from
+piece weights and word counts of its own (the others only where there are any). Within a kind a word is drawn from
 the kind's counts; with the share of tokens that stand alone there (what a next
 word is new with) it is drawn from all kinds' counts or, mostly, spelled by the
 lattice. The text's marginal probability is the sum over kinds of the kind's
@@ -57,12 +57,13 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def kinds_of(docs: DataFrame, most: int = KINDS) -> list[str]:
-    """The most frequent kinds of the training rows, at most `most` - 1; nulls and all others go together."""
+def kinds_of(docs: DataFrame, most: int = KINDS) -> tuple[list[str], bool]:
+    """The most frequent kinds of the training rows, at most `most` - 1, and whether there are others, nulls among them."""
     if "kind" not in docs.columns or most < 2:
-        return []
-    by = docs.where(F.col("train") & F.col("kind").isNotNull()).groupBy("kind").count()
-    return [r["kind"] for r in by.orderBy(F.desc("count"), "kind").limit(most - 1).collect()]
+        return [], True
+    by = docs.where("train").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(most).collect()
+    names = [r["kind"] for r in by if r["kind"] is not None][: most - 1]
+    return names, not names or any(r["kind"] not in names for r in by)
 
 
 def word_counts(docs: DataFrame, n: int) -> DataFrame:
@@ -104,6 +105,45 @@ def _processor(path: str | None):
     return sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class _Beginnings:
+    """All beginnings of some pieces by a 64-bit hash, with the row of the piece that each is, or -1."""
+
+    hashes: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: dict[str, int]) -> _Beginnings:
+        every = {p[:j]: -1 for p in pieces for j in range(1, len(p))} | {p: r for p, r in pieces.items() if p}
+        found = []
+        for text in every:
+            h = 0
+            for c in text:
+                h = (h * int(_FACTOR) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            found.append(h)
+        hashes, rows = np.array(found, np.uint64), np.array(list(every.values()), np.int64)
+        order = np.argsort(hashes)
+        return cls(hashes[order], rows[order])
+
+    def matches(self, chars: np.ndarray, at: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """For 1, 2, ... characters: the places of `at` where a piece of that length stands, ending by `limit`, and its row."""
+        h, size = np.zeros(len(at), np.uint64), 0
+        while True:
+            alive = at + size < limit
+            at, limit, h = at[alive], limit[alive], h[alive]
+            if not len(at) or not len(self.hashes):
+                return
+            h = h * _FACTOR + chars[at + size].astype(np.uint64) + np.uint64(1)
+            size += 1
+            place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[place] == h
+            at, limit, h, rows = at[known], limit[known], h[known], self.rows[place[known]]
+            yield at[rows >= 0], size, rows[rows >= 0]
+
+
 @dataclass
 class Lattice:
     """Pieces that begin a word, pieces inside one, bytes and the stop, with natural-log weights for each kind of text.
@@ -143,51 +183,56 @@ class Lattice:
         return Lattice(self.first, self.inner, np.log(rows / total))
 
     def __post_init__(self) -> None:
-        self.most_first = max(map(len, self.first), default=0)
-        #: Every beginning of an inner piece, with the piece's row, or -1 if it is none itself.
-        self.begun = {p[:j]: -1 for p in self.inner for j in range(1, len(p))} | self.inner
+        self._inner, self._first = _Beginnings.of(self.inner), _Beginnings.of(self.first)
 
     def arcs(self, words: Sequence[str]) -> tuple[np.ndarray, ...]:
         """The arcs of all words' lattices: from, to (places, each word's own one after the other), row of the weights
-        (below 0: minus one minus a place in the list of spelled characters), and word; that list; and the words' first places.
+        (below 0: minus one minus the place of its character in a list), and word; that list of characters that are
+        spelled in bytes; and the words' first places.
 
         From is -1 for an arc that begins a word. Long words are covered in
         stretches of STRETCH characters; a later one begins at no cost, and no
         piece crosses into it.
         """
-        start, end, row, owner, spelled, base = [], [], [], [], [], []
-        first, begun, most_first, at = self.first, self.begun.get, self.most_first, 0
-        for k, word in enumerate(words):
-            n = len(word)
-            base.append(at)
-            for j in range(min(n, most_first) + 1):
-                if (r := first.get(word[:j])) is not None:
-                    start.append(-1)
-                    end.append(at + j)
-                    row.append(r)
-                    owner.append(k)
-            before = len(start)
-            for i in range(n):
-                j, limit, here = i + 1, n if n <= STRETCH else min(n, (i // STRETCH + 1) * STRETCH), at + i
-                r = begun(word[i])
-                if r is None or r < 0:
-                    spelled.append(word[i])
-                    start.append(here)
-                    end.append(here + 1)
-                    row.append(-len(spelled))
-                while r is not None:
-                    if r >= 0:
-                        start.append(here)
-                        end.append(at + j)
-                        row.append(r)
-                    j += 1
-                    if j > limit:
-                        break
-                    r = begun(word[i:j])
-            owner += [k] * (len(start) - before)
-            at += n + 1
-        base.append(at)
-        return (*(np.array(x, np.int64) for x in (start, end, row, owner)), spelled, np.array(base))
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        end = np.cumsum(n)
+        owner = np.repeat(np.arange(len(words)), n)
+        at = np.arange(len(chars))
+        within = at - (end - n)[owner]
+        limit = np.minimum(end[owner], at - within + (within // STRETCH + 1) * STRETCH)
+        start, stop, row = [], [], []
+        missing = np.ones(len(chars), bool)
+        for i, size, found in self._inner.matches(chars, at, limit):
+            start.append(i)
+            stop.append(i + size)
+            row.append(found)
+            if size == 1:
+                missing[i] = False
+        i = np.flatnonzero(missing)
+        spelled, which = np.unique(chars[i], return_inverse=True)
+        start.append(i)
+        stop.append(i + 1)
+        row.append(-1 - which.astype(np.int64))
+        # Places: a word of n characters has n + 1 of them.
+        of = [owner[i] for i in start]
+        start, stop = [i + k for i, k in zip(start, of)], [i + k for i, k in zip(stop, of)]
+        base = np.concatenate([[0], np.cumsum(n + 1)])
+        if (whole := self.first.get("")) is not None:
+            start.append(np.full(len(words), -1))
+            stop.append(base[:-1])
+            row.append(np.full(len(words), whole))
+            of.append(np.arange(len(words)))
+        begin, some = end - n, np.flatnonzero(n)
+        place = np.full(len(chars) + 1, -1)
+        place[begin[some]] = some
+        for i, size, found in self._first.matches(chars, begin[some], np.minimum(end, begin + STRETCH)[some]):
+            k = place[i]
+            start.append(np.full(len(i), -1))
+            stop.append(base[k] + size)
+            row.append(found)
+            of.append(k)
+        return (*(np.concatenate(x).astype(np.int64) for x in (start, stop, row, of)), [chr(c) for c in spelled], base)
 
     def _costs(self, row: np.ndarray, spelled: list[str]) -> np.ndarray:
         own = self.weights
@@ -252,10 +297,10 @@ def _batches(words: Sequence[str]) -> Iterator[tuple[int, int]]:
 
 def _sums(source: np.ndarray, target: np.ndarray, cost: np.ndarray, level: np.ndarray, out: np.ndarray, seeded: bool = False) -> np.ndarray:
     """Fills `out` at the targets with the log of the sum of exp(out[source] + cost), level after level; source -1 is the start."""
-    order = np.lexsort((target, level))
-    source, target, cost, level = source[order], target[order], cost[order], level[order]
     if not len(level):
         return out
+    order = np.argsort((level - level.min()) * len(out) + target, kind="stable")
+    source, target, cost, level = source[order], target[order], cost[order], level[order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(level)]])
     first = np.concatenate([[True], np.diff(target) != 0]) | np.concatenate([[True], np.diff(level) != 0])
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -315,8 +360,8 @@ class Model:
 def fit(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model of the rows of `docs` (text, train, and kind if there is one) with `train`, and the table
     word, c (its training count), base, scores (array, by kind) of all words."""
-    names = kinds_of(docs)
-    n = len(names) + 1
+    names, others = kinds_of(docs)
+    n = len(names) + others
     place = F.lit(n - 1)
     for k, name in enumerate(names):
         place = F.when(F.col("kind") == name, k).otherwise(place)

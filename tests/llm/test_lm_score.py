@@ -78,7 +78,7 @@ def test_whole_scores(spark, sf_dir):
     got = {r["doc_id"]: r for r in L.op6_lm_scoring(spark, sf_dir).collect()}
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     kinds = [k for k, _ in sorted(Counter(k for i, (_, k) in docs.items() if zlib.crc32(str(i).encode()) % 10).items(), key=lambda x: (-x[1], x[0]))]
-    counts, texts = [Counter() for _ in range(len(kinds) + 1)], Counter()
+    counts, texts = [Counter() for _ in kinds], Counter()
     for i, (t, k) in docs.items():
         if zlib.crc32(str(i).encode()) % 10:
             counts[kinds.index(k)].update(words(t))
