@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lm_score, media, mixing, packing, quality, secret_scan, simhash, token_counts, weighted_sampling
+from . import base, licenses, lm_score, media, mixing, packing, quality, secret_scan, simhash, token_counts, weighted_sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,9 @@ def queries() -> dict[str, Query]:
         "op8_secret_scans": secret_scan.op8_secret_scans,
         "op9_mixing_sources": mixing.op9_mixing_sources,
         "op10_license_scans": licenses.op10_license_scans,
+        **{name: query for name, (query, _) in base.BASE.items()},
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in base.BASE.items()}
