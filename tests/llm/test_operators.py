@@ -12,7 +12,6 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quern.llm import licenses, lm_score, media, mixing, packing, quality, secret_scan, simhash, token_counts, weighted_sampling
 from quern.llm.graph import components
 
@@ -250,13 +249,3 @@ def test_op4_added_tokens():
             counted.edit(a, b, new)
             text = text[:a] + new + text[b:]
             assert counted.n_tokens == len(t.encode(text, add_special_tokens=False).ids)
-
-
-def test_pipeline_stages(spark, awkward, docs, sf_dir):
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        for table in (awkward, docs):
-            out = stage(spark, table, sf_dir)
-            assert name == "best_fit_packing" or out.columns == table.columns
-            assert out.count() > 0
-    kept = corpus_pipeline.quality_filter(spark, docs, sf_dir)
-    assert kept.columns == docs.columns and kept.count() > 0.5 * docs.count()
