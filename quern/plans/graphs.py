@@ -263,10 +263,11 @@ def kg_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("nodes", "edges", H.density(F.col("nodes"), F.col("edges")).alias("density"), H.density(F.col("nodes"), F.col("edges"), True).alias("directed"))
 
 
-@query(_G + "SELECT id, type, name FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
+@query(_G + "SELECT id, type, name FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE weight > 1 UNION SELECT dst FROM edges WHERE weight > 1)")
 def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes without edges."""
-    return H.isolated(_graph(spark, sf_dir))
+    """Nodes without edges in the graph of the edges that stand for more than one row or piece."""
+    g = _graph(spark, sf_dir)
+    return H.isolated(H.Graph(g.nodes, g.edges.where("weight > 1")))
 
 
 @query(_G + """, e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, weight FROM edges), hits AS (SELECT id AS qid, id FROM nodes WHERE id[1] = 'S')
