@@ -129,3 +129,12 @@ def schema_scores(entity_types: DataFrame, schema_types: DataFrame, relations: D
     ends = relations.join(known.withColumnsRenamed({"id": "src", "k": "a"}), "src", "left").join(known.withColumnsRenamed({"id": "dst", "k": "b"}), "dst", "left")
     held = ends.agg(F.coalesce(F.avg(F.coalesce(F.col("a") * F.col("b"), F.lit(0))), F.lit(1.0)).alias("coherence"))
     return cover.crossJoin(words).crossJoin(held)  # three single rows
+
+
+def benchmark_stats(rows: DataFrame, metrics: list[str], overall: str) -> DataFrame:
+    """One row: the mean of each metric (NaN and null skipped), least and largest overall score, and the share of rows that have one."""
+    real = lambda c: F.when(~F.isnan(c), F.col(c))
+    return rows.agg(
+        F.count("*").alias("n"), *[F.round(F.avg(real(c)), 6).alias(c) for c in metrics],
+        F.min(real(overall)).alias("least"), F.max(real(overall)).alias("most"), F.round(F.avg(real(overall).isNotNull().cast("int")), 6).alias("success"),
+    )

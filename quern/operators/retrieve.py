@@ -284,3 +284,37 @@ def filtered(scores: DataFrame, items: DataFrame, conditions: list[Column], k: i
     for c in conditions:
         kept = kept.where(c)
     return top(scores.join(kept.select("id"), "id", "left_semi"), k)
+
+
+def retrieved_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The chunk ids behind nodes (qid, name, score, source_id) and edges (qid, src, dst, weight, source_id): qid, id, rank.
+
+    Nodes by score and name, then edges by weight and pair, all descending;
+    each one's <SEP> list in its order; the first occurrence of an id stays.
+    """
+    pair = F.concat_ws("|", F.least("src", "dst"), F.greatest("src", "dst"))
+    both = nodes.select("qid", F.lit(0).alias("s"), F.col("score").cast("double").alias("v"), F.col("name").alias("n"), "source_id").unionByName(
+        edges.select("qid", F.lit(1).alias("s"), F.col("weight").cast("double").alias("v"), pair.alias("n"), "source_id")
+    )
+    listed = both.select("qid", "s", (-F.col("v")).alias("v"), "n", F.posexplode(T.chunk_ids(F.col("source_id"))).alias("pos", "id"))
+    # Names are to descend, so the first of an id is found by window and not by a least struct.
+    order = [F.col("s"), F.col("v"), F.col("n").desc(), F.col("pos")]
+    first = listed.withColumn("k", F.row_number().over(Window.partitionBy("qid", "id").orderBy(*order))).where("k = 1")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).select("qid", "id", "rank")
+
+
+def zipped(first: DataFrame, second: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """The values of two lists of each group side by side by place, as far as both go: group, place, a, b."""
+    over = Window.partitionBy(group).orderBy(order)
+    nth = lambda df, name: df.select(group, F.row_number().over(over).alias("place"), F.col(value).alias(name))
+    return nth(first, "a").join(nth(second, "b"), [group, "place"])
+
+
+def head_sample(docs: DataFrame, order: str, text: str, n: int, chars: int) -> DataFrame:
+    """The first `n` documents with the first `chars` characters of their text."""
+    return docs.orderBy(order).limit(n).withColumn(text, F.substring(text, 1, chars))
+
+
+def single(lists: list[DataFrame], k: int) -> DataFrame:
+    """The first list alone, cut to `k`."""
+    return concatenate(lists[:1], k)

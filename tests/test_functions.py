@@ -37,3 +37,27 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {tuple(r) for r in hourly(events).collect()}
     assert got and got <= want and len(got) >= 0.9 * len(want)  # the last hours are still open
+
+
+def test_rouge_l_of_all_pairs(spark, sf_dir):
+    """Every row of the query against the usual table of common subsequences."""
+    import re
+
+    from quern.plans import catalogue, reports
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        return row[-1]
+
+    words = lambda t: re.findall(r"[a-z0-9_]+", (t or "").lower())
+    got = {r["key"]: r["rouge_l"] for r in catalogue.queries()["rouge_l"](spark, sf_dir).collect()}
+    pairs = reports._pairs(spark, sf_dir).collect()
+    assert len(got) == len(pairs) > 0
+    for r in pairs:
+        a, t = words(r["answer"]), words(r["truth"])
+        n = common(a, t)
+        assert got[r["key"]] == pytest.approx(2 * n / (len(a) + len(t)) if n else 0.0, abs=1e-6)
