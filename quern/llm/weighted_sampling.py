@@ -106,13 +106,13 @@ _KEY = "struct<n:boolean,i:bigint,h:bigint,m:bigint>"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null as '') and key, whose ascending order is that of descending ids, rows without id last."""
+    """text (null as '') and key, whose ascending order is that of descending ids, rows without id last."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # ~id turns the order round without overflow; the place tells repeated rows apart.
-    return rows.withColumn("key", F.struct(
+    return rows.select("text", F.struct(
         F.col("doc_id").isNull().alias("n"), F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long"))).alias("i"),
         F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"),
-    ))
+    ).alias("key"))
 
 
 def borders(rows: DataFrame, size: int = BLOCK, most: int = BORDERS, seed: int = 3) -> list[str]:
@@ -168,13 +168,13 @@ def edited(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     order = Window.partitionBy("block").orderBy("key")
     placed = rows.withColumn("block", block_of(F.col("key"), borders(rows))).select(
-        "block", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("follower")
+        "block", "key", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("follower")
     )
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
     return (
         following(placed, "text", F.col("follower").isNull())
-        .select("block", "place", "doc_id", "text", F.coalesce("follower", "over", F.lit("")).alias("next"))
+        .select("block", "place", F.when(~F.col("key.n"), F.bitwise_not("key.i")).alias("doc_id"), "text", F.coalesce("follower", "over", F.lit("")).alias("next"))
         .withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next"), F.lit(1), k)))
     )
 
