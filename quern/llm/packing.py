@@ -31,8 +31,8 @@ from .common import cut, documents
 from .tokens import encoder
 
 CAPACITY, END_ID = 1024, 2
-#: Nodes of the search in all, and of one try over a few bins; best-fit finishes what holds so many pieces or fewer.
-NODES, TRY_NODES, FEW = 4000, 400, 48
+#: Fillings that the search looks at in all, and in one try over a few bins; best-fit finishes what holds so many pieces or fewer.
+NODES, TRY_NODES, FEW = 6000, 600, 48
 Plan = list[tuple[tuple[int, ...], int]]
 
 
@@ -110,9 +110,11 @@ def sums_of(sizes: list[int], counts: Counter[int], room: int) -> list[int]:
     return out[::-1]
 
 
-def fillings(counts: Counter[int], room: int, waste: int) -> Iterator[tuple[int, ...]]:
+def fillings(counts: Counter[int], room: int, waste: int) -> Iterator[tuple[int, ...] | None]:
     """The undominated fillings of `room` from the lengths left that waste at most `waste`, least waste first.
 
+    None stands for each dominated one that was looked at, so that a caller can count them.
+
     Of equal waste those with longer pieces come first. A filling is dominated
     if some of its pieces (two or more, or one that is shorter) could be
     swapped for one piece that is left and no smaller than they are together,
@@ -120,6 +122,7 @@ def fillings(counts: Counter[int], room: int, waste: int) -> Iterator[tuple[int,
     """
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
     reach = sums_of(sizes, counts, room)
+    free = sum(1 << s for s, n in counts.items() if n)
 
     def grow(at: int, left: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
         while left:
@@ -138,24 +141,24 @@ def fillings(counts: Counter[int], room: int, waste: int) -> Iterator[tuple[int,
     for lost in range(min(waste, room) + 1):
         if reach[0] >> (room - lost) & 1:
             for filling in grow(0, room - lost, ()):
-                if not dominated(filling, counts, lost):
-                    yield filling
+                yield None if dominated(filling, counts, free, lost) else filling
+
 
+def dominated(filling: tuple[int, ...], counts: Counter[int], free: int, lost: int) -> bool:
+    """Whether a piece left besides `filling`, which leaves `lost` of its room, could stand for some of its pieces (see fillings).
 
-def dominated(filling: tuple[int, ...], counts: Counter[int], lost: int) -> bool:
-    """Whether a piece left besides `filling`, which leaves `lost` of its room, could stand for some of its pieces (see fillings)."""
+    `free` has a bit for each length in `counts`.
+    """
     one, many = 0, 0  # sums of one piece, and of several, as bits
     for s in filling:
         many |= (many | one) << s
         one |= 1 << s
-    used = Counter(filling)
+    for s, k in Counter(filling).items():
+        if counts[s] <= k:
+            free &= ~(1 << s)
     spread = 0
     for k in range(lost + 1):
         spread |= many << k | (one << k if k else 0)
-    free = 0
-    for s, n in counts.items():
-        if n > used.get(s, 0):
-            free |= 1 << s
     return bool(spread & free)
 
 
@@ -183,7 +186,7 @@ def least_bins(counts: Counter[int], capacity: int) -> int:
 
 
 def search(counts: Counter[int], capacity: int, target: int, nodes: int) -> tuple[Plan | None, int]:
-    """A plan of at most `target` bins, if one is met within `nodes` nodes, and the nodes it took.
+    """A plan of at most `target` bins, if one is met within `nodes` fillings looked at, and how many that were.
 
     Depth first, always around the largest length left. Without a limit the
     search would meet a plan whenever there is one.
@@ -191,10 +194,16 @@ def search(counts: Counter[int], capacity: int, target: int, nodes: int) -> tupl
     left, plan, used, total, spent = Counter(counts), [], 0, sum(s * n for s, n in counts.items()), 0
 
     def options() -> Iterator[tuple[tuple[int, ...], int]]:
+        nonlocal spent
         top = max(s for s, n in left.items() if n)
         slack = (target - used) * capacity - total  # what may still be wasted
         rest = Counter({s: n - (s == top) for s, n in left.items() if n - (s == top)})
         for f in fillings(rest, capacity - top, slack):
+            spent += 1
+            if f is None:
+                if spent >= nodes:
+                    return
+                continue
             filling = (top, *f)
             waste = capacity - sum(filling)
             times = min(left[s] // k for s, k in Counter(filling).items())
@@ -219,7 +228,6 @@ def search(counts: Counter[int], capacity: int, target: int, nodes: int) -> tupl
                 filling, times = plan.pop()
                 put(filling, -times)
             continue
-        spent += 1
         put(*step)
         plan.append(step)
         if not total:
