@@ -93,6 +93,7 @@ def read_contexts_csv(spark: SparkSession, path: str) -> DataFrame:
     return _normal(df, blank("user_input"), blank("reference"), ids)
 
 
+#: The names that configurations give the loaders.
 LOADERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csr_csv": read_csv, "csr_jsonl": read_json, "ultradomain_jsonl": read_long_json, "ragas_metadata_csv": read_contexts_csv,
 }
