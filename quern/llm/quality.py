@@ -32,6 +32,8 @@ SAMPLE = 20_000
 THRESHOLD = 0.7
 _CLASSES = [(re.compile(p), c) for p, c in ((r"[A-ZÀ-ÖØ-Þ]+", "\x01"), (r"[^\W\d_\x01]+", "\x02"), (r"\d+", "\x03"), (r"(.)\1+", r"\1"))]
 _CHUNK = 1 << 18
+#: Words whose buckets a worker remembers: some 20 MB; workers stay alive beside those of other stages.
+CACHED = 100_000
 
 
 class _Buckets(dict):
@@ -43,7 +45,7 @@ class _Buckets(dict):
             shape = pattern.sub(to, shape)
         code = zlib.crc32(word.lower().encode("utf-8", "replace")) % WORDS
         code |= (WORDS + zlib.crc32(shape[:16].encode("utf-8", "replace")) % SHAPES) << 20
-        if len(self) >= 500_000:
+        if len(self) >= CACHED:
             self.clear()
         self[word] = code
         return code
