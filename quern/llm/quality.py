@@ -32,8 +32,8 @@ SAMPLE = 20_000
 THRESHOLD = 0.7
 _CLASSES = [(re.compile(p), c) for p, c in ((r"[A-ZÀ-ÖØ-Þ]+", "\x01"), (r"[^\W\d_\x01]+", "\x02"), (r"\d+", "\x03"), (r"(.)\1+", r"\1"))]
 _CHUNK = 1 << 18
-#: Words whose buckets a worker remembers: some 20 MB; workers stay alive beside those of other stages.
-CACHED = 100_000
+#: Words whose buckets a worker remembers: some 40 MB; workers stay alive beside those of other stages.
+CACHED = 200_000
 
 
 class _Buckets(dict):
