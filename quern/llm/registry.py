@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, licenses, lm_score, media, mixing, packing, quality, secret_scan, simhash, token_counts, weighted_sampling
+from . import base, filter_audit, licenses, lm_score, media, mixing, packing, quality, secret_scan, simhash, spelling, token_counts, topk, weighted_sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,13 @@ def queries() -> dict[str, Query]:
         "op8_secret_scans": secret_scan.op8_secret_scans,
         "op9_mixing_sources": mixing.op9_mixing_sources,
         "op10_license_scans": licenses.op10_license_scans,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_exact_topk": topk.op12_exact_topk,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
         **{name: query for name, (query, _) in base.BASE.items()},
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in base.BASE.items()}
+    whole = {"op11_filter_audit": filter_audit.SQL, "op12_exact_topk": topk.SQL, "op13_spelling_variants": spelling.SQL}
+    return whole | {name: sql for name, (_, sql) in base.BASE.items()}
