@@ -4,8 +4,10 @@ Documents are tokenized where they lie; only (doc_id, piece, length, ...) rows
 go on. What a packing needs to know is how many pieces there are of each
 length: at most `capacity` numbers, however large the corpus. Bin completion
 with branch and bound runs over that histogram on the driver. Its first
-incumbent is best-fit decreasing. A search for fewer bins takes the largest
-length left, enumerates the undominated fillings around it by their waste,
+incumbent is best-fit decreasing. Large counts are divided by a scale first:
+what divides them all, then what leaves SMALL pieces; the fillings found are
+applied so many times, and what the division left is planned the same way. A
+search for fewer bins takes the largest length left, enumerates the undominated fillings around it by their waste,
 applies each as often as the counts allow and then once, gives up where the
 waste made so far or a lower bound of what is left is too much, and asks
 best-fit to finish what little is left. It runs over all pieces, and then again
@@ -18,6 +20,7 @@ of all pieces is spread over many tasks.
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -33,6 +36,8 @@ from .tokens import encoder
 CAPACITY, END_ID = 1024, 2
 #: Fillings that the search looks at in all, and in one try over a few bins; best-fit finishes what holds so many pieces or fewer.
 NODES, TRY_NODES, FEW = 6000, 600, 48
+#: Histograms of more pieces are planned in a smaller scale, beside as they are.
+SMALL = 20_000
 Plan = list[tuple[tuple[int, ...], int]]
 
 
@@ -244,23 +249,41 @@ def search(counts: Counter[int], capacity: int, target: int, nodes: int) -> tupl
     return None, spent
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, seed: int = 5) -> Plan:
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, seed: int = 5, small: int = SMALL) -> Plan:
     """(filling, times) pairs that pack `counts` pieces of each length, in as few bins as were found.
 
     Stops at a proven optimum (the lower bound) or after `nodes` nodes; the
-    incumbent then is the result. All pieces are packed in any case, and
-    equal counts give equal plans.
+    incumbent then is the result. All pieces are packed in any case, and equal
+    counts give equal plans. A common divisor of all counts is taken out, so
+    that k times the counts take at most k times the bins. More than `small`
+    pieces are also planned in a smaller scale, each filling as often as the
+    scale says, and then what is left; the plan of fewer bins is the result.
     """
     counts = Counter({s: n for s, n in counts.items() if n})
     if not counts:
         return []
     if min(counts) < 1 or max(counts) > capacity:
         raise ValueError("lengths must lie between 1 and the capacity")
+    scale = math.gcd(*counts.values())
+    counts = Counter({s: n // scale for s, n in counts.items()})
     best, bound = best_fit(counts, capacity), least_bins(counts, capacity)
+    part = -(-counts.total() // small)
+    if part > 1 and (few := Counter({s: n // part for s, n in counts.items() if n >= part})):
+        left = counts - Counter({s: n * part for s, n in few.items()})
+        scaled = merged([(f, n * part) for f, n in complete_bins(few, capacity, nodes, seed, small)] + complete_bins(left, capacity, nodes, seed, small))
+        best = min(scaled, best, key=bins_of)
     if bins_of(best) > bound:
         found, spent = search(counts, capacity, bound, nodes // 3)
         best = found or fewer_by_few(best, capacity, bound, nodes - spent, seed)
-    return best
+    return [(f, n * scale) for f, n in best]
+
+
+def merged(plan: Plan) -> Plan:
+    """Equal fillings as one."""
+    times: Counter[tuple[int, ...]] = Counter()
+    for f, n in plan:
+        times[tuple(sorted(f, reverse=True))] += n
+    return list(times.items())
 
 
 def fewer_by_few(plan: Plan, capacity: int, bound: int, nodes: int, seed: int) -> Plan:
@@ -269,9 +292,7 @@ def fewer_by_few(plan: Plan, capacity: int, bound: int, nodes: int, seed: int) -
     Half of the few are the most wasteful ones, the others are drawn from `seed`.
     """
     rng = random.Random(seed)
-    best: Counter[tuple[int, ...]] = Counter()
-    for f, n in plan:
-        best[tuple(sorted(f, reverse=True))] += n
+    best: Counter[tuple[int, ...]] = Counter(dict(merged(plan)))
     size, tries, spent = 16, 0, 0
     while best.total() > bound and spent < nodes:
         chosen: Counter[tuple[int, ...]] = Counter()
@@ -306,50 +327,51 @@ def fewer_by_few(plan: Plan, capacity: int, bound: int, nodes: int, seed: int) -
     return list(best.items())
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`items`, which have a column `length` (1 to `capacity`), with sequence_id and offset.
 
-    `items` is read twice: give it checkpointed or stored. `order` names the
-    columns that tell equally long items apart; full ties are interchangeable.
+    Each row gets a number of its own, with which it is written once; rows of
+    one length are counted out by these numbers, so that rows without id, of
+    one id, or alike in all columns are as spread as any others. Equally long
+    rows are interchangeable. An empty table gives an empty one.
     """
     spark = items.sparkSession
+    items, own = cut(items.withColumn("__at", F.monotonically_increasing_id())), items.columns
     by_length = items.groupBy("length").count().collect()  # at most `capacity` rows
     counts = {r["length"]: r["count"] for r in by_length}
-    slots, sequence = [], 0
-    rank = Counter()
+    slots: dict[int, list] = {}
+    rank, sequence = Counter(), 0
     for filling, times in complete_bins(counts, capacity):
         offset = 0
         for size in filling:
-            slots.append((size, rank[size], rank[size] + times, sequence, offset))
+            slots.setdefault(size, []).append((rank[size], sequence, offset))
             rank[size] += times
             offset += size
         sequence += times
     salts = max(16, sum(counts.values()) // 100_000)
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = items.withColumn("__salt", F.pmod(F.xxhash64("__at"), F.lit(salts)))
     of_salt = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     begin = of_salt.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__begin"))
-    within = Window.partitionBy("length", "__salt").orderBy(*order)
+    within = Window.partitionBy("length", "__salt").orderBy("__at")
     ranked = (
         salted.withColumn("__rank", F.row_number().over(within) - 1)
         .join(begin, ["length", "__salt"])
         .withColumn("__rank", F.col("__rank") + F.col("__begin"))
     )
-    # Each length has one entry for each slot of a filling: bounded by the search, not by the corpus.
-    table = spark.createDataFrame(
-        slots, "length long, __first long, __end long, __sequence long, offset long"
-    )
+    # A row for each length, with the runs of ranks that fill one place of a filling: bounded by the search, not by the corpus.
+    table = spark.createDataFrame(list(slots.items()), "length long, __runs array<struct<first:long,sequence:long,offset:long>>")
+    run = F.element_at("__runs", F.size(F.filter("__runs", lambda r: r["first"] <= F.col("__rank"))))  # they come by rank
     return (
         ranked.join(F.broadcast(table), "length")
-        .where("__rank >= __first and __rank < __end")
-        .withColumn("sequence_id", F.col("__sequence") + F.col("__rank") - F.col("__first"))
-        .select(*items.columns, "sequence_id", "offset")
+        .withColumn("__run", run)
+        .select(*own, (F.col("__run.sequence") + F.col("__rank") - F.col("__run.first")).alias("sequence_id"), F.col("__run.offset").alias("offset"))
     )
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Whole documents cut, packed and placed: the pieces with sequence_id and offset."""
-    return pack(cut(pieces(docs, capacity)), capacity)
+    return pack(pieces(docs, capacity), capacity)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
