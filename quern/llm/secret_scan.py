@@ -5,15 +5,17 @@ of base64 or hex characters and dotted tokens, are reported only when decoding
 confirms a structure:
 
 * jwt: header and payload decode to JSON objects, and the header names an algorithm;
-* der: the bytes are an ASN.1 sequence whose nested lengths add up exactly and that holds integers;
-* ssh: length-prefixed fields, an algorithm's name first, fill the bytes exactly, or an OpenSSH key file's
-  fields do, with its public keys among them;
-* pem: the lines between a BEGIN and the next END mark of a key decode to der or ssh, or its headers name a
-  cipher, an initial vector of that cipher's size, and the bytes are whole blocks of it;
+* der: the bytes are an ASN.1 sequence whose nested lengths add up exactly and that has a private key's form: a
+  version and then a key's integers (PKCS#1, DSA), octets (SEC1) or an algorithm and octets (PKCS#8), or an
+  algorithm and encrypted octets;
+* ssh: an OpenSSH private key file's length-prefixed fields fill the bytes exactly, its public keys among them;
+* pem: the lines between a BEGIN and the next END mark of a private key decode to der or ssh, or its headers
+  name a cipher, an initial vector of that cipher's size, and the bytes are whole blocks of it;
 * basic: decodes to printable user:password after the word Basic.
 
+Public keys and certificates have structures of their own and are no secrets.
 A run may follow anything that is no character of its alphabet, '=' included,
-or an escape such as \\n, whose letters are not taken for the run's own.
+an escape such as \\n, whose letters are not taken for the run's own, or 0x.
 
 Everything is decided from one text at a time, so the scan is a single map
 without a shuffle, and a lost executor costs the texts it was reading. Every
@@ -103,51 +105,71 @@ def _der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
+#: Tags of an integer, octets, an object's name and a sequence.
+_INTEGER, _OCTETS, _NAME, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
+
+
 def is_der(data: bytes, least: int = 24) -> bool:
-    """A sequence that fills `data`, with well-formed contents down to the last byte and an integer or key bits in it."""
+    """A sequence that fills `data`, with well-formed contents down to the last byte, in a private key's form."""
     top = _der_item(data, 0, len(data))
-    if len(data) < least or not top or top[0] != 0x30 or top[2] != len(data):
+    if len(data) < least or not top or top[0] != _SEQUENCE or top[2] != len(data):
         return False
-    todo, items, keyed = [top], 0, False
+    todo, first = [top], []
     while todo:
-        _, at, end = todo.pop()
+        item = todo.pop()
+        at, end = item[1:]
         while at < end:
             found = _der_item(data, at, end)
-            items += 1
-            if not found or items > 10_000:
+            if not found:
                 return False
-            tag, begin, at = found
-            keyed |= tag in (0x02, 0x03, 0x04) and at - begin >= 1
-            if tag & 0x20:
+            at = found[2]
+            if item is top:
+                first.append(found)
+            if found[0] & 0x20:
                 todo.append(found)
-    return keyed and items >= 2
+    return _is_private(data, first)
+
+
+def _is_private(data: bytes, items: list[tuple[int, int, int]]) -> bool:
+    """Whether these items of a key's sequence are a private key's and not a public key's or a certificate's."""
+    tags = [tag for tag, *_ in items]
+    named = [tag == _SEQUENCE and end > begin and data[begin] == _NAME for tag, begin, end in items]
+    if tags[:2] == [_SEQUENCE, _OCTETS]:
+        return len(items) == 2 and named[0]
+    if not tags or tags[0] != _INTEGER or items[0][2] - items[0][1] != 1 or data[items[0][1]] > 3:
+        return False
+    return tags[1:6] == [_INTEGER] * 5 or tags[1:2] == [_OCTETS] or tags[1:3] == [_SEQUENCE, _OCTETS] and named[1]
 
 
 _MAGIC = b"openssh-key-v1\0"
 
 
-def _fields(data: bytes, at: int = 0, most: int = 10_000) -> tuple[list[bytes], int]:
+def _fields(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int]:
     """The length-prefixed fields from `at` on, up to `most`, and where they end (beyond the data if one is cut off)."""
     out: list[bytes] = []
-    while at + 4 <= len(data) and len(out) < most:
+    while at + 4 <= len(data) and (most is None or len(out) < most):
         n = int.from_bytes(data[at : at + 4], "big")
         out.append(data[at + 4 : at + 4 + n])
         at += 4 + n
     return out, at
 
 
+def is_ssh_public(data: bytes) -> bool:
+    """Two or more length-prefixed fields, the first a key algorithm's name."""
+    found, end = _fields(data)
+    return end == len(data) and len(found) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", found[0]))
+
+
 def is_ssh(data: bytes) -> bool:
-    """Two or more length-prefixed fields, the first a key algorithm's name, or an OpenSSH private key file:
-    cipher, key derivation, its options, a number of keys, as many public keys, and the private part."""
+    """An OpenSSH private key file: cipher, key derivation, its options, a number of keys, as many public keys, and the private part."""
     if not data.startswith(_MAGIC):
-        found, end = _fields(data)
-        return end == len(data) and len(found) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", found[0]))
+        return False
     head, at = _fields(data, len(_MAGIC), 3)
     if len(head) < 3 or at + 4 > len(data) or not all(re.fullmatch(rb"[a-z0-9@.-]{1,60}", x) for x in head[:2]):
         return False
     keys = int.from_bytes(data[at : at + 4], "big")
     rest, end = _fields(data, at + 4)
-    return end == len(data) and 1 <= keys == len(rest) - 1 and len(rest[-1]) >= 8 and all(is_ssh(k) and not k.startswith(_MAGIC) for k in rest[:-1])
+    return end == len(data) and 1 <= keys == len(rest) - 1 and len(rest[-1]) >= 8 and all(map(is_ssh_public, rest[:-1]))
 
 
 def is_encrypted(head: list[str], data: bytes) -> bool:
@@ -161,10 +183,10 @@ def is_encrypted(head: list[str], data: bytes) -> bool:
 
 
 def _pem_bodies(text: str) -> Iterator[tuple[int, int, str]]:
-    """Start, end and contents of each BEGIN mark of a key or certificate with the END mark of its name right after it."""
+    """Start, end and contents of each BEGIN mark of a private key with the END mark of its name right after it."""
     begun = None
     for m in _MARK.finditer(text):
-        if m[1] == "END" and begun and begun[2] == m[2] and ("KEY" in m[2] or "CERTIFICATE" in m[2]):
+        if m[1] == "END" and begun and begun[2] == m[2] and "KEY" in m[2] and "PUBLIC" not in m[2]:
             if _BODY.fullmatch(text, begun.end(), m.start()):
                 yield begun.start(), m.end(), text[begun.end() : m.start()]
         begun = m if m[1] == "BEGIN" else None
@@ -189,9 +211,10 @@ def structure(run: str) -> str | None:
 
 
 def _starts(text: str, start: int) -> list[int]:
-    """Where the run found at `start` may begin: there, and behind the letters of an escape whose backslash stands before."""
+    """Where the run found at `start` may begin: there, behind the letters of an escape whose backslash stands before, and behind 0x."""
     escape = _ESCAPE.match(text, start) if start and text[start - 1] == "\\" else None
-    return [start, escape.end()] if escape else [start]
+    out = [start, escape.end()] if escape else [start]
+    return out + [a + 2 for a in out if text.startswith(("0x", "0X"), a)]
 
 
 def _unescaped(body: str) -> str:

@@ -211,7 +211,9 @@ def test_op8_base_and_confirmed():
 
 
 PKCS8 = base64.b64encode(bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))).decode()
-SSH = base64.b64encode(b"\0\0\0\x0bssh-ed25519\0\0\0 " + bytes(range(200, 232))).decode()
+FIELD = lambda b: len(b).to_bytes(4, "big") + b
+PUBLIC = FIELD(b"ssh-ed25519") + FIELD(bytes(range(200, 232)))
+SSH = base64.b64encode(b"openssh-key-v1\0" + FIELD(b"none") * 2 + FIELD(b"") + (1).to_bytes(4, "big") + FIELD(PUBLIC) + FIELD(b"p" * 63)).decode()
 JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl"
 PEM = f"-----BEGIN PRIVATE KEY-----\n{PKCS8}\n-----END PRIVATE KEY-----"
 

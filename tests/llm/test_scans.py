@@ -41,6 +41,46 @@ def test_pem_is_parsed(secret, want):
         assert ("pem" in kinds(text)) == want
 
 
+def der(tag, *parts):
+    """An ASN.1 item with the shortest form of its length."""
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+ZERO, ONE, BIG, NAME = der(2, b"\0"), der(2, b"\1"), der(2, bytes(range(1, 40))), der(6, bytes.fromhex("2a864886f70d010101"))
+PRIVATE = {
+    "rsa": der(0x30, ZERO, *[BIG] * 8), "dsa": der(0x30, ZERO, *[BIG] * 5), "sec1": der(0x30, ONE, der(4, bytes(range(32)))), "pkcs8": der(0x30, ZERO, der(0x30, NAME), der(4, bytes(range(40)))),
+    "encrypted": der(0x30, der(0x30, NAME), der(4, bytes(range(40)))), "many integers": der(0x30, ZERO, *[BIG] * 10_050), "deep": der(0x30, ZERO, der(0x30, NAME, der(0x30, *[der(5)] * 12_000)), der(4, bytes(40))),
+}
+OPEN = {
+    "spki": der(0x30, der(0x30, NAME), der(3, bytes(range(40)))), "rsa public": der(0x30, BIG, ONE), "certificate": der(0x30, der(0x30, ZERO, der(0x30, NAME), BIG), der(0x30, NAME), der(3, bytes(range(40)))),
+    "integers": der(0x30, *[BIG] * 9), "signature": der(0x30, BIG, BIG), "cut off": PRIVATE["rsa"][:-1], "ssh public": PUBLIC,
+}
+
+
+@pytest.mark.parametrize("name", PRIVATE)
+def test_private_forms_are_found_whatever_their_length(name):
+    shown, dump = base64.b64encode(PRIVATE[name]).decode(), PRIVATE[name].hex()
+    assert spans_of(f"key: {shown} end") == [("der", 5, 5 + len(shown))]
+    assert ("der", 7, 7 + len(dump)) in spans_of(f"key: 0x{dump};") and ("der", 2, 2 + len(dump)) in spans_of("0X" + dump.upper())
+    assert kinds(pem("PRIVATE KEY", PRIVATE[name]).replace("PRIVATE KEY", "RSA PRIVATE KEY")).count("pem") == 1
+
+
+@pytest.mark.parametrize("name", OPEN)
+def test_public_forms_are_no_secrets(name):
+    shown = base64.b64encode(OPEN[name]).decode()
+    for text in (f"ssh-ed25519 {shown} user@host", f"key: {shown}", pem("PUBLIC KEY", OPEN[name]), pem("CERTIFICATE", OPEN[name]), "0x" + OPEN[name].hex()):
+        assert kinds(text) == []
+        assert shown not in text or secret_scan.redacted_text(text).count(shown) == 1
+
+
+def test_ssh_files_of_many_keys():
+    many = b"openssh-key-v1\0" + FIELD(b"none") * 2 + FIELD(b"") + (11_000).to_bytes(4, "big") + FIELD(PUBLIC) * 11_000 + FIELD(b"p" * 64)
+    assert secret_scan.is_ssh(many) and not secret_scan.is_ssh(many[:-1]) and not secret_scan.is_ssh(PUBLIC)
+
+
 M = 5_000_000
 LONG = {
     "begin": "-----BEGIN RSA PRIVATE KEY-----\n" * (M // 32), "end": "a-----END KEY-----" * (M // 18), "slashes": "-----BEGIN KEY-----" + "\\" * M + "-----END KEY-----",
