@@ -17,7 +17,9 @@ reruns and retried tasks agree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, documents, numbered
@@ -25,23 +27,39 @@ from .common import WORD, cut, documents, numbered
 WEIGHTS, SHARE, CAP, GROUP = (5, 2, 1), 1.5, 2.0, 256
 RUN = 4096
 _KEY = ("doc_id", "source", "size")
+#: With it rows alike in the key are told apart by what they hold, as 128 bits.
+_CONTENTS = (*_KEY, "h1", "h2")
+_TYPES = {"source": "string"}
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words; 0 for null), with copies told apart by nth (from 1).
+def _hashes(docs: DataFrame) -> list[Column]:
+    """h1 and h2: 128 bits that stand for a whole row."""
+    hashed = lambda f: F.col(f"`{f.name}`").cast("string") if re.search("map|variant", f.dataType.simpleString()) else F.col(f"`{f.name}`")
+    columns = [hashed(f) for f in docs.schema]
+    return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2")]
 
-    Rows alike in these three are interchangeable, so each is counted and laid
-    out again, RUN at a time, so that no array grows with their number.
-    """
-    rows = docs.select(
+
+def _sizes(docs: DataFrame) -> list[Column]:
+    return [
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
-    counted = rows.groupBy(*_KEY).agg(F.count("*").alias("n"))
+    ]
+
+
+def sized(docs: DataFrame, contents: bool = False) -> DataFrame:
+    """doc_id, source and size (words; 0 for null), with copies told apart by nth (from 1).
+
+    Rows alike in these three, and with `contents` in all their columns (h1 and
+    h2 stand for them), are interchangeable, so each is counted and laid out
+    again, RUN at a time, so that no array grows with their number.
+    """
+    key = _CONTENTS if contents else _KEY
+    rows = docs.select(*_sizes(docs), *(_hashes(docs) if contents else []))
+    counted = rows.groupBy(*key).agg(F.count("*").alias("n"))
     runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))
-    begun = counted.select(*_KEY, "n", F.explode(F.transform(runs, lambda k: k * RUN)).alias("before"))
-    return begun.select(*_KEY, F.explode(F.sequence(F.col("before") + 1, F.least(F.col("n"), F.col("before") + RUN))).alias("nth"))
+    begun = counted.select(*key, "n", F.explode(F.transform(runs, lambda k: k * RUN)).alias("before"))
+    return begun.select(*key, F.explode(F.sequence(F.col("before") + 1, F.least(F.col("n"), F.col("before") + RUN))).alias("nth"))
 
 
 def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -85,13 +103,14 @@ def _uniform(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def _fold(undecided: DataFrame, group: list[str], seed: int) -> DataFrame:
+def _fold(undecided: DataFrame, group: list[str], seed: int, key: tuple[str, ...] = _KEY) -> DataFrame:
     """One level of the tree: `done` (ids with up) and `carry` (at most one) for each group.
 
     Items are (id, a, p): a hash that names a document's copy, its size and
     its probability to be taken once more.
     """
-    item = "struct<a:double,id:bigint,doc_id:bigint,source:string,size:bigint,nth:bigint,p:double>"
+    own = ",".join(f"{c}:{_TYPES.get(c, 'bigint')}" for c in key)
+    item = f"struct<a:double,id:bigint,{own},nth:bigint,p:double>"
     start = F.expr(f"named_struct('c', cast(null as {item}), 'done', cast(array() as array<{item}>))")
 
     def settled(x: Column, p: Column) -> Column:
@@ -117,23 +136,24 @@ def _fold(undecided: DataFrame, group: list[str], seed: int) -> DataFrame:
         )
 
     # Large documents first: what stays undecided among many small ones then tends to be small.
-    items = F.reverse(F.array_sort(F.collect_list(F.struct("a", "id", *_KEY, "nth", "p"))))
+    items = F.reverse(F.array_sort(F.collect_list(F.struct("a", "id", *key, "nth", "p"))))
     return undecided.groupBy(*group).agg(items.alias("items")).select(
         *group, F.aggregate("items", start, step).alias("state")
     )
 
 
 def decide(rows: DataFrame, rates: DataFrame, seed: int = 1, group: int = GROUP) -> DataFrame:
-    """`rows` (doc_id, source, size, nth) with copies (long): how often each is taken.
+    """`rows` (doc_id, source, size, h1 and h2 if they are told apart by contents, nth) with copies (long): how often each is taken.
 
     `rates` holds a rate for each source: it is small beside the documents but
     not bounded, so the join is Spark's to plan. Sizes of 0 are taken 0 times.
     """
+    key = _CONTENTS if "h1" in rows.columns else _KEY
     rated = rows.join(rates.select(F.col("source").alias("__source"), "rate"), F.col("source").eqNullSafe(F.col("__source")))
-    mark = F.xxhash64(F.lit(seed), *_KEY, "nth")
+    mark = F.xxhash64(F.lit(seed), *key, "nth")
     held = cut(
         rated.select(
-            mark.alias("id"), *_KEY, "nth", F.col("size").cast("double").alias("a"),
+            mark.alias("id"), *key, "nth", F.col("size").cast("double").alias("a"),
             F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"),
         )
     )
@@ -149,7 +169,7 @@ def decide(rows: DataFrame, rates: DataFrame, seed: int = 1, group: int = GROUP)
             "__group", F.pmod("id", F.col("__width"))
         ).drop("__source", "__width")
     while groups:
-        folded = cut(_fold(waiting, ["source", "__group"], seed + level).select(
+        folded = cut(_fold(waiting, ["source", "__group"], seed + level, key).select(
             F.col("source").alias("__source"), "__group", "state"))
         done.append(folded.select(F.explode("state.done").alias("d")).select("d.*"))
         waiting = folded.where("state.c is not null").select("state.c.*", "__group")
@@ -159,22 +179,23 @@ def decide(rows: DataFrame, rates: DataFrame, seed: int = 1, group: int = GROUP)
             break
         waiting = waiting.withColumn("__group", F.floor(F.col("__group") / group))
         groups, level = -(-groups // group), level + 1
-    out = held.withColumn("more", F.lit(0.0)).select(*_KEY, "nth", "whole", "more")
+    out = held.withColumn("more", F.lit(0.0)).select(*key, "nth", "whole", "more")
     for d in done:
-        out = out.unionByName(d.select(*_KEY, "nth", F.lit(0).cast("long").alias("whole"), F.col("p").alias("more")))
-    return out.groupBy(*_KEY, "nth").agg(
+        out = out.unionByName(d.select(*key, "nth", F.lit(0).cast("long").alias("whole"), F.col("p").alias("more")))
+    return out.groupBy(*key, "nth").agg(
         F.when(F.col("size") > 0, F.sum("whole") + F.sum("more").cast("long")).otherwise(F.lit(0)).cast("long").alias("copies")
     )
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 1) -> DataFrame:
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 1, contents: bool = False) -> DataFrame:
     """doc_id, source, size, nth, source_size, target and copies, a row for each row of `docs`.
 
     A null text has size 0, null sources are a source of their own, and an
     empty table gives an empty result. Rows alike in doc_id, source and size
-    are numbered by nth.
+    are numbered by nth; with `contents` only those alike in all columns are,
+    and h1 and h2 stand for these.
     """
-    rows = cut(sized(docs))
+    rows = cut(sized(docs, contents))
     table = cut(targets(rows, weights, share, cap))
     taken = decide(rows, table, seed)
     source = table.select(F.col("source").alias("__source"), "source_size", "target")
@@ -182,22 +203,30 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 1) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it."""
-    plan = mixed(docs, weights, share, cap, seed).where("copies > 0").select(
-        *[F.col(c).alias(f"__{c}") for c in _KEY], F.col("nth").alias("__nth"), F.col("copies").alias("__copies")
-    )
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = docs.withColumn("__s", size)
-    order = Window.partitionBy("doc_id", "source", "__s").orderBy("text")
-    keyed = keyed.withColumn("__n", F.row_number().over(order))
-    match = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-        & (F.col("__s") == F.col("__size"))
-        & (F.col("__n") == F.col("__nth"))
-    )
-    kept = keyed.join(plan, match).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
-    return kept.select(*docs.columns)
+    """The rows of `docs`, each as often as the mix takes it.
+
+    Which rows are taken is settled over narrow ones, told apart by their
+    contents; whole rows are shuffled once, by their hash. Rows alike in all
+    columns are one row on the way, so that neither an id nor a text nor a
+    missing id is a hot key; where more than RUN copies of such a row are
+    taken, they are dealt out again before they are laid out. Null ids, texts
+    and sources are values like any other, and an empty table gives none.
+    """
+    plan = cut(mixed(docs, weights, share, cap, seed, contents=True).groupBy("h1", "h2").agg(F.sum("copies").alias("__copies")).where("__copies > 0"))
+    row = F.first(F.struct(*[f"`{c}`" for c in docs.columns])).alias("__row")
+    taken = docs.groupBy(*_hashes(docs)).agg(row).join(plan, ["h1", "h2"]).select("__row", "__copies")
+    laid = lambda df: df.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select("__row.*")
+    if not (plan.agg(F.max("__copies")).first()[0] or 0) > RUN:
+        return laid(taken)
+    begun = F.explode(F.sequence(F.lit(0).cast("long"), "__copies", F.lit(RUN).cast("long"))).alias("__begun")
+    runs = taken.where(F.col("__copies") > RUN).select("__row", "__copies", begun)
+    dealt = runs.select("__row", F.least(F.lit(RUN), F.col("__copies") - F.col("__begun")).cast("long").alias("__copies")).where("__copies > 0")
+    parts = max(8, spark_partitions(docs))
+    return laid(taken.where(F.col("__copies") <= RUN)).unionByName(laid(dealt.repartition(parts)))
+
+
+def spark_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

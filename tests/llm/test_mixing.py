@@ -72,7 +72,7 @@ def test_mix_repeats_whole_rows(odd):
     assert all(0 < n <= 2 * rows.count(k) for k, n in out.items())
     words = lambda t: len((t or "").split())
     by = Counter()
-    for r in mixing.mixed(odd).collect():
+    for r in mixing.mixed(odd, contents=True).collect():
         by[r["doc_id"], r["source"], r["size"]] += r["copies"]
     again = Counter()
     for (d, s, t, _), n in out.items():
@@ -80,6 +80,22 @@ def test_mix_repeats_whole_rows(odd):
     assert +by == again
 
 
+def test_rows_without_ids_and_hot_rows(spark):
+    """All ids null, further columns that alone tell rows apart, maps among them, and one row more often than RUN."""
+    rows = [(None, "a", f"word {i % 7} more", {"k": i % 5}) for i in range(200)] + [(None, None, "the same words", None)] * (2 * mixing.RUN)
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, extra map<string,int>")
+    plain = lambda r: (*r[:3], tuple(sorted((r[3] or {}).items())))
+    own, out = Counter(map(plain, docs.collect())), Counter(map(plain, mixing.mix(docs).collect()))
+    assert all(0 < n <= 2 * own[k] for k, n in out.items())
+    by = Counter()
+    for r in mixing.mixed(docs, contents=True).collect():
+        by[r["source"]] += r["copies"] * r["size"]
+    again = Counter()
+    for (_, s, t, _), n in out.items():
+        again[s] += n * len(t.split())
+    assert again == +by and max(out.values()) > mixing.RUN
+
+
 def test_empty(odd):
     empty = odd.limit(0)
     assert mixing.mixed(empty).collect() == [] and mixing.mix(empty).collect() == []

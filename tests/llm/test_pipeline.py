@@ -1,4 +1,4 @@
-"""The pipeline's stages by contents, on odd rows and end to end."""
+"""The pipeline's stages by contents, on odd rows, and the pipeline as a whole."""
 
 from collections import Counter
 
@@ -87,7 +87,7 @@ def test_mix_sources(spark, odd, sf_dir):
     assert all(n <= 2 * own[k] for k, n in out.items())
     i, s, t = (odd.columns.index(c) for c in ("doc_id", "source", "text"))
     taken, again = Counter(), Counter()
-    for r in mixing.mixed(odd).collect():
+    for r in mixing.mixed(odd, contents=True).collect():
         taken[r["doc_id"], r["source"], r["size"]] += r["copies"]
     for k, n in out.items():
         again[k[i], k[s], len((k[t] or "").split())] += n
@@ -95,7 +95,7 @@ def test_mix_sources(spark, odd, sf_dir):
     assert again == +taken
 
 
-def test_run_end_to_end(spark, odd, sf_dir, tmp_path):
+def test_run_whole(spark, odd, sf_dir, tmp_path):
     """run() on odd rows gives what the stages give one after the other, each written and read again."""
     docs = odd.drop("piece", "length")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
