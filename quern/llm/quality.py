@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,20 +32,29 @@ SAMPLE = 20_000
 THRESHOLD = 0.7
 _CLASSES = [(re.compile(p), c) for p, c in ((r"[A-ZÀ-ÖØ-Þ]+", "\x01"), (r"[^\W\d_\x01]+", "\x02"), (r"\d+", "\x03"), (r"(.)\1+", r"\1"))]
 _CHUNK = 1 << 18
-#: Words whose buckets a worker remembers: some 40 MB; workers stay alive beside those of other stages.
-CACHED = 200_000
+#: Bytes that the words whose buckets a task remembers may take. Workers stay alive beside those of other stages, so all is forgotten when a task ends.
+CACHED = 32 << 20
+#: About what a short word and its number take in a dictionary beside its letters.
+_ENTRY = 150
 
 
 class _Buckets(dict):
     """Word -> its bucket and its shape's, as one number; bounded by forgetting all."""
 
+    size = 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
     def __missing__(self, word: str) -> int:
         shape = word
         for pattern, to in _CLASSES:
             shape = pattern.sub(to, shape)
         code = zlib.crc32(word.lower().encode("utf-8", "replace")) % WORDS
         code |= (WORDS + zlib.crc32(shape[:16].encode("utf-8", "replace")) % SHAPES) << 20
-        if len(self) >= CACHED:
+        self.size += _ENTRY + (len(word) if word.isascii() else 4 * len(word))
+        if self.size > CACHED:
             self.clear()
         self[word] = code
         return code
@@ -54,6 +63,18 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
+def _forgetting(each: Callable) -> Callable:
+    """`each` over the batches of a task, after which the words' buckets are forgotten."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            _buckets.clear()
+
+    return task
+
+
 def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets and shape buckets of all texts in a row, and each text's number of words."""
     parts, lengths = [], np.zeros(len(texts), np.int64)
@@ -119,7 +140,7 @@ def context_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     schema = "bucket long, n long, " + ", ".join(f"{f} long" for f in fields)
     sums = (
         docs.select(F.col("text").cast("string").alias("text"))
-        .mapInArrow(each, schema)
+        .mapInArrow(_forgetting(each), schema)
         .groupBy("bucket")
         .agg(F.sum("n").alias("n"), *[F.sum(f).alias(f) for f in fields])
         .toPandas()  # BUCKETS rows at most
@@ -263,7 +284,7 @@ class Classifier:
         )
         found = (
             rows.select("doc_id", "text", F.col("__label").alias("label"), F.xxhash64("text").alias("h"))
-            .mapInArrow(each, "doc_id long, label int, h long, x array<double>")
+            .mapInArrow(_forgetting(each), "doc_id long, label int, h long, x array<double>")
             .groupBy("doc_id")  # a row for each sampled id, however many rows have it
             .agg(F.max("label").alias("label"), F.min_by("x", "h").alias("x"))
             .toPandas()
@@ -293,7 +314,7 @@ class Classifier:
                     scores = network.scores(pooling.features(texts))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*own, name])
 
-        return kept.mapInArrow(each, schema)
+        return kept.mapInArrow(_forgetting(each), schema)
 
 
 def predicted(score: Column, threshold: float = THRESHOLD) -> Column:
