@@ -20,3 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
     """`df`, written to the checkpoint folder and read from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, for tables that jobs hand on to each other."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()

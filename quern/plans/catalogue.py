@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basics, graphs, merges, reports, retrieval, texts  # noqa: F401  they register their queries
+from . import basics, graphs, merges, paths, reports, retrieval, texts  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
