@@ -33,7 +33,7 @@ THRESHOLD = 0.7
 _CLASSES = [(re.compile(p), c) for p, c in ((r"[A-ZÀ-ÖØ-Þ]+", "\x01"), (r"[^\W\d_\x01]+", "\x02"), (r"\d+", "\x03"), (r"(.)\1+", r"\1"))]
 _CHUNK = 1 << 18
 #: Bytes that the words whose buckets a task remembers may take. Workers stay alive beside those of other stages, so all is forgotten when a task ends.
-CACHED = 32 << 20
+CACHED = 64 << 20
 #: About what a short word and its number take in a dictionary beside its letters.
 _ENTRY = 150
 
@@ -47,17 +47,20 @@ class _Buckets(dict):
         super().clear()
         self.size = 0
 
-    def __missing__(self, word: str) -> int:
-        shape = word
-        for pattern, to in _CLASSES:
-            shape = pattern.sub(to, shape)
-        code = zlib.crc32(word.lower().encode("utf-8", "replace")) % WORDS
-        code |= (WORDS + zlib.crc32(shape[:16].encode("utf-8", "replace")) % SHAPES) << 20
-        self.size += _ENTRY + (len(word) if word.isascii() else 4 * len(word))
+    def learn(self, words: set[str]) -> None:
+        """Know all of `words`, which hold no white space: those that are new go through each pattern as one text, a word a line."""
         if self.size > CACHED:
             self.clear()
-        self[word] = code
-        return code
+        if not (new := list(words.difference(self))):
+            return
+        shapes = text = "\n".join(new)
+        for pattern, to in _CLASSES:
+            shapes = pattern.sub(to, shapes)
+        shapes = [x[:16] for x in shapes.split("\n")]
+        of_shape = {x: (WORDS + zlib.crc32(x.encode("utf-8", "replace")) % SHAPES) << 20 for x in set(shapes)}
+        lower = text.lower().encode("utf-8", "replace").split(b"\n")
+        self.update(zip(new, (zlib.crc32(w) % WORDS | of_shape[x] for w, x in zip(lower, shapes))))
+        self.size += _ENTRY * len(new) + (len(text) if text.isascii() else 2 * len(text))
 
 
 _buckets = _Buckets()
@@ -77,12 +80,14 @@ def _forgetting(each: Callable) -> Callable:
 
 def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets and shape buckets of all texts in a row, and each text's number of words."""
-    parts, lengths = [], np.zeros(len(texts), np.int64)
+    words: list[str] = []
+    lengths = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        if words := (text or "").split():
-            lengths[i] = len(words)
-            parts.append(np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words)))
-    both = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        own = (text or "").split()
+        lengths[i] = len(own)
+        words += own
+    _buckets.learn(set(words))
+    both = np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words))
     return both & ((1 << 20) - 1), both >> 20, lengths
 
 

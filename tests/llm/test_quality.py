@@ -96,3 +96,26 @@ def test_held_out_accuracy(spark):
     auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
     print("held-out AUC", auc)
     assert auc > 0.9
+
+
+def test_words_learnt_in_bulk_have_the_buckets_of_one_by_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    signs = list("abAÀÞ×ß_19.,!-éΩΣσςİ漢ªⅣ²ʰ\x01\x02…")
+    words = {"".join(rng.choice(signs, rng.integers(1, 7))) for _ in range(5000)} | {"a\ud800b"}
+    held = Q._Buckets()
+    held.learn(words)
+    for w in words - {"a\ud800b"}:
+        word, shape = buckets(w)
+        assert held[w] == word | shape << 20
+    monkeypatch.setattr(Q, "CACHED", held.size - 1)
+    held.learn({"new"})
+    assert set(held) == {"new"} and held.size < 1000  # too many: all was forgotten first
+
+
+def test_a_task_forgets_its_words():
+    import pyarrow as pa
+
+    task = Q._forgetting(lambda batches: (Q._codes(b.column(0).to_pylist()) for b in batches))
+    for _ in task(iter([pa.RecordBatch.from_arrays([pa.array(["some words", None])], ["t"])])):
+        assert set(Q._buckets) == {"some", "words"}
+    assert not Q._buckets and Q._buckets.size == 0
