@@ -115,6 +115,7 @@ def test_words_learnt_in_bulk_have_the_buckets_of_one_by_one(monkeypatch):
 def test_a_task_forgets_its_words():
     import pyarrow as pa
 
+    Q._buckets.clear()  # of what other tests left in this process
     task = Q._forgetting(lambda batches: (Q._codes(b.column(0).to_pylist()) for b in batches))
     for _ in task(iter([pa.RecordBatch.from_arrays([pa.array(["some words", None])], ["t"])])):
         assert set(Q._buckets) == {"some", "words"}
