@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -89,35 +87,42 @@ def similar_pairs(df: DataFrame, key: str, vector: str, low: float, high: float
     return left.unionByName(right).groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}, sim double")
 
 
-def top_by_cosine(queries: DataFrame, items: DataFrame, k: int, query_key: str, item_key: str, vector: str) -> DataFrame:
+def top_by_cosine(queries: DataFrame, items: DataFrame, k: int, query_key: str, item_key: str, vector: str, size: tuple[int, int] = (1024, 4096)) -> DataFrame:
     """The `k` items of highest cosine for each query (ties by item key): query, item, score, rank.
 
-    The queries are a stated set whose size is checked here; they travel with
-    the tasks, and each task keeps its own `k` best before the ranks are made.
+    Queries and items are dealt to blocks of about `size` rows; each two blocks
+    meet once as matrices, and the `k` best of a block go on to the ranks. No
+    number of queries or items is too many, none passes through the driver,
+    and a task's memory is fixed; the work is queries times items. A vector
+    without length has cosine 0 with all; queries have distinct keys.
     """
-    found = queries.select(query_key, as_double(F.col(vector)).alias("v")).limit(100_001).toPandas()
-    if len(found) > 100_000:
-        raise ValueError("more than 100000 queries: search them in parts")
-    ids = found[query_key].to_numpy()
-    q = np.array(found["v"].tolist(), float).reshape(len(ids), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    (asked, n), (rows, m) = (
+        blocks(df.select(F.col(key).alias("id"), as_double(F.col(vector)).alias("v")), "id", many)
+        for df, key, many in ((queries, query_key, size[0]), (items, item_key, size[1]))
+    )
     qkind, ikind = queries.schema[query_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            m = np.array(part["v"].tolist(), float).reshape(len(part), -1)
-            length = np.linalg.norm(m, axis=1, keepdims=True)
-            m = m / np.where(length == 0, 1, length)
-            keys = part["item"].to_numpy()
-            for at in range(0, len(ids), 512):
-                sims = q[at : at + 512] @ m.T
-                order = np.lexsort((np.broadcast_to(keys, sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
-                r = np.repeat(np.arange(len(sims)), order.shape[1])
-                c = order.ravel()
-                yield pd.DataFrame({"query": ids[at + r], "item": keys[c], "score": sims[r, c]})
-
-    rows = items.select(F.col(item_key).alias("item"), as_double(F.col(vector)).alias("v"))
-    found = rows.mapInPandas(best, f"query {qkind}, item {ikind}, score double")
+    every = lambda blocks_: F.explode(F.sequence(F.lit(0), F.lit(blocks_ - 1)))
+    left = asked.select("id", "v", F.col("block").alias("i"), every(m).alias("j")).groupBy("i", "j")
+    right = rows.select("id", "v", every(n).alias("i"), F.col("block").alias("j")).groupBy("i", "j")
+
+    def unit(part: pd.DataFrame) -> np.ndarray:
+        m = np.array(part["v"].tolist(), float).reshape(len(part), -1)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(length == 0, 1, length)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query": a["id"].iloc[:0], "item": b["id"].iloc[:0], "score": np.zeros(0)})
+        q, x, ids, keys = unit(a), unit(b), a["id"].to_numpy(), b["id"].to_numpy()
+        found = []
+        for at in range(0, len(q), 256):
+            sims = q[at : at + 256] @ x.T
+            order = np.lexsort((np.broadcast_to(keys, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
+            r, c = np.repeat(np.arange(len(sims)), order.shape[1]), order.ravel()
+            found.append(pd.DataFrame({"query": ids[at + r], "item": keys[c], "score": sims[r, c]}))
+        return pd.concat(found)
+
+    found = left.cogroup(right).applyInPandas(best, f"query {qkind}, item {ikind}, score double")
     return ranked(found, "query", [F.round("score", 9).desc(), F.col("item")], k)
 
 

@@ -2,51 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_double, char_set, cosine, similar_pairs, string_similarity
+from ..functions.vectors import as_double, char_set, similar_pairs, string_similarity, top_by_cosine
 from .hub import Graph, degrees, neighbours
 from .lineage import cut
 
 
+def _places(rows: DataFrame) -> list[str]:
+    """What orders mentions: their graph, if they come from several, and their place."""
+    return [c for c in ("graph", "pos") if c in rows.columns]
+
+
+def _firmest(rows: DataFrame) -> Column:
+    """The key by which the most confident mention, the first of equals, is the largest."""
+    return F.struct(F.col("confidence"), *[-F.col(c) for c in _places(rows)])
+
+
 def merge_entities(rows: DataFrame) -> DataFrame:
-    """One entity for each id of (id, name, type, properties, aliases, confidence, source, pos).
+    """One entity for each id of (id, name, type, properties, aliases, confidence, source, pos, and graph if there are several).
+
+    The row of highest confidence (the first of equals, by graph and pos) gives
+    name and type; properties merge in order, later ones winning, also with a
+    null; aliases are united; the highest confidence stays; sources are
+    distinct, sorted and joined by +. A null map or list adds nothing.
 
-    The row of highest confidence (the first of equals) gives name and type;
-    properties merge in order, later ones winning; aliases are united; the
-    highest confidence stays; sources are distinct, sorted and joined by +.
+    Properties and aliases are summed up by key and by alias before an entity's
+    are put together, so that a task holds each once and not once a mention.
     """
-    best = F.struct(F.col("confidence"), -F.col("pos"))
-    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.map_entries("properties").alias("e")))), lambda x: x["e"]))
-    last = F.transform(
-        F.array_sort(F.array_distinct(F.transform("entries", lambda e: e["key"]))),
-        lambda k: F.struct(k.alias("key"), F.element_at(F.filter("entries", lambda e: e["key"] == k), -1)["value"].alias("value")),
-    )
+    places = _places(rows)
+    best = _firmest(rows)
+    first = F.min(F.struct(*places)).alias("at")
     found = rows.groupBy("id").agg(
-        F.max_by("name", best).alias("name"), F.max_by("type", best).alias("type"), parts.alias("entries"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"),
-        F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"),
-        F.count("*").alias("merged"), F.min("pos").alias("pos"),
+        F.max_by("name", best).alias("name"), F.max_by("type", best).alias("type"), F.max("confidence").alias("confidence"),
+        F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"), F.count("*").alias("merged"), first,
     )
-    return found.withColumn("properties", F.map_from_entries(last)).drop("entries")
+    entries = rows.select("id", *places, F.explode("properties").alias("key", "value"))
+    last = entries.groupBy("id", "key").agg(F.max_by(F.struct("value"), F.struct(*places)).alias("v"))
+    maps = last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "v.value")))).alias("properties"))
+    names = rows.select("id", F.explode("aliases").alias("alias")).distinct().groupBy("id").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    for more, empty in ((maps, "properties"), (names, "aliases")):
+        kind = rows.schema[empty].dataType
+        none = (F.create_map() if empty == "properties" else F.array()).cast(kind)
+        keyed = more.withColumnRenamed("id", "__id")
+        found = found.join(keyed, F.col("id").eqNullSafe(F.col("__id")), "left").drop("__id").withColumn(empty, F.coalesce(empty, none))
+    return found.select("id", "name", "type", "aliases", "confidence", "source", "merged", *[F.col(f"at.{c}").alias(c) for c in places], "properties")
 
 
 def dedup_relations(rows: DataFrame) -> DataFrame:
-    """One row for each (src, relation, dst): the most confident, the first of equals; pos is the first place."""
-    rest = [c for c in rows.columns if c not in ("src", "relation", "dst", "pos")]
-    return rows.groupBy("src", "relation", "dst").agg(
-        F.max_by(F.struct(*rest), F.struct(F.col("confidence"), -F.col("pos"))).alias("r"), F.min("pos").alias("pos")
-    ).select("src", "relation", "dst", "r.*", "pos")
+    """One row for each (src, relation, dst): the most confident, the first of equals (by graph and pos); these are the first place."""
+    places = _places(rows)
+    rest = [c for c in rows.columns if c not in ("src", "relation", "dst", *places)]
+    return rows.groupBy("src", "relation", "dst").agg(F.max_by(F.struct(*rest), _firmest(rows)).alias("r"), F.min(F.struct(*places)).alias("at")).select("src", "relation", "dst", "r.*", "at.*")
 
 
 def merge_graphs(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Graphs one after the other, then both dedups."""
+    """Graphs one after the other, then both dedups: a row's place is its graph's number and its pos there."""
 
     def stack(parts: list[DataFrame]) -> DataFrame:
         out = None
         for k, p in enumerate(parts):
-            one = p.withColumn("pos", F.lit(k).cast("long") * (1 << 40) + F.col("pos"))
+            one = p.withColumn("graph", F.lit(k))
             out = one if out is None else out.unionByName(one)
         return out
 
@@ -125,17 +142,12 @@ def topology_gate(pairs: DataFrame, graph: Graph, least: float = 0.2) -> DataFra
 
 
 def best_types(entities: DataFrame, types: DataFrame, least: float = 0.6) -> DataFrame:
-    """Each entity (id, v) with the type (type, v) of highest cosine, at least `least`: id, type, sim.
+    """Each entity (id, v) with the type (type, v) of highest cosine, at least `least` (ties by type): id, type, sim.
 
-    The types are a schema's few: their number is checked before they travel.
+    Entities and types meet in blocks, however many there are of either.
     """
-    if types.count() > 10_000:
-        raise ValueError("more than 10000 types")
-    t = F.broadcast(types.select("type", as_double(F.col("v")).alias("tv")))
-    each = entities.select("id", as_double(F.col("v")).alias("v")).crossJoin(t).select("id", "type", F.round(cosine(F.col("v"), F.col("tv")), 9).alias("sim"))
-    best = each.groupBy("id").agg(F.max(F.struct("sim", F.col("type").alias("type"))).alias("m"), F.max("sim").alias("sim"))
-    first = each.join(best.select("id", F.col("sim").alias("top")), "id").where("sim = top").groupBy("id").agg(F.min("type").alias("type"), F.first("sim").alias("sim"))
-    return first.where(F.col("sim") >= least)
+    best = top_by_cosine(entities, types, 1, "id", "type", "v")
+    return best.select(F.col("query").alias("id"), F.col("item").alias("type"), F.round("score", 9).alias("sim")).where(F.col("sim") >= least)
 
 
 def typed_pairs(pairs: DataFrame, typed: DataFrame) -> DataFrame:

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,31 +19,68 @@ from .lineage import cut
 K1, B = 1.5, 0.75
 
 
-#: The most rows of a query set that travel with the tasks; larger sets are shuffled.
-CARRIED = 1_000_000
+#: The most bytes of a query set that travel with the tasks, and the most terms that are looked up where the texts lie; more are shuffled.
+CARRIED, WITHIN = 32 << 20, 200_000
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About what the rows of `df` take: their columns as text, and sixteen bytes each."""
+    sizes = [F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`")) if f.dataType.simpleString()[:3] in ("arr", "map", "str") and f.dataType.simpleString() != "string" else F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema]
+    return df.agg(F.coalesce(F.sum(reduce(lambda x, y: x + y, sizes, F.lit(16 * len(sizes))).cast("long")), F.lit(0))).first()[0]
 
 
 def carried(df: DataFrame, most: int = CARRIED) -> DataFrame:
-    """`df`, broadcast if it has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """`df`, broadcast if its rows take at most `most` bytes."""
+    return F.broadcast(df) if bytes_of(df) <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt to all cores if its files give fewer parts than there are cores; a large table has more of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    return df.repartition(cores) if len(files) < cores and df.rdd.getNumPartitions() <= cores else df
+
 
+def _found_within(words: DataFrame, terms: pa.Array) -> DataFrame:
+    """id, term, tf and n of the asked terms in each text, and a row of null term for each text; nothing is shuffled."""
+    known = words.sparkSession.sparkContext.broadcast(terms)
 
-def bm25(corpus: DataFrame, queries: DataFrame, tokens=T.ascii_tokens, per_query: bool = False, k1: float = K1, b: float = B) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, listed = batch.columns
+            sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy().astype(np.int64)
+            code = pc.fill_null(pc.index_in(listed.flatten(), value_set=known.value), -1).to_numpy()
+            key = np.repeat(np.arange(len(sizes)), sizes)[code >= 0] * len(known.value) + code[code >= 0]
+            found, tf = np.unique(key, return_counts=True)
+            row = np.r_[found // max(1, len(known.value)), np.arange(len(sizes))]
+            term = pa.concat_arrays([known.value.take(pa.array(found % max(1, len(known.value)))), pa.nulls(len(sizes), pa.string())])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), term, pa.array(np.r_[tf, np.zeros(len(sizes), np.int64)].astype(np.int64)), pa.array(sizes[row].astype(np.int32))], ["id", "term", "tf", "n"])
+
+    kind = words.schema["id"].dataType.simpleString()
+    return words.select("id", "words").mapInArrow(each, f"id {kind}, term string, tf long, n int")
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, tokens=T.ascii_tokens, per_query: bool = False, k1: float = K1, b: float = B, within: int = WITHIN) -> DataFrame:
     """BM25 scores (qid, id, score) of `corpus` (id, text) for `queries` (qid, text).
 
     Only texts that share a term with a query get a row. The corpus is read
-    and tokenized once: its words meet the queries' distinct terms where they
-    lie, and one more row for each text carries its length; all frequencies and
+    and tokenized once. Up to `within` distinct terms of the queries are looked
+    up in each text where it lies; more of them meet the corpus's words in a
+    join. One more row for each text carries its length; all frequencies and
     totals are sums over what is left. With `per_query`, `corpus` has a qid and
-    each query is scored within its own candidates.
+    each query is scored within its own candidates. Ids are unique; null texts are empty ones.
     """
     own = ["qid"] if per_query else []
     terms = cut(queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
-    asked = (terms if per_query else terms.select("term").distinct()).withColumn("asked", F.lit(True))
-    words = corpus.select(*own, "id", tokens(F.col("text")).alias("words"))
-    posted = words.select(*own, "id", F.size("words").alias("n"), F.explode(F.array_append("words", F.lit(None).cast("string"))).alias("term"))
-    met = posted.join(carried(asked), [*own, "term"], "left").where("asked or term is null")
-    tf = cut(met.groupBy(*own, "id", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n")))
+    distinct = terms.select("term").distinct()
+    words = (corpus if per_query else spread(corpus)).select(*own, "id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    if not per_query and distinct.limit(within + 1).count() <= within and bytes_of(distinct) <= CARRIED:
+        tf = cut(_found_within(words, distinct.toArrow().column("term").combine_chunks().cast(pa.string())))
+    else:
+        asked = (terms if per_query else distinct).withColumn("asked", F.lit(True))
+        posted = words.select(*own, "id", F.size("words").alias("n"), F.explode(F.array_append("words", F.lit(None).cast("string"))).alias("term"))
+        met = posted.join(carried(asked), [*own, "term"], "left").where("asked or term is null")
+        tf = cut(met.groupBy(*own, "id", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n")))
     totals = tf.where("term is null").groupBy(*own).agg(F.count("*").alias("docs"), (F.sum("n") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
     tf = tf.where("term is not null").withColumn("dl", F.greatest("n", F.lit(1)))
     df = tf.groupBy(*own, "term").agg(F.count("*").alias("df"))
@@ -110,37 +154,51 @@ def contexts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.select("qid", "m.section", "m.rank", line.alias("context"))
 
 
-def running_sums(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+def running_sums(rows: DataFrame, group: str, order: str | list[str], value: str) -> DataFrame:
     """`rows` (narrow: they are written once) with running, the sum of `value` up to each row of its group, and nth.
 
     The rows are dealt by ranges of (group, order); sums of earlier ranges are
     added to those within a range, so that a group of any size is spread.
     """
-    dealt = cut(rows.repartitionByRange(group, order).withColumn("__part", F.spark_partition_id()))
+    by = [order] if isinstance(order, str) else order
+    dealt = cut(rows.repartitionByRange(group, *by).withColumn("__part", F.spark_partition_id()))
     parts = dealt.groupBy(group, "__part").agg(F.sum(value).alias("s"), F.count("*").alias("c"))
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
         F.col(group).alias("__g"), F.col("__part").alias("__p"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__c")
     )
-    within = Window.partitionBy(group, "__part").orderBy(order)
+    within = Window.partitionBy(group, "__part").orderBy(*by)
     summed = dealt.withColumn("__sum", F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__nth", F.row_number().over(within))
     met = summed.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
     return met.withColumns({"running": F.col("__sum") + F.col("__s"), "nth": F.col("__nth") + F.col("__c")}).select(*rows.columns, "running", "nth")
 
 
+def row_hashes(df: DataFrame) -> list[Column]:
+    """__h1 and __h2: 128 bits that stand for a whole row."""
+    columns = [F.col(f"`{f.name}`").cast("string") if re.search("map|variant", f.dataType.simpleString()) else F.col(f"`{f.name}`") for f in df.schema]
+    return [F.xxhash64(*columns).alias("__h1"), F.xxhash64(F.lit(1), *columns).alias("__h2")]
+
+
 def _counted(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    return running_sums(rows.select(group, order, T.n_tokens(F.col(text)).alias("tokens")), group, order, "tokens")
+    narrow = rows.select(group, order, T.n_tokens(F.col(text)).alias("tokens"), *row_hashes(rows))
+    return running_sums(narrow, group, [order, "__h1", "__h2"], "tokens")
 
 
 def _kept(rows: DataFrame, keep: DataFrame, group: str, order: str) -> DataFrame:
-    """The rows of `keep`, joined to the whole ones: these are few, and the texts of the others go nowhere."""
-    k = keep.withColumnsRenamed({group: "__g", order: "__o"})
-    return rows.join(k, F.col(group).eqNullSafe(F.col("__g")) & (F.col(order) == F.col("__o"))).drop("__g", "__o")
+    """A whole row for each of `keep`, found by its hashes; these are few, and the texts of the others go nowhere.
+
+    Rows alike in all columns are one on the way and come out as often as `keep` has them.
+    """
+    keep = cut(keep.drop(group, order).withColumnsRenamed({"__h1": "__k1", "__h2": "__k2"}))
+    same = (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2"))
+    found = rows.select("*", *row_hashes(rows)).join(keep.select("__k1", "__k2").distinct(), same, "left_semi").dropDuplicates(["__h1", "__h2"])
+    return found.join(keep, same).drop("__h1", "__h2", "__k1", "__k2")
 
 
 def within_tokens(rows: DataFrame, group: str, order: str, text: str, most: int, tail: int = 50) -> DataFrame:
     """The rows of each group while their tokens fit into `most`; the one that overflows is kept cut
-    if more than `tail` tokens are left; nothing after it. Adds tokens, kept_tokens. `order` tells a group's rows apart."""
+    if more than `tail` tokens are left; nothing after it. Adds tokens, kept_tokens. Rows of equal `order` come
+    in an order of their contents, and repeated rows count each."""
     if most <= 0:
         return rows.withColumns({"tokens": T.n_tokens(F.col(text)), "kept_tokens": T.n_tokens(F.col(text))})
     left = most - (F.col("running") - F.col("tokens"))
@@ -150,7 +208,8 @@ def within_tokens(rows: DataFrame, group: str, order: str, text: str, most: int,
 
 
 def within_tokens_keep_first(rows: DataFrame, group: str, order: str, text: str, most: int) -> DataFrame:
-    """A prefix of each group within `most` tokens; the first row stays even when it is larger. Adds tokens, running, nth."""
+    """A prefix of each group within `most` tokens; the first row stays even when it is larger. Adds tokens, running, nth.
+    Rows of equal `order` come in an order of their contents, and repeated rows count each."""
     return _kept(rows, _counted(rows, group, order, text).where(f"nth = 1 or running <= {most}"), group, order)
 
 
@@ -210,57 +269,62 @@ def _shingle_hashes(words: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
 
 
-def containing_pairs(items: DataFrame, docs: DataFrame, block: int = 1000, small: int = 100_000) -> DataFrame:
+def _grams(text: Column, n: Column | int) -> Column:
+    """The distinct strings of `n` characters in a text."""
+    last = F.length(text) - n + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(n) if isinstance(n, int) else n)))
+
+
+def _through(asked: DataFrame, held: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (item_id, doc_id) that meet on an item's rarest piece and are verified: `asked` has (item_id, h), `held` (doc_id, h)."""
+    wanted = asked.select("h").distinct()
+    places = cut(held.join(carried(wanted), "h", "left_semi"))
+    often = places.groupBy("h").agg(F.count("*").alias("df"))
+    rarest = asked.join(often, "h", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h")).alias("m"))
+    met = places.join(rarest.where("m.df > 0").select("item_id", F.col("m.h").alias("h")), "h").join(named.select("item_id", "t"), "item_id")
+    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("t"))).select("item_id", "doc_id")
+
+
+def containing_pairs(items: DataFrame, docs: DataFrame, shorter: bool = False) -> DataFrame:
     """All (item_id, doc_id) whose document text contains the item's (non-empty) text.
 
     The parts of an item between its first and last space stand as whole parts
     in any text that holds it, so up to three of them, as one hash, meet the
-    documents' runs of as many parts in an equi-join; what meets is verified.
-    Of an item's runs the one that fewest documents hold is taken. Items of two
-    parts or fewer are compared with all documents: the smaller side travels,
-    if it has at most `small` rows, else the items in blocks of about `block`.
+    documents' runs of as many parts in an equi-join. Items of two parts or
+    fewer meet the documents on up to three of their characters instead. Of an
+    item's pieces the one that fewest documents hold is taken, and what meets
+    is verified. With `shorter`, items longer than the longest document are
+    dropped first.
     """
+    if shorter:
+        longest = docs.agg(F.max(F.length("text"))).first()[0] or 0
+        items = items.where(F.length("text") <= longest)
     parts = lambda: F.split("text", " ")
     # Columns of their own: within a lambda, an expression is evaluated again for each element.
     named = items.where("length(text) > 0").select("item_id", F.col("text").alias("t"), F.least(F.lit(3), F.size(parts()) - 2).alias("n"), parts().alias("w"))
     inner = named.where("n > 0").select("item_id", "t", "n", F.slice("w", F.lit(2), F.size("w") - 2).alias("w"))
     runs = F.when(F.col("n") == 3, _shingle_hashes(F.col("w"), 3)).when(F.col("n") == 2, _shingle_hashes(F.col("w"), 2)).otherwise(_shingle_hashes(F.col("w"), 1))
     asked = cut(inner.select("item_id", "n", F.explode(F.array_distinct(runs)).alias("h")))
+    short = cut(named.where("n < 1").select("item_id", "t", F.least(F.lit(3), F.length("t")).alias("n")))
+    found = [items.join(docs, F.lit(False)).select("item_id", "doc_id")]
     lengths = [r["n"] for r in asked.select("n").distinct().collect()]  # 1, 2 and 3 at most
     if lengths:
         held = F.concat(*[_shingle_hashes(F.col("w"), n) for n in lengths])
         words = docs.select("doc_id", parts().alias("w"))
-        wanted = asked.select("h").distinct()
-        places = cut(words.select("doc_id", F.explode(F.array_distinct(held)).alias("h")).join(carried(wanted), "h", "left_semi"))
-        often = places.groupBy("h").agg(F.count("*").alias("df"))
-        rarest = asked.join(often, "h", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h")).alias("m"))
-        met = places.join(rarest.where("m.df > 0").select("item_id", F.col("m.h").alias("h")), "h").join(named.select("item_id", "t"), "item_id")
-        out = met.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("t"))).select("item_id", "doc_id")
-    else:
-        out = items.join(docs, F.lit(False)).select("item_id", "doc_id")
-    short = cut(named.where("n < 1").select("item_id", "t"))
-    few = short.count()
-    if not few:
-        return out.distinct()
-    within = F.col("text").contains(F.col("t"))
-    texts = docs.select("doc_id", "text")
-    if few <= small:
-        found = texts.join(F.broadcast(short), within)
-    elif texts.limit(small + 1).count() <= small:
-        found = short.join(F.broadcast(texts), within)
-    else:
-        blocks = -(-few // block)
-        found = None
-        for k in range(blocks):
-            one = texts.join(F.broadcast(short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)), within)
-            found = one if found is None else found.unionByName(one)
-    return out.unionByName(found.select("item_id", "doc_id")).distinct()
+        found.append(_through(asked.select("item_id", "h"), words.select("doc_id", F.explode(F.array_distinct(held)).alias("h")), named, docs))
+    sizes = [r["n"] for r in short.select("n").distinct().collect()]
+    if sizes:
+        pieces = short.select("item_id", F.explode(_grams(F.col("t"), F.col("n"))).alias("h"))
+        held = F.concat(*[_grams(F.col("text"), n) for n in sizes])
+        found.append(_through(pieces, docs.select("doc_id", F.explode(held).alias("h")), short, docs))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def containment(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks (chunk_id, text) with the first document (doc_id, text) that contains them or is contained: chunk_id, doc_id."""
     a = containing_pairs(chunks.withColumnRenamed("chunk_id", "item_id"), docs).select(F.col("item_id").alias("chunk_id"), "doc_id")
-    b = containing_pairs(docs.withColumnRenamed("doc_id", "item_id"), chunks.withColumnRenamed("chunk_id", "doc_id")).select(
+    b = containing_pairs(docs.withColumnRenamed("doc_id", "item_id"), chunks.withColumnRenamed("chunk_id", "doc_id"), shorter=True).select(
         F.col("doc_id").alias("chunk_id"), F.col("item_id").alias("doc_id")
     )
     return a.unionByName(b).groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"))

@@ -139,13 +139,13 @@ def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("id", "name", "merged", "confidence")
 
 
-@query("""SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, max(l_quantity)::DOUBLE AS confidence,
-  min(CASE WHEN (l_orderkey * 10 + l_linenumber) % 3 = 0 THEN 1099511627776 ELSE 0 END + l_orderkey * 10 + l_linenumber)::BIGINT AS pos FROM lineitem GROUP BY l_partkey, l_suppkey""")
+@query("""WITH l AS (SELECT *, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN (l_orderkey * 10 + l_linenumber) % 3 = 0 THEN 1 ELSE 0 END AS graph FROM lineitem)
+SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, max(l_quantity)::DOUBLE AS confidence, min(graph)::INT AS graph, arg_min(pos, (graph, pos))::BIGINT AS pos FROM l GROUP BY l_partkey, l_suppkey""")
 def graph_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of two graphs in one."""
     e, edges = _entities(spark, sf_dir), _supplies(spark, sf_dir)
     second = F.col("pos") % 3 == 0
-    return U.merge_graphs([e.where(~second), e.where(second)], [edges.where(~second), edges.where(second)])[1].select("src", "dst", "confidence", "pos")
+    return U.merge_graphs([e.where(~second), e.where(second)], [edges.where(~second), edges.where(second)])[1].select("src", "dst", "confidence", "graph", "pos")
 
 
 @query("""WITH a AS (SELECT DISTINCT p_type AS name FROM part WHERE p_size < 25), b AS (SELECT DISTINCT upper(p_type) AS name FROM part WHERE p_size > 2 UNION SELECT DISTINCT p_brand FROM part)
@@ -157,12 +157,12 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.schema_changes(p.where("p_size < 25").select(F.col("p_type").alias("name")).distinct(), new)
 
 
-@query("""WITH d AS (SELECT c_mktsegment AS grp, c_name || ' of ' || c_nationkey % 3 AS description, min(c_custkey) AS pos FROM customer WHERE c_custkey % 4 < 2 GROUP BY 1, 2)
+@query("""WITH d AS (SELECT 'O' || l_orderkey AS grp, l_returnflag || ' of ' || l_suppkey % 7 AS description, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2)
 SELECT grp, string_agg(description, ' | ' ORDER BY pos, description) AS description FROM d GROUP BY grp""")
 def description_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct descriptions of a group in order of first sight."""
-    c = load(spark, sf_dir, "customer").where("c_custkey % 4 < 2")
-    rows = c.select(F.col("c_mktsegment").alias("grp"), F.concat("c_name", F.lit(" of "), F.col("c_nationkey") % 3).alias("description"), F.col("c_custkey").alias("pos"))
+    """The distinct descriptions of each order's lines in order of first sight."""
+    line = load(spark, sf_dir, "lineitem")
+    rows = line.select(F.concat(F.lit("O"), "l_orderkey").alias("grp"), F.concat("l_returnflag", F.lit(" of "), F.col("l_suppkey") % 7).alias("description"), F.col("l_linenumber").alias("pos"))
     return U.merge_descriptions(rows, "grp")
 
 

@@ -40,11 +40,11 @@ def patience_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.patience(days, "user_id", "day", "n", 2)
 
 
-@query("""WITH b AS (SELECT DISTINCT o_custkey % 20 AS batch, o_orderpriority || o_orderstatus AS name FROM orders WHERE o_totalprice > 200000)
+@query("""WITH b AS (SELECT DISTINCT o_custkey % 20 AS batch, o_orderpriority || o_orderstatus AS name FROM orders)
 SELECT name, count(*) AS n FROM b GROUP BY name HAVING count(*) >= 6""")
 def candidate_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestions that at least three tenths of the batches make."""
-    rows = load(spark, sf_dir, "orders").where("o_totalprice > 200000").select((F.col("o_custkey") % 20).alias("batch"), F.concat("o_orderpriority", "o_orderstatus").alias("name"))
+    rows = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("batch"), F.concat("o_orderpriority", "o_orderstatus").alias("name"))
     return P.frequent(rows, 20, 0.3)
 
 
@@ -53,10 +53,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "conversations")
     over = Window.partitionBy("conv_id").orderBy("turn")
     found = c.withColumn("asked", F.lag("text").over(over)).withColumn("was", F.lag("role").over(over)).where("role = 'assistant' and was = 'user'")
-    return found.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.col("text").alias("answer"), F.col("asked").alias("truth"))
+    return found.select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.col("text").alias("answer"), F.col("asked").alias("truth"))
 
 
-_ANSWERS = """WITH l AS (SELECT conv_id * 1000 + turn AS key, text AS answer, role, lag(text) OVER w AS truth, lag(role) OVER w AS was FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+_ANSWERS = """WITH l AS (SELECT conv_id || ':' || turn AS key, text AS answer, role, lag(text) OVER w AS truth, lag(role) OVER w AS was FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT key, answer, truth FROM l WHERE role = 'assistant' AND was = 'user'),
 """
 _SCORES = """

@@ -208,12 +208,13 @@ def method_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(1, ceil(length(text) / 512.0)::INT))) AS chunk FROM documents)
-SELECT doc_id, chunk::INT AS chunk, (chunk // 2)::INT AS parent, md5(substring(text, (chunk * 512 + 1)::INT, 512)) AS text_md5 FROM c""")
+WITH s AS (SELECT unnest([0, 1, 2]) AS level, unnest([2048, 1024, 512]) AS size),
+c AS (SELECT doc_id, text, level, size, unnest(range(0, greatest(1, ceil(length(text) / size::DOUBLE)::INT))) AS chunk FROM documents, s)
+SELECT doc_id, level::INT AS level, chunk::INT AS chunk, CASE WHEN level > 0 THEN chunk // 2 END::INT AS parent, md5(substring(text, (chunk * size + 1)::INT, size)) AS text_md5 FROM c""")
 def leaf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leaves of hierarchical chunks with their parents."""
-    chunks = R.hierarchical_chunks(load(spark, sf_dir, "documents")).where("level = 2")
-    return chunks.select("doc_id", "chunk", "parent", F.md5("text").alias("text_md5"))
+    """Hierarchical chunks of all three levels with their parents."""
+    chunks = R.hierarchical_chunks(load(spark, sf_dir, "documents"))
+    return chunks.select("doc_id", "level", "chunk", "parent", F.md5("text").alias("text_md5"))
 
 
 @query("SELECT combo, bit_count(combo)::INT AS n, concat_ws('+', CASE WHEN combo & 1 > 0 THEN 'anchor' END, CASE WHEN combo & 2 > 0 THEN 'dense' END, CASE WHEN combo & 4 > 0 THEN 'graph' END, CASE WHEN combo & 8 > 0 THEN 'rerank' END) AS names FROM range(16) t(combo)")
