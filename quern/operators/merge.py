@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,3 +222,36 @@ def representatives(docs: DataFrame, key: str, vector: str, k: int, seed: int =
     d = F.sqrt(F.aggregate(F.zip_with("v", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     order = Window.partitionBy("cluster").orderBy(F.round("distance", 9), "id")
     return near.select("cluster", "id", d.alias("distance")).withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+
+
+def merge_groups(graph: Graph, groups: DataFrame, by_length: bool = False) -> tuple[Graph, DataFrame]:
+    """Each group (node, component) as its canonical member by degree: the graph rewritten, and node, canonical."""
+    names = cut(canonical(groups, degrees(graph.edges), by_length).select("node", "canonical"))
+    return rewrite(graph, names), names
+
+
+def merge_typed(graph: Graph, pairs: DataFrame, typed: DataFrame) -> tuple[Graph, DataFrame]:
+    """Similar pairs (a, b, sim) whose ends have one type (id, type), closed to groups and merged."""
+    return merge_groups(graph, components(typed_pairs(pairs, typed)))
+
+
+def composed(first: DataFrame, second: DataFrame) -> DataFrame:
+    """node, canonical after both merges: where the first one's name was merged again, the last name stands."""
+    then = second.select(F.col("node").alias("canonical"), F.col("canonical").alias("__last"))
+    moved = first.join(then, "canonical", "left").select("node", F.coalesce("__last", "canonical").alias("canonical"))
+    return moved.unionByName(second.select("node", "canonical").join(first.select("node"), "node", "left_anti"))
+
+
+def chained(graph: Graph, steps: list[Callable[[Graph], DataFrame]]) -> tuple[Graph, DataFrame]:
+    """Merges one after the other, each on the output of the one before: the last graph, and node, canonical over all of them.
+
+    A step gives groups (node, component) of the graph that it is handed. A
+    node merged twice ends at the last name, and weights of edges that fall
+    together add up at each step.
+    """
+    names = None
+    for step in steps:
+        graph, own = merge_groups(graph, step(graph))
+        graph = Graph(cut(graph.nodes), cut(graph.edges))
+        names = own if names is None else cut(composed(names, own))
+    return graph, names

@@ -40,11 +40,24 @@ TEMPLATES = {
     ),
 }
 
-#: A clinical session's text.
-SESSION = (
-    "患者病歷號 {case}（{age} 歲，血型 {blood}，HBV/HCV/HIV: {hbv}/{hcv}/{hiv}）\n透析日期：{date}\n--- 護理紀錄 ---\n{nurse}\n--- 醫囑 ---\n{orders}\n"
-    "--- 評估計畫 ---\n{plan}\n--- 過濾器狀態 ---\n{fiber}\n"
-)
+#: A clinical session's text by mode.
+SESSIONS = {
+    "natural_text": (
+        "患者病歷號 {case}（{age} 歲，血型 {blood}，HBV/HCV/HIV: {hbv}/{hcv}/{hiv}）\n透析日期：{date}\n--- 護理紀錄 ---\n{nurse}\n--- 醫囑 ---\n{orders}\n"
+        "--- 評估計畫 ---\n{plan}\n--- 過濾器狀態 ---\n{fiber}\n"
+    ),
+    "markdown": (
+        "# 透析紀錄（{date}）\n\n## 患者資訊\n- 病歷號: {case}\n- 年齡: {age} 歲\n- 血型: {blood}\n- HBV: {hbv}, HCV: {hcv}, HIV: {hiv}\n\n"
+        "## 護理紀錄\n{nurse}\n\n## 醫囑\n{orders}\n\n## 評估計畫 (A+P)\n{plan}\n\n## 過濾器狀態\n{fiber}\n"
+    ),
+    "key_value_text": (
+        "病歷號: {case}\n年齡: {age}\n血型: {blood}\nHBV/HCV/HIV: {hbv}/{hcv}/{hiv}\n透析日期: {date}\n護理紀錄:\n{nurse}\n醫囑:\n{orders}\n評估計畫:\n{plan}\n過濾器狀態:\n{fiber}\n"
+    ),
+    "unstructured_text": (
+        "=== TARGET TEXT FOR EXTRACTION ===\n患者病歷號 {case}（{age} 歲，血型 {blood}，HBV/HCV/HIV: {hbv}/{hcv}/{hiv}）\n透析日期：{date}\n\n"
+        "護理紀錄:\n{nurse}\n\n醫囑:\n{orders}\n\n評估計畫:\n{plan}\n\n過濾器狀態:\n{fiber}\n=================================="
+    ),
+}
 NONE = "（無）"
 
 
@@ -94,6 +107,7 @@ def read_contexts(spark: SparkSession, path: str, mode: str = "natural_text") ->
     rows = whole.select("file", F.posexplode(items).alias("pos", "raw"))
     text = F.when(F.coalesce(F.trim("raw"), F.lit("")) == "", F.raise_error(F.lit("a blank text in the list"))).otherwise(F.trim("raw"))
     named = rows.select("file", "pos", text.alias("text")).withColumn("doc_id", F.md5("text"))
+    # How a text is wrapped in each mode.
     wrap = {
         "natural_text": F.col("text"),
         "markdown": F.concat(F.lit("# UltraDomain Document\n\n- Domain: unknown\n- Doc ID: "), "doc_id", F.lit("\n\n"), "text"),
@@ -109,11 +123,12 @@ _CLINICAL = (
 )
 
 
-def session_documents(patients: DataFrame) -> DataFrame:
+def session_documents(patients: DataFrame, mode: str = "natural_text", data_type: str = "bio") -> DataFrame:
     """One document for each patient and date: doc_id (md5 of case and date), text, metadata.
 
     Notes belong to the date that they begin with; orders, plans and filter
-    states to the date that they name.
+    states to the date that they name. The metadata name the data type, and
+    the source where `patients` has a column of that name.
     """
     listed = {n: F.coalesce(F.col(f"`{n}`"), F.array().cast("array<array<string>>")) for n in ("nurse_record", "order", "a+p", "fiber_list")}
     day = lambda items: F.transform(F.filter(items, lambda x: F.size(x) > 0), lambda x: x[0])
@@ -140,14 +155,18 @@ def session_documents(patients: DataFrame) -> DataFrame:
         "fiber": lines(listed["fiber_list"], lambda x: (F.size(x) >= 2) & at(x), lambda x: states(x[1])),
     }
     return rows.select(
-        F.md5(F.concat(blank("case_number"), date)).alias("doc_id"), filled(SESSION, fields).alias("text"),
-        T.metadata_map({"case_number": F.col("case_number"), "session_date": date, "age": F.col("age"), "blood_type": fields["blood"], **{c: fields[c] for c in ("hbv", "hcv", "hiv")}}).alias("metadata"),
+        F.md5(F.concat(blank("case_number"), date)).alias("doc_id"), filled(SESSIONS[check_mode(mode)], fields).alias("text"),
+        T.metadata_map({
+            "case_number": F.col("case_number"), "session_date": date, "age": F.col("age"), "blood_type": fields["blood"], **{c: fields[c] for c in ("hbv", "hcv", "hiv")},
+            **({"source": F.col("source")} if "source" in patients.columns else {}), "data_type": F.lit(data_type),
+        }).alias("metadata"),
     )
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Clinical records, one JSON object a line (blank lines are skipped), as sessions."""
-    return session_documents(spark.read.schema(_CLINICAL).option("mode", "FAILFAST").json(path))
+def read_sessions(spark: SparkSession, path: str, mode: str = "natural_text", data_type: str = "bio") -> DataFrame:
+    """Clinical records, one JSON object a line (blank lines are skipped), as sessions; their source is the file's name."""
+    patients = spark.read.schema(_CLINICAL).option("mode", "FAILFAST").json(path).select("*", F.col("_metadata.file_name").alias("source"))
+    return session_documents(patients, mode, data_type)
 
 
 def metadata_entities(docs: DataFrame, keys: tuple[str, ...] = ("Customer", "Engineers", "customer", "engineers", "entities")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.reports import average_rows
@@ -64,3 +64,38 @@ def comparison(rows: DataFrame, method: str, tokens: str, baseline: str | None =
     above = by.join(other, (F.col("t") > F.col("mean_tokens")) | ((F.col("t") == F.col("mean_tokens")) & (F.col("m") <= F.col("method")))).groupBy("method").agg(place)
     use = F.round(F.col("mean_tokens") / F.when(F.col("base") > 0, F.col("base")) * 100, 6)
     return joined.join(above, "method").select("method", "n", "mean_tokens", "most_tokens", use.alias("utilisation"), "place")
+
+
+def read_citations(spark: SparkSession, path: str, answer: str = "generated_answer", ids: str = "retrieved_ids", most: int | None = None) -> DataFrame:
+    """Answers of result files (CSV with a header, a byte-order mark or none): file, row_index (from 1 in each file), idx, query, answer, ids.
+
+    Columns that a file lacks are null, missing answers and ids are empty, and
+    queries are cut to 200 characters. `most` keeps the first rows of each file.
+    A file with quoted line ends is one task's, in order; files are many tasks'.
+    """
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns]).withColumn("__file", F.col("_metadata.file_path")) if "﻿" not in "".join(rows.columns) else rows.select(*[F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in rows.columns], F.col("_metadata.file_path").alias("__file"))
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")
+    given = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    place = F.row_number().over(Window.partitionBy("__file").orderBy("__at"))
+    placed = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("row_index", place)
+    kept = placed if most is None else placed.where(F.col("row_index") <= most)
+    return kept.select(
+        F.regexp_extract("__file", r"([^/]+)$", 1).alias("file"), "row_index", given("idx").alias("idx"), F.substring(given("query"), 1, 200).alias("query"), text(answer).alias("answer"), text(ids).alias("ids")
+    )
+
+
+def save_chunk_ids(mapping: DataFrame, path: str) -> None:
+    """Chunk ids with the records that they come from (chunk_id, no), added to those that are there."""
+    rows = mapping.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("no").cast("string").alias("no"))
+    rows.withColumn("saved", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def original_ids(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
+    """The records behind ranked chunks (qid, chunk_id, rank), each once at its first place; unknown chunks are left out: qid, no, rank.
+
+    A chunk that was saved again belongs to what it was saved with last.
+    """
+    known = spark.read.parquet(path).groupBy("chunk_id").agg(F.max_by("no", "saved").alias("no"))
+    first = chunks.join(known, "chunk_id").groupBy("qid", "no").agg(F.min("rank").alias("at"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("at", "no"))).select("qid", "no", "rank")

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import hub
+from quern.operators import hub, reports
 from quern.sources import graphs, questions, records, results, tables
 
 md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
@@ -61,6 +61,69 @@ def test_sessions(spark, tmp_path):
     assert "--- 過濾器狀態 ---\nclear, red\n" in got["2024-01-02"]["text"] and "--- 評估計畫 ---\nrest" in got["2024-01-03"]["text"]
 
 
+def test_sessions_in_every_mode(spark, tmp_path):
+    patient = {"case_number": "7", "age": 60, "blood_type": "A", "blood_rh": "+", "hbv": 1, "nurse_record": [["2024-01-01 09:30", "cough"]], "order": [["2024-01-01", "drug", "5"]], "fiber_list": [["2024-01-01", "clear"]]}
+    path = lines(tmp_path / "p.jsonl", [patient])
+    text = lambda mode: records.read_sessions(spark, path, mode).first()["text"]
+    head, none = "患者病歷號 7（60 歲，血型 A+，HBV/HCV/HIV: 1/0/0）", "（無）"
+    assert text("natural_text") == f"{head}\n透析日期：2024-01-01\n--- 護理紀錄 ---\n[09:30] cough\n--- 醫囑 ---\ndrug 5\n--- 評估計畫 ---\n{none}\n--- 過濾器狀態 ---\nclear\n"
+    assert text("markdown") == (
+        "# 透析紀錄（2024-01-01）\n\n## 患者資訊\n- 病歷號: 7\n- 年齡: 60 歲\n- 血型: A+\n- HBV: 1, HCV: 0, HIV: 0\n\n"
+        f"## 護理紀錄\n[09:30] cough\n\n## 醫囑\ndrug 5\n\n## 評估計畫 (A+P)\n{none}\n\n## 過濾器狀態\nclear\n"
+    )
+    assert text("key_value_text") == f"病歷號: 7\n年齡: 60\n血型: A+\nHBV/HCV/HIV: 1/0/0\n透析日期: 2024-01-01\n護理紀錄:\n[09:30] cough\n醫囑:\ndrug 5\n評估計畫:\n{none}\n過濾器狀態:\nclear\n"
+    assert text("unstructured_text") == (
+        f"=== TARGET TEXT FOR EXTRACTION ===\n{head}\n透析日期：2024-01-01\n\n護理紀錄:\n[09:30] cough\n\n醫囑:\ndrug 5\n\n評估計畫:\n{none}\n\n過濾器狀態:\nclear\n=================================="
+    )
+    meta = records.read_sessions(spark, path).first()["metadata"]
+    assert meta["source"] == "p.jsonl" and meta["data_type"] == "bio" and meta["hcv"] == "0"
+    with pytest.raises(ValueError, match="unknown mode"):
+        records.read_sessions(spark, path, "other")
+
+
+def test_records_in_every_mode(spark):
+    row = {"NO": "n1", "Customer": "c", "Engineers": "e", "Service Start": "s", "Service End": "t", "Description": "d", "Action": "a"}
+    df = spark.createDataFrame([row])
+    text = lambda mode: records.record_documents(df, mode).first()["text"]
+    for mode in records.MODES:
+        want = records.TEMPLATES[mode]
+        for k, v in row.items():
+            for place in (f"{{{k}}}", *(f"{{{k}|{d}}}" for d in ("N/A", "無描述", "無動作"))):
+                want = want.replace(place, v)
+        assert text(mode) == want and "{" not in want
+
+
+def test_citation_files(spark, tmp_path):
+    body = 'idx,query,generated_answer,retrieved_ids\n1,"a, ""b""","one\n### References\n- [1] x\n- [2] y","x,y"\n2,' + "q" * 300 + ",no list,\n3,,,z\n"
+    (tmp_path / "a.csv").write_text("\ufeff" + body, encoding="utf-8")
+    (tmp_path / "b.csv").write_text(body, encoding="utf-8")
+    for name in ("a.csv", "b.csv"):
+        rows = results.read_citations(spark, str(tmp_path / name)).orderBy("row_index").collect()
+        assert [(r["file"], r["row_index"], r["idx"], r["query"], r["ids"]) for r in rows] == [(name, 1, "1", 'a, "b"', "x,y"), (name, 2, "2", "q" * 200, ""), (name, 3, "3", None, "z")]
+        audit = reports.citation_audit(results.read_citations(spark, str(tmp_path / name)), "row_index", "answer", "ids").orderBy("row_index").collect()
+        assert [(r["has_heading"], r["n_references"], r["sequential"], r["count_match"]) for r in audit] == [(True, 2, True, True), (False, 0, False, True), (False, 0, False, False)]
+    both = results.read_citations(spark, str(tmp_path / "*.csv"), answer="none", most=2)
+    assert sorted((r["file"], r["row_index"], r["answer"]) for r in both.collect()) == [(f, i, "") for f in ("a.csv", "b.csv") for i in (1, 2)]
+
+
+def test_chunk_ids(spark, tmp_path):
+    path = str(tmp_path / "map")
+    save = lambda *rows: results.save_chunk_ids(spark.createDataFrame(rows, "chunk_id string, no string"), path)
+    save(("c1", "n1"), ("c2", "n2"))
+    save(("c2", "n3"), ("c3", "n1"))
+    asked = spark.createDataFrame([("q", "c2", 1), ("q", "c3", 2), ("q", "c1", 3), ("q", "none", 4), ("r", "none", 1)], "qid string, chunk_id string, rank int")
+    assert [tuple(r) for r in results.original_ids(spark, path, asked).orderBy("rank").collect()] == [("q", "n3", 1), ("q", "n1", 2)]
+
+
+def test_processed_documents_come_back(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "ä text", {"k": "v"}), ("2", None, None)], "doc_id string, text string, metadata map<string,string>")
+    records.write_documents(docs, str(tmp_path / "docs"))
+    back = spark.read.schema("doc_id string, text string, metadata map<string,string>").json(str(tmp_path / "docs"))
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, docs.collect()))
+    more = records.union_all([docs.select("doc_id", "text"), docs.select("doc_id", "metadata")])
+    assert more.columns == ["doc_id", "text", "metadata"] and more.count() == 4
+
+
 def test_questions(spark, tmp_path):
     (tmp_path / "q.csv").write_text('Q,GT,REF,Q_type\n"a, b?",yes,d1,Single Hop\n"two\nlines",no,,multi_hop\n', encoding="utf-8")
     got = questions.read(spark, "csr_csv", str(tmp_path / "q.csv")).collect()
