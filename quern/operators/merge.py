@@ -86,21 +86,32 @@ def schema_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """node, component (the least node reachable) of undirected pairs: least labels, with shortcuts.
+    """node, component (the least node reachable) of undirected pairs, by contraction.
 
-    Each round every node takes the least label around it, and then its label's
-    own label, so chains shorten by half. Grouped minima and equi-joins only.
+    Every node hangs itself under its least neighbour if that is less than
+    itself; the chains are shortened by half until they end at roots, and the
+    pairs go on between roots alone. The pairs shrink with each round, and only
+    the nodes' own table is walked in between. Grouped minima and equi-joins;
+    loops and null ends are ignored.
     """
-    both = cut(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(pairs.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct())
-    label = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")))
+    known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    left = cut(known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    nodes = cut(left.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    label = nodes.select("node", F.col("node").alias("component"))
     for _ in range(rounds):
-        around = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        took = label.join(around, "u").select("u", F.least("c", "m").alias("c"), F.col("c").alias("old"))
-        jump = took.select(F.col("u").alias("c"), F.col("c").alias("next"))
-        step = cut(took.join(jump, "c").select("u", F.least("c", "next").alias("c"), "old"))
-        label = step.select("u", "c")
-        if step.where("c <> old").isEmpty():
-            return label.select(F.col("u").alias("node"), F.col("c").alias("component"))
+        if left.isEmpty():
+            return label
+        hung = cut(left.groupBy("u").agg(F.min("v").alias("v")))
+        while True:
+            up = hung.select(F.col("u").alias("v"), F.col("v").alias("w"))
+            step = cut(hung.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")))
+            hung = step.select("u", "v")
+            if step.where("moved").isEmpty():
+                break
+        root = lambda c: hung.select(F.col("u").alias(c), F.col("v").alias(f"r_{c}"))
+        label = cut(label.join(root("component"), "component", "left").select("node", F.coalesce("r_component", "component").alias("component")))
+        ends = left.join(root("u"), "u").join(root("v"), "v", "left").select(F.col("r_u").alias("x"), F.coalesce("r_v", "v").alias("y"))  # every u hangs somewhere
+        left = cut(ends.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     raise RuntimeError("components did not settle")
 
 
