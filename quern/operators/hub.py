@@ -199,6 +199,31 @@ def statistics(nodes: DataFrame) -> DataFrame:
     return by.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def relation_statistics(edges: DataFrame, confidence: str) -> DataFrame:
+    """Edges by relation, the most first (place): relation, n, the share of all, the mean of `confidence` (nulls skipped), place."""
+    by = edges.groupBy(F.coalesce("relation", F.lit("UNKNOWN")).alias("relation")).agg(F.count("*").alias("n"), F.avg(confidence).alias("mean"))
+    every = Window.partitionBy()  # over the relations
+    return by.withColumns({"share": F.col("n") / F.sum("n").over(every), "place": F.row_number().over(every.orderBy(F.desc("n"), "relation"))})
+
+
+def unknown_types(nodes: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Nodes whose type is missing or none of `allowed` (type), case ignored; an empty schema allows all."""
+    known = allowed.select(F.lower(F.trim("type")).alias("__t")).distinct()
+    return nodes.join(known, F.lower(F.trim("type")) == F.col("__t"), "left_anti").join(known.limit(1).select(F.lit(1).alias("__some")), F.lit(True), "left_semi")
+
+
+def type_names(names: DataFrame, reserved: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """Suggested type names (name, pos) that may be types: trimmed, neither too special nor reserved, each once (case
+    counts) at its first place, the first `most` of them: name, pos."""
+    from ..functions.text import over_specific, present
+
+    kept = names.select(present(F.col("name")).alias("name"), "pos").where(F.col("name").isNotNull() & ~over_specific(F.col("name")))
+    if reserved:
+        kept = kept.where(~F.lower("name").isin([r.lower() for r in reserved]))
+    first = kept.groupBy("name").agg(F.min("pos").alias("pos"))
+    return first if most is None else first.orderBy("pos", "name").limit(most)
+
+
 def density(n: Column, m: Column, directed: bool = False) -> Column:
     most = n * (n - 1) / (1.0 if directed else 2.0)
     return F.when(n > 1, F.round(m / most, 6)).otherwise(0.0)

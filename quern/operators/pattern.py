@@ -7,10 +7,12 @@ each wider one only where the narrower ones find nothing.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .hub import Graph
 
@@ -57,3 +59,33 @@ def select(graph: Graph, pattern: str) -> DataFrame:
     if not (said.names or said.relations):
         return found if labels else typed.where(F.lit(False)).select("src", "relation", "dst")
     return found if not labels or not found.isEmpty() else typed.where(fits).select("src", "relation", "dst")
+
+
+@F.pandas_udf(StructType([StructField(n, ArrayType(StringType())) for n in ("names", "labels", "relations")]))
+def _said(patterns: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([[list(x) for x in astuple(mentions(p or ""))] for p in patterns], columns=["names", "labels", "relations"])
+
+
+def select_each(graph: Graph, patterns: DataFrame) -> DataFrame:
+    """What select() finds for each of `patterns` (qid, pattern): qid, src, relation, dst.
+
+    Patterns are parsed where they lie. Those with names meet the nodes of such
+    names and the triples around these; those with relations alone meet the
+    triples of these relations; the others, and those that found nothing,
+    the triples between their labels.
+    """
+    said = patterns.select("qid", _said("pattern").alias("m")).select("qid", "m.names", *[F.transform(f"m.{c}", F.lower).alias(c) for c in ("labels", "relations")])
+    nodes = graph.nodes.select("id", "name", F.lower("type").alias("type"))
+    ends = graph.edges.select("src", "relation", "dst").distinct()
+    typed = ends.join(nodes.select(F.col("id").alias("src"), F.col("type").alias("st")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("type").alias("dt")), "dst")
+    fits = (F.size("labels") == 0) | (F.array_contains("labels", F.col("st")) & F.array_contains("labels", F.col("dt")))
+    related = (F.size("relations") == 0) | F.array_contains("relations", F.lower("relation"))
+    named = said.where(F.size("names") > 0).select("qid", "labels", "relations", F.explode("names").alias("name")).join(nodes.select("id", "name"), "name")
+    shown = lambda df: df.select("qid", "src", "relation", "dst")
+    around = shown(named.join(typed, F.col("id") == F.col("src")).where(fits & related)).unionByName(shown(named.join(typed, F.col("id") == F.col("dst")).where(fits & related)))
+    bare = said.where((F.size("names") == 0) & (F.size("relations") > 0)).select("qid", "labels", F.explode("relations").alias("low"))
+    by_relation = shown(bare.join(typed.withColumn("low", F.lower("relation")), "low").where(fits))
+    narrow = around.unionByName(by_relation).distinct()
+    rest = said.where(F.size("labels") > 0).join(narrow.select("qid").distinct(), "qid", "left_anti")
+    pairs = rest.select("qid", F.explode("labels").alias("st"), "labels").select("qid", "st", F.explode("labels").alias("dt"))
+    return narrow.unionByName(shown(pairs.join(typed, ["st", "dt"]))).distinct()

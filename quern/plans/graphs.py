@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import as_double, cosine
 from ..operators import hub as H
 from ..operators import merge as U
 from ..operators import pattern as C
@@ -243,15 +244,28 @@ st AS (SELECT qid, count(*) AS n, sum(len(w))::DOUBLE / greatest(count(*), 1) AS
 tf AS (SELECT qid, id, term, count(*) AS tf FROM (SELECT qid, id, unnest(w) AS term FROM w) WHERE term IN ('nation', 'order', '7', 'germany', 'steel') GROUP BY qid, id, term),
 df AS (SELECT qid, term, count(*) AS df FROM tf GROUP BY qid, term),
 bm AS (SELECT tf.qid, tf.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / greatest(tf + 1.5 * (0.25 + 0.75 * greatest(len(w), 1) / greatest(avgdl, 1e-9)), 1e-9)) AS s FROM tf JOIN df ON df.qid = tf.qid AND df.term = tf.term JOIN w ON w.qid = tf.qid AND w.id = tf.id JOIN st ON st.qid = tf.qid GROUP BY tf.qid, tf.id),
-sc AS (SELECT c.qid, c.id, coalesce(s, 0) AS s, min(coalesce(s, 0)) OVER (PARTITION BY c.qid) AS lo, max(coalesce(s, 0)) OVER (PARTITION BY c.qid) AS hi FROM cand c LEFT JOIN bm ON bm.qid = c.qid AND bm.id = c.id),
-u AS (SELECT qid, sc.id, 1 AS hop, 0.5 * CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 0 END AS h, rank FROM sc JOIN dg ON dg.id = sc.id UNION ALL SELECT qid, seeds.id, 0, 0, coalesce(rank, 0) FROM seeds LEFT JOIN dg ON dg.id = seeds.id)
+co AS (SELECT c.qid, c.id, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM cand c JOIN embeddings x ON x.vec_id = split_part(c.qid, ':', 2)::BIGINT JOIN embeddings y ON y.vec_id = split_part(c.id, ':', 2)::BIGINT),
+sc AS (SELECT c.qid, c.id, coalesce(s, 0) AS s, min(coalesce(s, 0)) OVER w AS lo, max(coalesce(s, 0)) OVER w AS hi, coalesce(c, 0) AS c, min(coalesce(c, 0)) OVER w AS cl, max(coalesce(c, 0)) OVER w AS ch
+  FROM cand c LEFT JOIN bm ON bm.qid = c.qid AND bm.id = c.id LEFT JOIN co ON co.qid = c.qid AND co.id = c.id WINDOW w AS (PARTITION BY c.qid)),
+h1 AS MATERIALIZED (SELECT qid, sc.id, 1 AS hop, 0.5 * CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 0 END + 0.5 * CASE WHEN ch > cl THEN (c - cl) / (ch - cl) ELSE 0 END AS h, rank FROM sc JOIN dg ON dg.id = sc.id),
+fr AS (SELECT qid, id FROM h1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(h, 9) DESC, rank DESC, id) <= 20),
+h2 AS (SELECT DISTINCT fr.qid, dst AS id FROM fr JOIN near ON src = fr.id ANTI JOIN h1 ON h1.qid = fr.qid AND h1.id = near.dst ANTI JOIN seeds ON seeds.qid = fr.qid AND seeds.id = near.dst),
+u AS (SELECT * FROM h1 UNION ALL SELECT qid, h2.id, 2, 0, rank FROM h2 JOIN dg ON dg.id = h2.id UNION ALL SELECT qid, seeds.id, 0, 0, coalesce(rank, 0) FROM seeds LEFT JOIN dg ON dg.id = seeds.id)
 SELECT qid, id, hop::INT AS hop, round(h, 6)::DOUBLE AS hybrid_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(h, 9) DESC, rank DESC, id) AS place FROM u) WHERE place <= 20""")
 def anchor_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The neighbours of each seed by BM25 for a fixed question, degree second."""
+    """The neighbours of each seed by BM25 for a question and by the cosine of their vectors, then by degree; what lies behind the best of them follows."""
     g, seeds = _graph(spark, sf_dir), _seeds(spark, sf_dir, "CS")
     texts = g.nodes.select("id", F.concat_ws(" ", "type", "name").alias("text"))
     asked = seeds.select("qid", F.lit("nation order 7 GERMANY steel").alias("text"))
-    return V.anchor_hybrid(g, seeds, texts, asked).withColumn("hybrid_score", F.round("hybrid_score", 6)).select("qid", "id", "hop", "hybrid_score", "rank")
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", as_double(F.col("embedding")).alias("v"))
+    key = lambda c: F.substring_index(c, ":", -1).cast("long")
+
+    def cosines(cand: DataFrame) -> DataFrame:
+        """Of the vectors that have the nodes' keys."""
+        keyed = cand.select("qid", "id", key("qid").alias("k"), key("id").alias("vec_id")).join(vectors, "vec_id")
+        return keyed.join(vectors.select(F.col("vec_id").alias("k"), F.col("v").alias("w")), "k").select("qid", "id", cosine(F.col("v"), F.col("w")).alias("cos"))
+
+    return V.anchor_hybrid(g, seeds, texts, asked, hops=2, cosines=cosines).withColumn("hybrid_score", F.round("hybrid_score", 6)).select("qid", "id", "hop", "hybrid_score", "rank")
 
 
 @query(_G + "SELECT count(DISTINCT n.id) AS nodes, (SELECT count(*) FROM edges) AS edges, round((SELECT count(*) FROM edges) / (count(DISTINCT n.id) * (count(DISTINCT n.id) - 1) / 2.0), 6)::DOUBLE AS density, round((SELECT count(*) FROM edges) / (count(DISTINCT n.id) * (count(DISTINCT n.id) - 1.0)), 6)::DOUBLE AS directed FROM nodes n")
@@ -279,7 +293,27 @@ def hit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.enrich(hits, g.nodes, g.edges)[1]
 
 
-@query("""SELECT DISTINCT 'S:' || s_suppkey AS src, 'in_nation' AS relation, 'N:' || n_nationkey AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_3'""")
+@query("""SELECT 'n' || n_nationkey AS qid, 'S:' || s_suppkey AS src, 'in_nation' AS relation, 'N:' || n_nationkey AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT DISTINCT 's' || s_suppkey, 'P:' || l_partkey, 'supplied_by', 'S:' || s_suppkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_suppkey % 10 = 0
+UNION ALL SELECT 'r', 'N:' || n_nationkey, 'in_region', 'R:' || n_regionkey FROM nation""")
 def cypher_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph pattern's names, relations and labels as filters over triples."""
-    return C.select(_graph(spark, sf_dir), "MATCH (s:supplier)-[r:IN_NATION]->(n:nation {name: 'NATION_3'}) RETURN s, r, n")
+    """Graph patterns by their names, relations and labels: each nation's suppliers, every tenth supplier's parts, and one by labels alone."""
+    n, s = load(spark, sf_dir, "nation"), load(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0")
+    patterns = n.select(F.concat(F.lit("n"), "n_nationkey").alias("qid"), F.format_string("MATCH (s:supplier)-[r:IN_NATION]->(n:nation {name: '%s'}) RETURN s, r, n", "n_name").alias("pattern")).unionByName(
+        s.select(F.concat(F.lit("s"), "s_suppkey").alias("qid"), F.format_string("MATCH (p:Part)-[:supplied_by|nothing]->(s) WHERE s:Supplier AND (s:supplier) AND s.name = '%s' RETURN p", "s_name").alias("pattern"))
+    )
+    labels = n.limit(1).select(F.lit("r").alias("qid"), F.lit("MATCH (n:Nation)-->(r:Region) RETURN n").alias("pattern"))
+    return C.select_each(_graph(spark, sf_dir), patterns.unionByName(labels))
+
+
+@query(_G + "SELECT relation, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM edges), 6) AS share, round(avg(weight), 6) AS mean_weight FROM edges GROUP BY relation")
+def kg_relation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by relation, with their mean weight."""
+    return H.relation_statistics(_graph(spark, sf_dir).edges, "weight").select("relation", "n", F.round("share", 6).alias("share"), F.round("mean", 6).alias("mean_weight"))
+
+
+@query(_G + "SELECT id, type FROM nodes WHERE type NOT IN ('region', 'nation', 'customer', 'part')")
+def entity_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of types that a schema of four doesn't know."""
+    known = spark.createDataFrame([("Region",), ("nation",), ("customer",), ("part",)], "type string")
+    return H.unknown_types(_graph(spark, sf_dir).nodes, known).select("id", "type")

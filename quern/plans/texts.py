@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieve as R
+from ..operators.hub import type_names
 from ..sources.tables import load
 from .registry import query
 
@@ -217,7 +218,24 @@ def leaf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "level", "chunk", "parent", F.md5("text").alias("text_md5"))
 
 
-@query("SELECT combo, bit_count(combo)::INT AS n, concat_ws('+', CASE WHEN combo & 1 > 0 THEN 'anchor' END, CASE WHEN combo & 2 > 0 THEN 'dense' END, CASE WHEN combo & 4 > 0 THEN 'graph' END, CASE WHEN combo & 8 > 0 THEN 'rerank' END) AS names FROM range(16) t(combo)")
+@query("""WITH t AS (SELECT list(DISTINCT event_type ORDER BY event_type) AS t, count(DISTINCT event_type) AS k FROM events), c AS (SELECT unnest(range(1 << k)) AS combo, t, k FROM t),
+s AS (SELECT combo, list_filter(t, lambda x: combo & (1 << (list_position(t, x) - 1)) > 0) AS s FROM c)
+SELECT combo::BIGINT AS combo, len(s)::INT AS n, array_to_string(s, '+') AS names, (SELECT count(*) FROM events WHERE list_contains(s, event_type))::BIGINT AS events FROM s""")
 def ablation_powerset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All combinations of pipeline components."""
-    return R.ablations(["anchor", "dense", "graph", "rerank"], spark)
+    """All combinations of event types, with the events that each leaves."""
+    by = load(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    rows = {r["event_type"]: r["n"] for r in by.orderBy("event_type").collect()}  # the components: a handful
+    counts = F.create_map(*[x for k, v in rows.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    held = F.filter(F.split("names", r"\+"), lambda x: x != "")
+    total = F.aggregate(held, F.lit(0).cast("long"), lambda s, x: s + F.element_at(counts, x))
+    return R.ablations(list(rows), spark).withColumn("events", total)
+
+
+@query(r"""WITH s AS (SELECT trim(CASE p_partkey % 3 WHEN 0 THEN p_type || CASE WHEN p_partkey % 5 = 0 THEN '_' || p_partkey ELSE '' END WHEN 1 THEN p_brand ELSE 'Server' || p_size END) AS name, p_partkey AS pos FROM part)
+SELECT name, min(pos) AS pos FROM s WHERE length(name) >= 2 AND NOT regexp_matches(name, '\d{3,}') AND NOT regexp_matches(name, '[_-]\d+$') AND lower(name) NOT IN ('economy', 'server1') GROUP BY name""")
+def type_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that may be types, each at its first place: too special and reserved ones go."""
+    k, c = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    special = F.when(k % 5 == 0, F.concat(F.lit("_"), c)).otherwise(F.lit(""))
+    name = F.when(k % 3 == 0, F.concat("p_type", special)).when(k % 3 == 1, F.col("p_brand")).otherwise(F.concat(F.lit("Server"), F.col("p_size").cast("string")))
+    return type_names(load(spark, sf_dir, "part").select(name.alias("name"), k.alias("pos")), ("Economy", "server1"))
