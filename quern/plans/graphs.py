@@ -295,9 +295,13 @@ def hit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'n' || n_nationkey AS qid, 'S:' || s_suppkey AS src, 'in_nation' AS relation, 'N:' || n_nationkey AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT DISTINCT 's' || s_suppkey, 'P:' || l_partkey, 'supplied_by', 'S:' || s_suppkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_suppkey % 10 = 0
-UNION ALL SELECT 'r', 'N:' || n_nationkey, 'in_region', 'R:' || n_regionkey FROM nation""")
+UNION ALL SELECT 'r', 'N:' || n_nationkey, 'in_region', 'R:' || n_regionkey FROM nation
+UNION ALL SELECT 'n' || n_nationkey, 'S:' || s_suppkey, 'in_nation', 'N:' || s_nationkey FROM nation, supplier WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT DISTINCT 's' || x.s_suppkey, 'P:' || l_partkey, 'supplied_by', 'S:' || l_suppkey FROM supplier x, lineitem WHERE x.s_suppkey % 10 = 0 AND x.s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)""")
 def cypher_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graph patterns by their names, relations and labels: each nation's suppliers, every tenth supplier's parts, and one by labels alone."""
+    """Graph patterns by their names, relations and labels: each nation's suppliers, every tenth supplier's parts, and one by labels alone.
+
+    A nation without suppliers gets what its pattern's labels leave."""
     n, s = load(spark, sf_dir, "nation"), load(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0")
     patterns = n.select(F.concat(F.lit("n"), "n_nationkey").alias("qid"), F.format_string("MATCH (s:supplier)-[r:IN_NATION]->(n:nation {name: '%s'}) RETURN s, r, n", "n_name").alias("pattern")).unionByName(
         s.select(F.concat(F.lit("s"), "s_suppkey").alias("qid"), F.format_string("MATCH (p:Part)-[:supplied_by|nothing]->(s) WHERE s:Supplier AND (s:supplier) AND s.name = '%s' RETURN p", "s_name").alias("pattern"))
