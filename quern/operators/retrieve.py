@@ -311,13 +311,13 @@ def containing_pairs(items: DataFrame, docs: DataFrame, shorter: bool = False) -
     lengths = [r["n"] for r in asked.select("n").distinct().collect()]  # 1, 2 and 3 at most
     if lengths:
         held = F.concat(*[_shingle_hashes(F.col("w"), n) for n in lengths])
-        words = docs.select("doc_id", parts().alias("w"))
+        words = spread(docs.select("doc_id", "text")).select("doc_id", parts().alias("w"))
         found.append(_through(asked.select("item_id", "h"), words.select("doc_id", F.explode(F.array_distinct(held)).alias("h")), named, docs))
     sizes = [r["n"] for r in short.select("n").distinct().collect()]
     if sizes:
         pieces = short.select("item_id", F.explode(_grams(F.col("t"), F.col("n"))).alias("h"))
         held = F.concat(*[_grams(F.col("text"), n) for n in sizes])
-        found.append(_through(pieces, docs.select("doc_id", F.explode(held).alias("h")), short, docs))
+        found.append(_through(pieces, spread(docs.select("doc_id", "text")).select("doc_id", F.explode(held).alias("h")), short, docs))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
