@@ -256,7 +256,7 @@ def enrich(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFra
 
 
 def endpoints(hits: DataFrame, k: int) -> DataFrame:
-    """The ends of relation hits (qid, src, dst, rank) in first-seen order: qid, id, rank."""
+    """The ends of relation hits (qid, src, dst, and a rank of any type that orders them) in first-seen order: qid, id, rank."""
     ends = hits.select("qid", F.posexplode(F.array("src", "dst")).alias("side", "id"), F.col("rank").alias("place"))
     kept = ends.groupBy("qid", "id").agg(F.min(F.struct("place", "side")).alias("m"))
     return ranked(kept, "qid", [F.col("m.place"), F.col("m.side")], k).select("qid", "id", "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, basics, generation, graphs, merges, paths, reports, retrieval, texts  # noqa: F401  they register their queries
+from . import anchors, basics, files, generation, graphs, merges, paths, reports, retrieval, texts  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 

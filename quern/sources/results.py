@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.reports import average_rows
@@ -99,3 +99,20 @@ def original_ids(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame
     known = spark.read.parquet(path).groupBy("chunk_id").agg(F.max_by("no", "saved").alias("no"))
     first = chunks.join(known, "chunk_id").groupBy("qid", "no").agg(F.min("rank").alias("at"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("at", "no"))).select("qid", "no", "rank")
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """Rows whose nested columns (maps, lists, structs) are JSON text, map keys in order; what is null stays null."""
+
+    def one(field) -> Column:
+        c, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+        if kind.startswith("map"):
+            c = F.when(c.isNotNull(), F.map_from_entries(F.array_sort(F.map_entries(c))))
+        return (F.to_json(c) if kind.startswith(("map", "array", "struct")) else c).alias(field.name)
+
+    return rows.select(*[one(f) for f in rows.schema])
+
+
+def with_schema_info(rows: DataFrame, info: dict[str, object]) -> DataFrame:
+    """Result rows with a schema's facts in columns of their own, filled in the row whose idx is 1 and null elsewhere."""
+    return rows.withColumns({k: F.when(F.col("idx") == 1, F.lit(v)) for k, v in info.items()})
