@@ -279,3 +279,10 @@ def property_schema(rows: DataFrame, label: str, properties: str) -> DataFrame:
     """The sorted property keys of each label."""
     keys = rows.select(F.col(label).alias("label"), F.explode(F.map_keys(properties)).alias("k"))
     return keys.groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("k")), ",").alias("keys"))
+
+
+def vocabulary(graph: Graph) -> DataFrame:
+    """The types of a graph's nodes and the relations of its edges, the most frequent first: kind, name, n, place (from 1 in each kind)."""
+    names = graph.nodes.select(F.lit("type").alias("kind"), F.col("type").alias("name")).unionByName(graph.edges.select(F.lit("relation").alias("kind"), F.col("relation").alias("name")))
+    counted = names.groupBy("kind", "name").agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name")))  # a row for each name

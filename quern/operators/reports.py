@@ -84,6 +84,26 @@ def frequent(suggestions: DataFrame, batches: int, share: float = 0.3) -> DataFr
     return suggestions.select("batch", "name").distinct().groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def evolved(anchors: DataFrame, suggestions: DataFrame, batches: int, share: float = 0.3, removed: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Type names after additive evolution: the anchors (name), and what at least a share of the batches suggest: name, is_anchor, n.
+
+    Anchors stay, whether suggested or not; n counts the batches that suggest a
+    name (0 for others), and names are compared as they are written. `removed`
+    (name) holds what a consolidation takes out, of both kinds. `most` keeps
+    the most frequent additions, ties by name.
+    """
+    own = anchors.select("name").distinct().withColumn("is_anchor", F.lit(True))
+    seen = frequent(suggestions, batches, 0.0)
+    least = max(1, int(batches * share))
+    all_of = seen.join(own, "name", "full").select("name", F.coalesce("is_anchor", F.lit(False)).alias("is_anchor"), F.coalesce("n", F.lit(0)).alias("n")).where(F.col("is_anchor") | (F.col("n") >= least))
+    if removed is not None:
+        all_of = all_of.join(removed.select("name").distinct(), "name", "left_anti")
+    if most is None:
+        return all_of
+    added = all_of.where("not is_anchor").orderBy(F.desc("n"), "name").limit(most)
+    return all_of.where("is_anchor").unionByName(added)
+
+
 def batches(rows: DataFrame, order: str, n: int, share: float = 0.1) -> DataFrame:
     """Rows with their batch: max(1, int(n * share)) to a batch, in order of `order` (whose places are given by `pos`)."""
     size = max(1, int(n * share))

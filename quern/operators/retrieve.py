@@ -154,7 +154,7 @@ def contexts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.select("qid", "m.section", "m.rank", line.alias("context"))
 
 
-def running_sums(rows: DataFrame, group: str, order: str | list[str], value: str) -> DataFrame:
+def running_sums(rows: DataFrame, group: str, order: str | list[str | Column], value: str) -> DataFrame:
     """`rows` (narrow: they are written once) with running, the sum of `value` up to each row of its group, and nth.
 
     The rows are dealt by ranges of (group, order); sums of earlier ranges are
@@ -361,10 +361,10 @@ def retrieved_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges.select("qid", F.lit(1).alias("s"), F.col("weight").cast("double").alias("v"), pair.alias("n"), "source_id")
     )
     listed = both.select("qid", "s", (-F.col("v")).alias("v"), "n", F.posexplode(T.chunk_ids(F.col("source_id"))).alias("pos", "id"))
-    # Names are to descend, so the first of an id is found by window and not by a least struct.
+    # Names are to descend, so the first of an id is found by window and not by a least struct; each task keeps one of an id.
     order = [F.col("s"), F.col("v"), F.col("n").desc(), F.col("pos")]
-    first = listed.withColumn("k", F.row_number().over(Window.partitionBy("qid", "id").orderBy(*order))).where("k = 1")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).select("qid", "id", "rank")
+    first = listed.withColumn("k", F.row_number().over(Window.partitionBy("qid", "id").orderBy(*order))).where("k = 1").drop("k")
+    return running_sums(first.withColumn("one", F.lit(1)), "qid", order, "one").select("qid", "id", F.col("nth").cast("int").alias("rank"))
 
 
 def zipped(first: DataFrame, second: DataFrame, group: str, order: str, value: str) -> DataFrame:
@@ -382,3 +382,20 @@ def head_sample(docs: DataFrame, order: str, text: str, n: int, chars: int) -> D
 def single(lists: list[DataFrame], k: int) -> DataFrame:
     """The first list alone, cut to `k`."""
     return concatenate(lists[:1], k)
+
+
+def scaled(rows: DataFrame, group: str, value: str, name: str = "scaled") -> DataFrame:
+    """`rows` with `value` scaled to [0, 1] within its group as `name`: 0 in groups of one value, null for null.
+
+    The bounds are sums over the groups and go back to the rows, so that a group of any size stays spread.
+    """
+    bounds = rows.groupBy(F.col(group).alias("__g")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    met = rows.join(carried(bounds), F.col(group).eqNullSafe(F.col("__g")), "left")
+    part = (F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low"))
+    return met.withColumn(name, F.when(F.col(value).isNotNull(), F.when(F.col("__high") > F.col("__low"), part).otherwise(0.0))).drop("__g", "__low", "__high")
+
+
+def linked(entities: DataFrame, relations: DataFrame, k: int) -> DataFrame:
+    """Seeds of a question: its entity hits (qid, id, rank) and the ends of its relation hits (qid, src, dst, rank) in turn: qid, name, source, rank."""
+    local = entities.select("qid", F.col("id").alias("name"), "rank")
+    return round_robin(local, endpoints(relations, k).withColumnRenamed("id", "name"), k)

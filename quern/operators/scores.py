@@ -11,9 +11,12 @@ from ..functions import alignment as A
 from ..functions import metrics as M
 from ..functions import text as T
 from .lineage import cut
+from .retrieve import carried
 
 #: The columns that result files get.
 COLUMNS = ("rouge1_zh", "rouge2_zh", "rougeL_zh", "rougeLsum_zh", "bleu_zh", "meteor_zh")
+#: The columns that name a question's scope, in this order.
+SCOPES = ("qa_scope", "scope", "Q_type")
 Tokens = Callable[[Column], Column]
 
 
@@ -69,27 +72,43 @@ def backfilled(rows: DataFrame, tokens: Tokens = T.mixed_tokens) -> DataFrame:
     return scored.unionByName(filled.select(scored.columns)).drop("__mean", "__row")
 
 
-def refreshed(summary: DataFrame, details: DataFrame, scopes: tuple[str, ...] = ("qa_scope", "scope", "Q_type")) -> DataFrame:
-    """A summary (pipeline_name, and summary_scope where it has one) with avg_ columns taken anew from its pipelines' detailed rows.
+def scoped(details: DataFrame, scopes: tuple[str, ...] = SCOPES) -> DataFrame:
+    """Detailed rows (pipeline_name, idx, ...) without average rows, once as total and once as what they are: scope is total, local, global or empty.
 
-    `details` have pipeline_name, idx and COLUMNS; average rows are left out. A
-    scope is total, local or global, read from the first of `scopes` that a
-    pipeline's rows recognise. Summary rows without detailed rows keep what
-    they have.
+    The scope is read from the first of `scopes` of which a pipeline's rows have a value that is recognised.
     """
     own = details.where(~F.coalesce(F.col("idx").cast("string"), F.lit("")).startswith("平均"))
     if "row" in details.columns:
         own = own.where("row is null")
     known = [c for c in scopes if c in details.columns]
-    if "summary_scope" in summary.columns and known:
-        read = {f"__s{i}": T.qa_scope(F.col(c).cast("string")) for i, c in enumerate(known)}
-        own = own.withColumns(read)
-        usable = own.groupBy("pipeline_name").agg(F.coalesce(*[F.when(F.max(s) != "", F.lit(i)) for i, s in enumerate(read)], F.lit(0)).alias("__at"))
-        own = own.join(usable, "pipeline_name").withColumn("__scope", F.element_at(F.array(*[F.col(s) for s in read]), F.col("__at") + 1))
-        own = own.withColumn("__scope", F.explode(F.array(F.lit("total"), "__scope")))
-    else:
-        own = own.withColumn("__scope", F.lit("total"))
-    fresh = own.groupBy(F.col("pipeline_name").alias("__p"), "__scope").agg(*[F.avg(c).alias(f"__{c}") for c in COLUMNS], F.lit(True).alias("__new"))
+    if not known:
+        return own.withColumn("scope", F.lit("total"))
+    read = {f"__s{i}": T.qa_scope(F.col(c).cast("string")) for i, c in enumerate(known)}
+    tagged = own.withColumns(read)
+    usable = tagged.groupBy(F.col("pipeline_name").alias("__p")).agg(F.coalesce(*[F.when(F.max(s) != "", F.lit(i)) for i, s in enumerate(read)], F.lit(0)).alias("__at"))
+    met = tagged.join(carried(usable), F.col("pipeline_name").eqNullSafe(F.col("__p")))
+    own_scope = F.element_at(F.array(*read), F.col("__at") + 1)
+    rest = [c for c in own.columns if c != "scope"]
+    return met.select(*rest, F.explode(F.array(F.lit("total"), own_scope)).alias("scope"))
+
+
+def run_summary(details: DataFrame, metrics: list[str], scopes: tuple[str, ...] = SCOPES) -> DataFrame:
+    """A run's summary: pipeline_name, summary_scope (total, local, global; those that have rows), n and the mean of each metric as avg_NAME.
+
+    Metrics that the rows lack are 0. See sources.results.append_summary for runs one after the other.
+    """
+    means = [(F.coalesce(F.avg(m), F.lit(0.0)) if m in details.columns else F.lit(0.0)).alias(f"avg_{m}") for m in metrics]
+    rows = scoped(details, scopes).where("scope <> ''")
+    return rows.groupBy("pipeline_name", F.col("scope").alias("summary_scope")).agg(F.count("*").alias("n"), *means)
+
+
+def refreshed(summary: DataFrame, details: DataFrame, scopes: tuple[str, ...] = SCOPES) -> DataFrame:
+    """A summary (pipeline_name, and summary_scope where it has one) with avg_ columns taken anew from its pipelines' detailed rows.
+
+    `details` have pipeline_name, idx and COLUMNS. Summary rows without
+    detailed rows of their scope keep what they have.
+    """
+    fresh = scoped(details, scopes).groupBy(F.col("pipeline_name").alias("__p"), F.col("scope").alias("__scope")).agg(*[F.avg(c).alias(f"__{c}") for c in COLUMNS], F.lit(True).alias("__new"))
     scope = F.lower(F.trim("summary_scope")) if "summary_scope" in summary.columns else F.lit("total")
     met = summary.withColumn("__of", scope).join(fresh, (F.col("pipeline_name") == F.col("__p")) & (F.col("__of") == F.col("__scope")), "left")
     old = lambda c: F.col(f"avg_{c}").cast("double") if f"avg_{c}" in summary.columns else F.lit(None).cast("double")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import min_max
 from ..operators import hub as H
 from ..operators import reports as P
 from ..operators import retrieve as R
@@ -102,7 +101,8 @@ def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, round(CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0 END, 6)::DOUBLE AS scaled FROM events WINDOW w AS (PARTITION BY event_type)""")
 def min_max_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values scaled to [0, 1] within their kind."""
-    return load(spark, sf_dir, "events").select("event_id", F.round(min_max(F.col("value"), Window.partitionBy("event_type")), 6).alias("scaled"))
+    rows = R.scaled(load(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_type", "value")
+    return rows.select("event_id", F.round("scaled", 6).alias("scaled"))
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN value ELSE user_id END::DOUBLE AS score FROM events""")

@@ -1,4 +1,4 @@
-"""Queries over files that the given tables are written to and read back from, question sets, and operators on single columns."""
+"""Queries over files that the given tables are written to and read back from, question sets, runs and their summaries."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vectors import as_double, top_by_cosine
 from ..operators import hub as H
 from ..operators import merge as U
 from ..operators import qa as Q
+from ..operators import reports as P
 from ..operators import retrieve as R
 from ..operators import scores as S
 from ..operators.lineage import shared_folder
@@ -200,3 +202,56 @@ def result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type"))
     rows = load(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("idx"), meta.alias("meta"), F.array("user_id", "event_id").alias("ids"))
     return E.with_schema_info(E.cells(rows), {"schema_types": 11}).drop("idx")
+
+
+@query(_G + """, v AS (SELECT 'type' AS kind, type AS name, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY relation)
+SELECT kind, name, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, name)::INT AS place FROM v""")
+def graph_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types and relations of the whole trade graph by frequency."""
+    return H.vocabulary(H.trade_graph(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT event_type AS pipeline_name, CASE user_id % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'global' ELSE '' END AS scope, value FROM events),
+u AS (SELECT pipeline_name, 'total' AS summary_scope, value FROM e UNION ALL SELECT pipeline_name, scope, value FROM e WHERE scope <> '')
+SELECT pipeline_name, summary_scope, count(*) AS n, round(avg(value), 6) AS avg_value, 0.0::DOUBLE AS avg_missing FROM u GROUP BY ALL""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's summary of each event type as a pipeline, in total and by scope."""
+    kind = F.when(F.col("user_id") % 3 == 0, "Local").when(F.col("user_id") % 3 == 1, "global").otherwise("?")
+    rows = load(spark, sf_dir, "events").select(F.col("event_type").alias("pipeline_name"), F.col("event_id").alias("idx"), kind.alias("scope"), "value")
+    found = S.run_summary(rows, ["value", "missing"])
+    return found.withColumn("avg_value", F.round("avg_value", 6))
+
+
+@query("""WITH b AS (SELECT DISTINCT o_custkey % 20 AS batch, o_orderpriority || o_orderstatus || o_orderkey % 50 AS name FROM orders), f AS (SELECT name, count(*) AS n FROM b GROUP BY name),
+a AS (SELECT DISTINCT 'anchor' || r_regionkey AS name FROM region UNION SELECT DISTINCT o_orderpriority || o_orderstatus || '7' FROM orders)
+SELECT name, a.name IS NOT NULL AS is_anchor, coalesce(n, 0)::BIGINT AS n FROM f FULL JOIN a USING (name) WHERE (a.name IS NOT NULL OR n >= 6) AND NOT contains(name, 'O3')""")
+def additive_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types after additive evolution in twenty batches, with what a consolidation takes out."""
+    name = F.concat("o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 50).cast("string"))
+    rows = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("batch"), name.alias("name"), F.concat("o_orderpriority", "o_orderstatus", F.lit("7")).alias("fixed"))
+    anchors = load(spark, sf_dir, "region").select(F.concat(F.lit("anchor"), F.col("r_regionkey").cast("string")).alias("name")).unionByName(rows.select(F.col("fixed").alias("name")))
+    return P.evolved(anchors, rows, 20, 0.3, rows.where(F.col("name").contains("O3")).select("name"))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, lead(vec_id) OVER w AS next, lead(embedding::DOUBLE[]) OVER w AS u FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+q AS (SELECT id AS qid, v AS qv FROM e WHERE id % 100 = 0),
+l AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(qv, v), 9) DESC, id) AS rank FROM q, e QUALIFY rank <= 6),
+r AS (SELECT id, next, [v[i] + u[i] FOR i IN range(1, len(v) + 1)] AS rv FROM e WHERE next IS NOT NULL),
+g AS (SELECT qid, id AS src, next AS dst, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(qv, rv), 9) DESC, id) AS rank FROM q, r QUALIFY rank <= 6),
+p AS (SELECT qid, src AS id, rank * 2 AS place FROM g UNION ALL SELECT qid, dst, rank * 2 + 1 FROM g),
+f AS (SELECT qid, id, min(place) AS place FROM p GROUP BY qid, id), s AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM f QUALIFY rank <= 12),
+b AS (SELECT qid, id, rank, 0 AS s FROM l UNION ALL SELECT qid, id, rank, 1 FROM s), o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY rank, s) = 1)
+SELECT qid, 'V' || id AS name, CASE WHEN s = 0 THEN 'local' ELSE 'global' END AS source, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, s) AS r FROM o) WHERE r <= 12""")
+def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector's seeds: the nearest vectors as entities, and the ends of the nearest relations, which join a label's vectors in order."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "label", as_double(F.col("embedding")).alias("v"))
+    asked = v.where("vec_id % 100 = 0")
+    after = R.running_sums(v.select("label", "vec_id", F.lit(1).alias("one")), "label", "vec_id", "one").select("label", "vec_id", "nth")
+    pairs = after.join(after.select("label", F.col("vec_id").alias("next"), (F.col("nth") - 1).alias("nth")), ["label", "nth"])
+    ends = pairs.join(v.select("vec_id", F.col("v").alias("a")), "vec_id").join(v.select(F.col("vec_id").alias("next"), F.col("v").alias("b")), "next")
+    relations = ends.select("vec_id", "next", F.zip_with("a", "b", lambda x, y: x + y).alias("v"))
+    tag = lambda c: F.concat(F.lit("V"), F.col(c).cast("string"))
+    near = lambda rows, k: top_by_cosine(asked, rows.select("vec_id", "v"), k, "vec_id", "vec_id", "v")
+    local = near(v, 6).select(F.col("query").alias("qid"), tag("item").alias("id"), "rank")
+    hits = near(relations, 6).join(relations.select(F.col("vec_id").alias("item"), "next"), "item")
+    return R.linked(local, hits.select(F.col("query").alias("qid"), tag("item").alias("src"), tag("next").alias("dst"), "rank"), 12)

@@ -105,3 +105,24 @@ def test_cells(spark):
     rows = spark.createDataFrame([(1, {"b": "x", "a": "é"}, [1, 2], (1, None)), (2, None, None, None), (3, {}, [], (None, "z"))], "idx int, m map<string,string>, l array<int>, s struct<p:int,q:string>")
     got = [tuple(r) for r in results.with_schema_info(results.cells(rows), {"n": 3}).orderBy("idx").collect()]
     assert got == [(1, '{"a":"é","b":"x"}', "[1,2]", '{"p":1}', 3), (2, None, None, None, None), (3, "{}", "[]", '{"q":"z"}', None)]
+
+
+def test_scaled_keeps_rows(spark):
+    from quern.operators import retrieve
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", 2.0), (None, 4.0), (None, 8.0)], "g string, v double")
+    got = sorted(((r["g"] or "", -1.0 if r["v"] is None else r["v"], r["scaled"]) for r in retrieve.scaled(rows, "g", "v").collect()), key=str)
+    assert got == sorted([("a", 1.0, 0.0), ("a", 3.0, 1.0), ("a", -1.0, None), ("b", 2.0, 0.0), ("", 4.0, 0.0), ("", 8.0, 1.0)], key=str)
+    assert retrieve.scaled(rows.limit(0), "g", "v").collect() == []
+
+
+def test_evolved(spark):
+    from quern.operators import reports
+
+    anchors = spark.createDataFrame([("A",), ("B",), ("A",)], "name string")
+    said = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (1, "B"), (3, "y"), (4, "z"), (5, "z"), (6, "z")], "batch int, name string")
+    of = lambda **k: sorted((r["name"], r["is_anchor"], r["n"]) for r in reports.evolved(anchors, said, 7, **k).collect())
+    assert of() == [("A", True, 0), ("B", True, 1), ("x", False, 2), ("z", False, 3)]  # at least 2 of 7
+    assert of(most=1) == [("A", True, 0), ("B", True, 1), ("z", False, 3)]
+    assert of(removed=spark.createDataFrame([("z",), ("A",)], "name string")) == [("B", True, 1), ("x", False, 2)]
+    assert [n for n, _, _ in of(share=0.1)] == ["A", "B", "x", "y", "z"]
