@@ -17,6 +17,7 @@ from ..operators import retrieve as R
 from ..operators import scores as S
 from ..operators.lineage import shared_folder
 from ..sources import graphs as X
+from ..sources import questions as N
 from ..sources import records as D
 from ..sources import results as E
 from ..sources.tables import load
@@ -255,3 +256,47 @@ def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = near(v, 6).select(F.col("query").alias("qid"), tag("item").alias("id"), "rank")
     hits = near(relations, 6).join(relations.select(F.col("vec_id").alias("item"), "next"), "item")
     return R.linked(local, hits.select(F.col("query").alias("qid"), tag("item").alias("src"), tag("next").alias("dst"), "rank"), 12)
+
+
+@query(_ANSWERS.rstrip().rstrip(",") + """, q AS (SELECT coalesce(truth, '') AS query, coalesce(answer, '') AS answer, split_part(key, ':', 1) AS conv FROM p),
+s AS (SELECT *, CASE WHEN conv::BIGINT % 2 = 0 THEN 'local' ELSE 'global' END AS qa_scope FROM q)
+SELECT 'csr_csv' AS loader, md5(query) AS query, md5(answer) AS answer, conv AS ids, qa_scope FROM s UNION ALL SELECT 'csr_jsonl', md5(query), md5(answer), conv || '|x', qa_scope FROM s
+UNION ALL SELECT 'ragas_metadata_csv', md5(trim(query)), md5(trim(answer)), md5(trim(answer)) || CASE WHEN trim(query) <> trim(answer) THEN '|' || md5(trim(query)) ELSE '' END, qa_scope FROM s WHERE trim(query) <> '' AND trim(answer) <> ''""")
+def questions_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions and answers of the conversations written as three kinds of question files and read by their loaders."""
+    conv, blank = F.substring_index("key", ":", 1), lambda c: F.coalesce(F.col(c), F.lit(""))
+    kind = F.when(conv.cast("long") % 2 == 0, "SINGLE-HOP").otherwise("MULTI-HOP")
+    rows = _answers(spark, sf_dir).select(blank("truth").alias("q"), blank("answer").alias("a"), conv.alias("conv"), kind.alias("kind"))
+    folder, found = _folder(spark, "questions"), None
+    csv = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.select(F.col("q").alias("Q"), F.col("a").alias("GT"), F.col("conv").alias("REF"), F.col("kind").alias("Q_type")).write.options(**csv).csv(f"{folder}/csr_csv")
+    rows.select(F.col("q").alias("question"), F.col("a").alias("answer"), F.array("conv", F.lit("x")).alias("source_doc_ids"), F.col("kind").alias("hop_level")).write.json(f"{folder}/csr_jsonl")
+    texts = rows.where("trim(q) <> '' and trim(a) <> ''")
+    texts.select(F.col("q").alias("user_input"), F.col("a").alias("reference"), F.to_json(F.array("a", "q")).alias("reference_contexts"), F.col("kind").alias("question_type")).write.options(**csv).csv(f"{folder}/ragas_metadata_csv")
+    for loader in ("csr_csv", "csr_jsonl", "ragas_metadata_csv"):
+        one = N.read(spark, loader, f"{folder}/{loader}")
+        one = one.select(F.lit(loader).alias("loader"), F.md5(blank("query")).alias("query"), F.md5(blank("ground_truth_answer")).alias("answer"), F.array_join("ground_truth_doc_ids", "|").alias("ids"), "qa_scope")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, strftime(l_shipdate, '%Y-%m-%d') AS day, l_linenumber AS n, l_partkey AS p, l_returnflag AS f FROM lineitem),
+d AS (SELECT k, day, string_agg('[08:0' || n || '] part ' || p, chr(10) ORDER BY n) AS nurse, string_agg('ship ' || p || ' ' || f, chr(10) ORDER BY n) AS orders, string_agg('plan ' || n, chr(10) ORDER BY n) AS plan FROM l GROUP BY k, day)
+SELECT md5('o' || k || day) AS doc_id, md5('患者病歷號 o' || k || '（' || k % 90 || ' 歲，血型 A+，HBV/HCV/HIV: 0/1/0）' || chr(10) || '透析日期：' || day || chr(10) || '--- 護理紀錄 ---' || chr(10) || nurse || chr(10)
+  || '--- 醫囑 ---' || chr(10) || orders || chr(10) || '--- 評估計畫 ---' || chr(10) || plan || chr(10) || '--- 過濾器狀態 ---' || chr(10) || '（無）' || chr(10)) AS text_md5, 'o' || k AS case_number, day FROM d""")
+def sessions_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested clinical records, a JSON object a line, read as one text for each order and day of shipping."""
+    day, c = F.date_format("l_shipdate", "yyyy-MM-dd"), lambda n: F.col(n).cast("string")
+    line = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.array(F.concat(day, F.lit(" 08:0"), c("l_linenumber")), F.concat(F.lit("part "), c("l_partkey"))).alias("nurse"),
+        F.array(day, F.concat(F.lit("ship "), c("l_partkey")), F.lit(""), c("l_returnflag")).alias("order"), F.array(day, F.concat(F.lit("plan "), c("l_linenumber"))).alias("plan"),
+    )
+    inorder = lambda name: F.transform("l", lambda x: x[name])
+    patients = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "nurse", "order", "plan"))).alias("l"))  # an order has a few lines
+    path = _folder(spark, "sessions")
+    patients.select(
+        F.concat(F.lit("o"), c("l_orderkey")).alias("case_number"), (F.col("l_orderkey") % 90).cast("string").alias("age"), F.lit("A").alias("blood_type"), F.lit("+").alias("blood_rh"), F.lit("1").alias("hcv"),
+        inorder("nurse").alias("nurse_record"), inorder("order").alias("order"), inorder("plan").alias("a+p"),
+    ).write.json(path)
+    m = F.col("metadata")
+    return D.read_sessions(spark, path).select("doc_id", F.md5("text").alias("text_md5"), m["case_number"].alias("case_number"), m["session_date"].alias("day"))
