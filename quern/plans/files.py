@@ -285,14 +285,17 @@ d AS (SELECT k, day, string_agg('[08:0' || n || '] part ' || p, chr(10) ORDER BY
 SELECT md5('o' || k || day) AS doc_id, md5('患者病歷號 o' || k || '（' || k % 90 || ' 歲，血型 A+，HBV/HCV/HIV: 0/1/0）' || chr(10) || '透析日期：' || day || chr(10) || '--- 護理紀錄 ---' || chr(10) || nurse || chr(10)
   || '--- 醫囑 ---' || chr(10) || orders || chr(10) || '--- 評估計畫 ---' || chr(10) || plan || chr(10) || '--- 過濾器狀態 ---' || chr(10) || '（無）' || chr(10)) AS text_md5, 'o' || k AS case_number, day FROM d""")
 def sessions_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as nested clinical records, a JSON object a line, read as one text for each order and day of shipping."""
+    """Orders as nested clinical records, a JSON object a line, read as one text for each order and day of shipping.
+
+    Lines of one number stay in the order of their table.
+    """
     day, c = F.date_format("l_shipdate", "yyyy-MM-dd"), lambda n: F.col(n).cast("string")
     line = load(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.array(F.concat(day, F.lit(" 08:0"), c("l_linenumber")), F.concat(F.lit("part "), c("l_partkey"))).alias("nurse"),
+        "l_orderkey", "l_linenumber", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"), F.array(F.concat(day, F.lit(" 08:0"), c("l_linenumber")), F.concat(F.lit("part "), c("l_partkey"))).alias("nurse"),
         F.array(day, F.concat(F.lit("ship "), c("l_partkey")), F.lit(""), c("l_returnflag")).alias("order"), F.array(day, F.concat(F.lit("plan "), c("l_linenumber"))).alias("plan"),
     )
     inorder = lambda name: F.transform("l", lambda x: x[name])
-    patients = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "nurse", "order", "plan"))).alias("l"))  # an order has a few lines
+    patients = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "at", "nurse", "order", "plan"))).alias("l"))  # an order has a few lines
     path = _folder(spark, "sessions")
     patients.select(
         F.concat(F.lit("o"), c("l_orderkey")).alias("case_number"), (F.col("l_orderkey") % 90).cast("string").alias("age"), F.lit("A").alias("blood_type"), F.lit("+").alias("blood_rh"), F.lit("1").alias("hcv"),

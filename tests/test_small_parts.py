@@ -122,3 +122,19 @@ def test_representatives_are_the_nearest_to_their_centres(spark):
         centre = np.mean([v for _, v in own], axis=0)
         nearest = min(own, key=lambda x: np.linalg.norm(x[1] - centre))
         assert r["id"] == nearest[0] and r["distance"] == pytest.approx(np.linalg.norm(nearest[1] - centre), abs=1e-6)
+
+
+def test_session_lines_of_one_number_stay_in_order(spark, tmp_path):
+    """Lines of an order that share day and number come as their table has them, as in the query's SQL."""
+    import duckdb
+
+    from quern.plans import catalogue
+
+    lines = [(1, 2, p, "2020-01-02", f) for p, f in ((9, "R"), (1, "A"), (5, "N"), (3, "A"))] + [(1, 1, 7, "2020-01-02", "R"), (2, 1, 8, "2020-01-03", "N")]
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, day string, l_returnflag string")
+    rows.withColumn("l_shipdate", F.col("day").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in catalogue.queries()["sessions_read_back"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = con.sql(catalogue.oracle_sql()["sessions_read_back"])
+    assert found.columns == ["doc_id", "text_md5", "case_number", "day"] and got == set(found.fetchall()) and len(got) == 2
