@@ -42,22 +42,29 @@ def string_similarity(a: Column, b: Column) -> Column:
     return F.when(x.contains(y) | y.contains(x), 0.9).otherwise(jaccard(char_set(x), char_set(y)))
 
 
+def held(df: DataFrame, vector: str) -> Column:
+    """A vector column as it travels: single precision stays, which doubles in the task tell exactly; all else are doubles."""
+    v = F.col(vector)
+    return v if df.schema[vector].dataType.simpleString() == "array<float>" else as_double(v)
+
+
 def blocks(df: DataFrame, key: str, size: int = 1024) -> tuple[DataFrame, int]:
     """`df` with a block number that spreads rows evenly; blocks hold about `size` rows."""
     n = max(1, -(-df.count() // size))
     return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, low: float, high: float = 2.0, size: int = 1024) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, vector: str, low: float, high: float = 2.0, size: int = 8192, strip: int = 1024) -> DataFrame:
     """Pairs a < b of `key` with low <= cosine < high, as (a, b, sim).
 
     An exact join in blocks: each pair of blocks meets once, as two matrices of
-    at most about `size` rows, so that a task's memory is fixed and only
-    passing pairs leave it. The work is quadratic in the number of blocks,
-    which an exact threshold join on dense vectors needs; the rows shuffled are
-    `df` times the number of blocks.
+    at most about `size` rows, whose products are taken `strip` rows at a time,
+    so that a task's memory is fixed and only passing pairs leave it. The work
+    is quadratic in the number of blocks, which an exact threshold join on
+    dense vectors needs; the rows shuffled are `df` times the number of blocks,
+    so blocks are as large as a task can hold.
     """
-    rows, n = blocks(df.select(F.col(key).alias("id"), as_double(F.col(vector)).alias("v")), "id", size)
+    rows, n = blocks(df.select(F.col(key).alias("id"), held(df, vector).alias("v")), "id", size)
     kind = df.schema[key].dataType.simpleString()
     left = rows.select("id", "v", F.explode(F.sequence(F.col("block"), F.lit(n - 1))).alias("other"), F.col("block").alias("mine")).select(
         "id", "v", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side")
@@ -76,13 +83,15 @@ def similar_pairs(df: DataFrame, key: str, vector: str, low: float, high: float
         (ida, a), (idb, b) = sides
         if not len(ida) or not len(idb):
             return pd.DataFrame({"a": ida[:0], "b": idb[:0], "sim": np.zeros(0)})
-        sims = a @ b.T
-        i, j = np.nonzero((sims >= low) & (sims < high))
-        x, y = ida[i], idb[j]
-        same = parts["i"].iloc[0] == parts["j"].iloc[0]
-        keep = x < y if same else x != y
-        x, y, s = x[keep], y[keep], sims[i, j][keep]
-        return pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "sim": s})
+        same, found = parts["i"].iloc[0] == parts["j"].iloc[0], []
+        for k in range(0, len(a), strip):
+            sims = a[k : k + strip] @ b.T
+            i, j = np.nonzero((sims >= low) & (sims < high))
+            x, y = ida[k + i], idb[j]
+            keep = x < y if same else x != y
+            x, y, s = x[keep], y[keep], sims[i, j][keep]
+            found.append(pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "sim": s}))
+        return pd.concat(found)
 
     return left.unionByName(right).groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}, sim double")
 
@@ -97,7 +106,7 @@ def top_by_cosine(queries: DataFrame, items: DataFrame, k: int, query_key: str,
     without length has cosine 0 with all; queries have distinct keys.
     """
     (asked, n), (rows, m) = (
-        blocks(df.select(F.col(key).alias("id"), as_double(F.col(vector)).alias("v")), "id", many)
+        blocks(df.select(F.col(key).alias("id"), held(df, vector).alias("v")), "id", many)
         for df, key, many in ((queries, query_key, size[0]), (items, item_key, size[1]))
     )
     qkind, ikind = queries.schema[query_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()

@@ -15,7 +15,7 @@ from ..operators import qa as Q
 from ..operators import reports as P
 from ..operators import retrieve as R
 from ..operators import scores as S
-from ..operators.lineage import shared_folder
+from ..operators.lineage import cut, shared_folder
 from ..sources import graphs as X
 from ..sources import questions as N
 from ..sources import records as D
@@ -88,7 +88,7 @@ SELECT node, canonical FROM n""")
 def merged_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar vectors merged in the graph of their own similarities: each with the name that stays."""
     tag = lambda c: F.concat(F.lit("V"), F.col(c).cast("string"))
-    found = _pairs(spark, sf_dir)
+    found = cut(_pairs(spark, sf_dir))  # found once, for groups and degrees
     edges = found.select(tag("a").alias("src"), tag("b").alias("dst"), F.lit("like").alias("relation"), F.col("sim").alias("weight"))
     nodes = load(spark, sf_dir, "embeddings").select(tag("vec_id").alias("id"), F.lit("vector").alias("type"), tag("vec_id").alias("name"))
     groups = U.components(edges, "src", "dst")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double
 from ..operators import merge as U
+from ..operators.lineage import cut
 from ..sources.tables import load
 from .registry import query
 
@@ -87,7 +88,7 @@ o AS (SELECT node, component, row_number() OVER (PARTITION BY component ORDER BY
 SELECT g.node, g.component, o.node AS canonical FROM g JOIN o ON o.component = g.component AND nth = 1""")
 def canonical_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each group's member of highest degree."""
-    pairs = _pairs(spark, sf_dir)
+    pairs = cut(_pairs(spark, sf_dir))  # found once, for groups and degrees
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     return U.canonical(U.components(pairs), ends)
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quern.functions.vectors import top_by_cosine
+from quern.functions.vectors import similar_pairs, top_by_cosine
 from quern.operators import merge as U
 from quern.operators import retrieve as R
 
@@ -115,3 +115,21 @@ def test_bm25_the_same_by_lookup_and_by_join(spark, sf_dir):
     rows = lambda within: {(r["qid"], r["id"]): round(r["score"], 9) for r in R.bm25(docs, asked, within=within).collect()}
     found = rows(R.WITHIN)
     assert found and found == rows(0)
+
+
+def test_similar_pairs_travel_in_few_blocks(spark):
+    """3,000 vectors meet in one block; strips of its products give the pairs that all products give. Single precision is as good as double."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(3000, 4)).astype("float32")
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    want = {(i, j) for i, j in np.argwhere(unit @ unit.T >= 0.999).tolist() if i < j}
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id long, v array<float>")
+    for one, size in ((df, {}), (df, {"size": 700, "strip": 100}), (df.selectExpr("id", "cast(v as array<double>) v"), {"strip": 999})):
+        got = [(r["a"], r["b"]) for r in similar_pairs(one, "id", "v", 0.999, **size).collect()]
+        assert set(got) == want and len(got) == len(want) > 50
+    assert blocks_of(similar_pairs(df, "id", "v", 0.999)) == 1
+
+
+def blocks_of(df) -> int:
+    """How many blocks a plan deals its rows to: what its sequence of partners ends with, and one."""
+    return int(re.search(r"sequence\(block#?\d*L?, (\d+)", df._jdf.queryExecution().toString()).group(1)) + 1
