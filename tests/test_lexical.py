@@ -46,3 +46,15 @@ def test_slices_add_up(monkeypatch):
         idf = dict(zip(asked["h"][q], asked["idf"][q]))
         score = [sum(idf[w] * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * max(len(h), 1) / mean)) for w, n in zip(*np.unique(h, return_counts=True)) if w in idf) for h in texts["h"]]
         assert list(part["id"]) == [i for i in sorted(range(40), key=lambda i: (-round(score[i], 9), i)) if score[i] > 0][:6]
+
+
+def test_texts_travel_once(spark, monkeypatch):
+    """A thousand queries are one block, so that texts are not copied for each few hundred; slices of the scores change nothing."""
+    corpus = spark.range(1000).selectExpr("id", "concat('w', id % 7, ' w', id % 11, ' w', id % 7, ' x', id % 40) text")
+    queries = corpus.withColumnRenamed("id", "qid")
+    dealt, made = lexical._dealt, []
+    monkeypatch.setattr(lexical, "_dealt", lambda *a: made.append(dealt(*a)) or made[-1])
+    whole = rows(lexical.bm25_top(corpus, queries, 3))
+    assert made[0][1] == 1 and len(whole) == 3000
+    monkeypatch.setattr(lexical, "CELLS", 9000)
+    assert rows(lexical.bm25_top(corpus, queries, 3)) == whole == rows(retrieve.top(retrieve.bm25(corpus, queries), 3))
