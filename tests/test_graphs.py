@@ -152,3 +152,65 @@ def test_auto_merge_and_endpoints(spark):
     assert got == [(1, 0, 0.75), (2, 4, 0.9)]
     rel = spark.createDataFrame([("q", "a", "b", 1), ("q", "b", "c", 2)], "qid string, src string, dst string, rank int")
     assert [(r["id"], r["rank"]) for r in retrieve.endpoints(rel, 2).orderBy("rank").collect()] == [("a", 1), ("b", 2)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_khop_takes_little_of_a_hub(spark, monkeypatch, seed):
+    """Two and three hops around several seeds give what a search by hand gives; what lies behind a hub is not written for each query."""
+    import random
+
+    from quern.operators import traverse
+    from quern.operators.hub import Graph
+
+    rng = random.Random(seed)
+    spokes = [(f"n{i:03}", "hub") for i in range(150)]
+    pairs = spokes + [(f"n{rng.randrange(40):03}", f"m{rng.randrange(12):02}") for _ in range(60)] + [("lone", "lone")]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set())
+        if a != b:
+            near[a].add(b), near.setdefault(b, set()).add(a)
+    graph = Graph(spark.createDataFrame([(n,) for n in near], "id string"), spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double"))
+    seeds = [(f"q{i}", f"n{i:03}") for i in range(8)] + [("q0", "m01"), ("q1", "n005"), ("q9", "lone"), ("q10", "missing")]
+    written, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: written.append(cut(df)) or written[-1])
+    for hops, top in ((1, 3), (2, 4), (3, 300)):
+        written.clear()
+        nodes, edges = traverse.khop(graph, spark.createDataFrame(seeds, "qid string, id string"), hops, top)
+        got_nodes, got_edges = {}, {}
+        for r in nodes.collect():
+            got_nodes.setdefault(r["qid"], set()).add((r["id"], r["hop"], r["rank"]))
+        rows = edges.collect()
+        for r in rows:
+            got_edges.setdefault(r["qid"], {})[r["a"], r["b"]] = (r["hop"], r["rank"])
+        assert len(rows) == sum(map(len, got_edges.values()))
+        for q in {q for q, _ in seeds}:
+            hop = {n: 0 for k, n in seeds if k == q and n in near}
+            for h in range(1, hops + 1):
+                hop |= {m: h for n in [n for n, g in hop.items() if g == h - 1] for m in near[n] if m not in hop}
+            best = sorted(hop, key=lambda n: (-len(near[n]), hop[n], n))[:top]
+            assert got_nodes.get(q, set()) == {(n, hop[n], len(near[n])) for n in best}
+            seen = {}
+            for n, g in hop.items():
+                for m in near[n] if g < hops else ():
+                    seen[min(n, m), max(n, m)] = (min(g + 1, seen.get((min(n, m), max(n, m)), (99,))[0]), len(near[n]) + len(near[m]))
+            assert got_edges.get(q, {}) == seen
+        if hops == 2:
+            assert max(df.count() for df in written if "qid" in df.columns) < 150
+
+
+def test_clustering_asks_with_the_fewer(spark):
+    """Random graphs with hubs: degrees and triangles as counted by hand."""
+    import random
+    from itertools import combinations
+
+    from quern.operators import hub
+
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(90)} | {(i, 99) for i in range(25)} | {(50, 51), (51, 51)}
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(str(a), set()).add(str(b)), near.setdefault(str(b), set()).add(str(a))
+    got = {r["id"]: (r["degree"], r["triangles"]) for r in hub.clustering(spark.createDataFrame([(str(a), str(b), 1.0) for a, b in pairs] * 2, "src string, dst string, weight double")).collect()}
+    assert got == {n: (len(m), sum(y in near[x] for x, y in combinations(m, 2))) for n, m in near.items()}

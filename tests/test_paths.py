@@ -193,3 +193,24 @@ def test_ontology_given_schema(spark, tmp_path):
     assert graph.graph().edges.count() == 2
     with pytest.raises(ValueError):
         OntologyGraph(spark, str(tmp_path), "other")
+
+
+def test_anchors_grow_once(spark, monkeypatch):
+    """A hundred pairs at one supplier share the paths from it."""
+    edges = [(f"o{i}", f"p{i % 7}", "r", 1.0 + i) for i in range(40)] + [(f"p{i}", "s", "r", 1.0) for i in range(7)] + [(f"o{i}", f"c{i % 10}", "r", 1.0) for i in range(40)]
+    graph = Graph(spark.createDataFrame([(n, "t", n) for e in edges for n in e[:2]], "id string, type string, name string").distinct(), spark.createDataFrame(edges, "src string, dst string, relation string, weight double"))
+    pairs = spark.createDataFrame([(f"q{i}", f"c{i % 10}", "s") for i in range(100)], "qid string, a string, b string")
+    grown, sizes = B._grown, []
+
+    def watched(paths, near):
+        out = grown(paths, near)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "_grown", watched)
+    got = B.bridges(graph, pairs).collect()
+    assert sorted(sizes) == [7, 40]  # the supplier's parts and the customers' orders
+    for q in range(100):
+        c, mine = f"c{q % 10}", [r for r in got if r["qid"] == f"q{q}"]
+        want = sorted((-min(1.0, 1.0 + i), f"{c}>o{i}>p{i % 7}>s") for i in range(40) if i % 10 == q % 10)[:5]
+        assert [r["path"] for r in sorted(mine, key=lambda r: r["rank"])] == [p for _, p in want]
