@@ -214,3 +214,23 @@ def test_clustering_asks_with_the_fewer(spark):
             near.setdefault(str(a), set()).add(str(b)), near.setdefault(str(b), set()).add(str(a))
     got = {r["id"]: (r["degree"], r["triangles"]) for r in hub.clustering(spark.createDataFrame([(str(a), str(b), 1.0) for a, b in pairs] * 2, "src string, dst string, weight double")).collect()}
     assert got == {n: (len(m), sum(y in near[x] for x, y in combinations(m, 2))) for n, m in near.items()}
+
+
+def test_gate_within_groups(spark, monkeypatch):
+    """The same as gating all pairs of a group, none of which is made first: pairs without common neighbours are not joined."""
+    import random
+
+    from quern.operators import merge
+    from quern.operators.hub import Graph
+
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(f"P{rng.randrange(30)}", f"S{rng.randrange(9)}", "r", 1.0) for _ in range(80)] + [("S1", "P2", "r", 1.0)], "src string, dst string, relation string, weight double")
+    graph = Graph(spark.createDataFrame([("P1",)], "id string"), edges)
+    rows = [(f"P{i}", i % 4, i) for i in range(36)] + [("P1", 1, 1)]
+    pairs = spark.createDataFrame([(f"P{i}", f"P{j}") for i in range(36) for j in range(i + 1, 36) if i % 4 == j % 4], "a string, b string")
+    found = lambda df: sorted((r["a"], r["b"], round(r["overlap"], 9)) for r in df.collect())
+    for least in (0.02, 0.3, 0.6):
+        got = found(merge.topology_gate_within(spark.createDataFrame(rows, "id string, group int, place int"), graph, least))
+        assert got == found(merge.topology_gate(pairs, graph, least)) and len(got) > 30
+    with pytest.raises(ValueError):
+        merge.topology_gate_within(pairs, graph, 0.0)
