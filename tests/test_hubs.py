@@ -39,3 +39,14 @@ def test_beam(spark, town, monkeypatch, top_k):
     monkeypatch.setattr(traverse, "_heaviest", lambda near, most: near)
     assert got == rows(traverse.beam(town, seeds, width=4, top_k=top_k))
     assert few < 11 * 4 * 40 < most()
+
+
+def test_anchor_hybrid(spark, town, monkeypatch):
+    seeds = spark.createDataFrame([(f"q{i}", f"n{i:03}") for i in range(10)], "qid string, id string")
+    asked, texts = seeds.selectExpr("qid", "'m01 m07' AS text"), town.nodes.selectExpr("id", "name AS text")
+    most = watched(monkeypatch, traverse)
+    got = rows(traverse.anchor_hybrid(town, seeds, texts, asked, hops=2, top_k=6))
+    few = most()
+    monkeypatch.setattr(traverse, "best_neighbours", lambda near, deg, most: near)
+    assert got == rows(traverse.anchor_hybrid(town, seeds, texts, asked, hops=2, top_k=6)) and len(got) == 60
+    assert few < 10 * 25 < SPOKES < most()
