@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quern.operators import traverse
+from quern.operators import prizes, traverse
 from quern.operators.hub import Graph
 
 SPOKES = 400
@@ -50,3 +50,16 @@ def test_anchor_hybrid(spark, town, monkeypatch):
     monkeypatch.setattr(traverse, "best_neighbours", lambda near, deg, most: near)
     assert got == rows(traverse.anchor_hybrid(town, seeds, texts, asked, hops=2, top_k=6)) and len(got) == 60
     assert few < 10 * 25 < SPOKES < most()
+
+
+def test_balls_end_at_the_hub(spark, town, monkeypatch):
+    """With prizes of 1.6 and edges of 1 the ball around a spoke holds the hub and nothing behind it, which is never looked at."""
+    steps, ends = traverse.bounded(traverse.both_ways(town.edges).selectExpr("*", "1.0D AS cost"))
+    reach = spark.createDataFrame([("q", "n300", 1.6), ("q", "n301", 1.6), ("q", "nowhere", 1.6)], "qid string, source string, radius double")
+    rounds = []
+    broadcast = traverse.F.broadcast
+    monkeypatch.setattr(traverse.F, "broadcast", lambda df: rounds.append(df.count()) or broadcast(df))
+    ball = traverse.balls(steps, ends, reach)
+    assert rounds == [2] and {"hub", "n300", "n301", "nowhere"} <= {r["id"] for r in ball.collect()}
+    up = prizes.upward(steps).selectExpr("lo", "hi", "1.0D AS cost")
+    assert [(r["a"], r["b"], r["d"]) for r in prizes.meetings(ball, up).collect()] == [("n300", "n301", 2.0)]
