@@ -52,6 +52,17 @@ def test_anchor_hybrid(spark, town, monkeypatch):
     assert few < 10 * 25 < SPOKES < most()
 
 
+def test_steiner(spark, town, monkeypatch):
+    """Two terminals that share a cheap neighbour don't ask what lies behind the hub."""
+    seeds = spark.createDataFrame([("x", "n001", 1), ("x", "n009", 2)], "qid string, id string, rank int")
+    most = watched(monkeypatch, traverse)
+    edges = spark.createDataFrame([("n001", "bridge", "r", 9.0), ("bridge", "n009", "r", 9.0)], "src string, dst string, relation string, weight double")
+    graph = Graph(town.nodes.union(spark.createDataFrame([("bridge", "t", "b")])), town.edges.union(edges))
+    got = {(r["qid"], r["id"]): r["role"] for r in traverse.steiner(graph, seeds, min_nodes=0).collect()}
+    assert got == {("x", "n001"): "terminal", ("x", "n009"): "terminal", ("x", "bridge"): "steiner"}
+    assert most() < SPOKES / 4
+
+
 def test_balls_end_at_the_hub(spark, town, monkeypatch):
     """With prizes of 1.6 and edges of 1 the ball around a spoke holds the hub and nothing behind it, which is never looked at."""
     steps, ends = traverse.bounded(traverse.both_ways(town.edges).selectExpr("*", "1.0D AS cost"))
