@@ -58,3 +58,26 @@ def test_texts_travel_once(spark, monkeypatch):
     assert made[0][1] == 1 and len(whole) == 3000
     monkeypatch.setattr(lexical, "CELLS", 9000)
     assert rows(lexical.bm25_top(corpus, queries, 3)) == whole == rows(retrieve.top(retrieve.bm25(corpus, queries), 3))
+
+
+def test_counted_in_slices_of_asked_words(monkeypatch):
+    """A batch is counted some words at a time, and only what is asked goes on; lengths stay those of whole texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "SLICE", 10)
+    texts = [[1, 2, 1], [], [5] * 25, [2, 9], [7]]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("abcde")), pa.array(texts, pa.list_(pa.int64()))], names=["id", "h"])
+    parts = list(lexical._counted(iter([batch, batch.slice(0, 0)]), np.array([1, 2, 5])))
+    assert len(parts) > 1
+    got = {r["id"]: (r["n"], dict(zip(r["h"], r["tf"]))) for part in parts for r in part.to_pylist()}
+    assert got == {"a": (3, {1: 2, 2: 1}), "b": (0, {}), "c": (25, {5: 25}), "d": (2, {2: 1}), "e": (1, {})}
+    assert sum(part.num_rows for part in lexical._counted(iter([batch]), np.zeros(0, np.int64))) == 5
+
+
+def test_bm25_query_goes_in_blocks(spark, sf_dir, monkeypatch):
+    """The benchmark's BM25 shuffles counted texts and no row for each text and term."""
+    from quern.plans import retrieval
+
+    monkeypatch.setattr(retrieval.R, "bm25", None)
+    assert retrieval.bm25_topk(spark, sf_dir).count() > 0
