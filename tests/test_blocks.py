@@ -133,3 +133,15 @@ def test_similar_pairs_travel_in_few_blocks(spark):
 def blocks_of(df) -> int:
     """How many blocks a plan deals its rows to: what its sequence of partners ends with, and one."""
     return int(re.search(r"sequence\(block#?\d*L?, (\d+)", df._jdf.queryExecution().toString()).group(1)) + 1
+
+
+def test_pairs_go_to_the_texts(spark, tmp_path):
+    """Texts that are verified are not shuffled: the few pairs are carried to them."""
+    docs = spark.createDataFrame([(k, f"a b c d{k} e f g") for k in range(40)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    items = spark.createDataFrame([(1, "b c d7 e f"), (2, "d9"), (3, "nowhere at all in it")], "item_id long, text string")
+    found = R.containing_pairs(items, docs)
+    assert {tuple(r) for r in found.collect()} == {(1, 7), (2, 9)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
