@@ -207,12 +207,9 @@ SELECT key, round(CASE WHEN na = 0 OR m1 = 0 THEN 0 ELSE (CASE WHEN na >= nt THE
 def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed BLEU of up to four words."""
     words = _pairs(spark, sf_dir).select("key", T.ascii_tokens(F.col("answer")).alias("a"), T.ascii_tokens(F.col("truth")).alias("t"))
-    joined, counts = words.select("key", F.size("a").alias("na"), F.size("t").alias("nt")), []
-    for n in (1, 2, 3, 4):
-        rows = words.select("key", M.ngrams(F.col("a"), n).alias("a"), M.ngrams(F.col("t"), n).alias("t")) if n > 1 else words
-        joined = joined.join(M.overlap_counts(rows, "key", "a", "t").select("key", F.col("common").alias(f"m{n}")), "key")
-        counts.append((F.col(f"m{n}"), F.greatest(F.col("na") - (n - 1), F.lit(0))))
-    return joined.select("key", F.round(M.bleu(counts, F.col("na"), F.col("nt")), 6).alias("bleu"))
+    scored = words.select("key", F.size("a").alias("na"), F.size("t").alias("nt"), M.common_grams("a", "t").alias("m"))
+    counts = [(F.col("m")[n], F.greatest(F.col("na") - n, F.lit(0))) for n in range(4)]
+    return scored.select("key", F.round(M.bleu(counts, F.col("na"), F.col("nt")), 6).alias("bleu"))
 
 
 @query("""SELECT event_id, round(CASE WHEN event_id % 7 = 0 AND event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN value WHEN event_id % 11 = 0 THEN user_id ELSE (value + user_id) / 2.0 END, 4)::DOUBLE AS score FROM events""")

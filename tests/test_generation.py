@@ -211,3 +211,11 @@ def test_unspaced_words_against_all_splits(spark, sf_dir):
         words = set(re.findall("[a-z]+", texts[r["conv_id"], r["turn"]]))
         assert r["found"] == pytest.approx(len(words & set(r["words"].split())) / max(1, len(words)), abs=1e-6)
     assert sum(r["found"] for r in got) > 0
+
+
+def test_common_grams_row_by_row(spark):
+    """Runs of up to four tokens are counted where the row lies, without a shuffle."""
+    rows = spark.createDataFrame([(1, list("abcab"), list("abxab")), (2, [], ["a"]), (3, None, None), (4, list("aaaa"), list("aa"))], "k int, a array<string>, t array<string>")
+    found = rows.select("k", M.common_grams("a", "t").alias("m"))
+    assert {r["k"]: r["m"] for r in found.collect()} == {1: [4, 2, 0, 0], 2: [0] * 4, 3: [0] * 4, 4: [2, 1, 0, 0]}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
