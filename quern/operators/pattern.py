@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .hub import Graph
+from .lineage import cut
+from .sizes import carried
 
 
 @dataclass(frozen=True)
@@ -72,20 +74,33 @@ def select_each(graph: Graph, patterns: DataFrame) -> DataFrame:
     Patterns are parsed where they lie. Those with names meet the nodes of such
     names and the triples around these; those with relations alone meet the
     triples of these relations; the others, and those that found nothing,
-    the triples between their labels.
+    the triples between their labels. Names and relations go to the triples
+    first, and only what they meet asks for its ends' types; of the nodes only
+    those of mentioned types are asked, unless a pattern mentions none.
     """
     said = patterns.select("qid", _said("pattern").alias("m")).select("qid", "m.names", *[F.transform(f"m.{c}", F.lower).alias(c) for c in ("labels", "relations")])
+    said = cut(said)
     nodes = graph.nodes.select("id", "name", F.lower("type").alias("type"))
-    ends = graph.edges.select("src", "relation", "dst").distinct()
-    typed = ends.join(nodes.select(F.col("id").alias("src"), F.col("type").alias("st")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("type").alias("dt")), "dst")
+    ends = graph.edges.select("src", "relation", "dst")
+    of_types = lambda rows: nodes.join(carried(rows.select(F.explode("labels").alias("type")).distinct()), "type", "left_semi")
+
+    def typed(df: DataFrame, known: DataFrame) -> DataFrame:
+        """`df` (src, dst, ...) with its ends' types; ends that aren't known go."""
+        known = carried(known.select("id", "type"))
+        return df.join(known.select(F.col("id").alias("src"), F.col("type").alias("st")), "src").join(known.select(F.col("id").alias("dst"), F.col("type").alias("dt")), "dst")
+
     fits = (F.size("labels") == 0) | (F.array_contains("labels", F.col("st")) & F.array_contains("labels", F.col("dt")))
     related = (F.size("relations") == 0) | F.array_contains("relations", F.lower("relation"))
-    named = said.where(F.size("names") > 0).select("qid", "labels", "relations", F.explode("names").alias("name")).join(nodes.select("id", "name"), "name")
-    shown = lambda df: df.select("qid", "src", "relation", "dst")
-    around = shown(named.join(typed, F.col("id") == F.col("src")).where(fits & related)).unionByName(shown(named.join(typed, F.col("id") == F.col("dst")).where(fits & related)))
+    asking = said.where((F.size("names") > 0) | (F.size("relations") > 0))
+    known = nodes if not asking.where(F.size("labels") == 0).isEmpty() else of_types(asking)
+    named = said.where(F.size("names") > 0).select("qid", "labels", "relations", F.explode("names").alias("name"))
+    named = carried(cut(nodes.select("id", "name").join(carried(named), "name").drop("name")))
     bare = said.where((F.size("names") == 0) & (F.size("relations") > 0)).select("qid", "labels", F.explode("relations").alias("low"))
-    by_relation = shown(bare.join(typed.withColumn("low", F.lower("relation")), "low").where(fits))
-    narrow = around.unionByName(by_relation).distinct()
-    rest = said.where(F.size("labels") > 0).join(narrow.select("qid").distinct(), "qid", "left_anti")
+    shown = lambda df: df.select("qid", "src", "relation", "dst")
+    met = lambda df: df.select("qid", "labels", "src", "relation", "dst")
+    touched = met(ends.join(named, F.col("src") == F.col("id")).where(related)).unionByName(met(ends.join(named, F.col("dst") == F.col("id")).where(related)))
+    touched = touched.unionByName(met(ends.withColumn("low", F.lower("relation")).join(carried(bare), "low")))
+    narrow = cut(shown(typed(touched, known).where(fits)).distinct())
+    rest = cut(said.where(F.size("labels") > 0).join(narrow.select("qid").distinct(), "qid", "left_anti"))
     pairs = rest.select("qid", F.explode("labels").alias("st"), "labels").select("qid", "st", F.explode("labels").alias("dt"))
-    return narrow.unionByName(shown(pairs.join(typed, ["st", "dt"]))).distinct()
+    return narrow.unionByName(shown(typed(ends, of_types(rest)).join(carried(pairs), ["st", "dt"])).distinct())
