@@ -151,3 +151,23 @@ def test_contexts_are_found_once(spark, monkeypatch):
     lines, ids = anchors.answer_contexts(hub.Graph(nodes, edges), spark.createDataFrame([(7, "1")], "qid int, id string"))
     assert {r["context"] for r in lines.collect()} == {"p ann", "p bo", "1 -[knows]-> 2"} and ids.count() == 2
     assert kept == [["qid", "id", "rank"]]
+
+
+def test_small_frontiers_go_to_the_edges(spark, monkeypatch):
+    """Anchors, frontiers and their ends are carried to the edges; the paths and nodes are the same without."""
+    from quern.operators import bridges, hub, traverse
+
+    nodes = spark.createDataFrame([(c,) for c in "abcdef"], "id string")
+    edges = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.0), ("a", "d", 3.0), ("d", "c", 2.0), ("b", "d", 5.0), ("c", "e", 1.0)], "src string, dst string, weight double")
+    g, pairs = hub.Graph(nodes, edges), spark.createDataFrame([("q", "a", "c"), ("q", "a", "e"), ("r", "f", "a")], "qid string, a string, b string")
+    seeds = spark.createDataFrame([("q", "a"), ("r", "f")], "qid string, id string")
+    went, carried = [], bridges.carried
+
+    def both(kept):
+        for module in (bridges, traverse):
+            monkeypatch.setattr(module, "carried", lambda df: (went.append(df.columns), carried(df) if kept else df)[1])
+        return sorted(map(repr, bridges.bridges(g, pairs).collect())), *[sorted(map(repr, part.collect())) for part in traverse.khop(g, seeds, 2, 3)]
+
+    found = both(True)
+    assert ["qid", "src"] in went and ["src"] in went and ["lo"] in went and ["anchor", "path", "end", "strength"] in went
+    assert both(False) == found and any("a>d>c>e" in r for r in found[0]) and len(found[1]) == 4
