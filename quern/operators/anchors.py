@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .hub import Graph
+from .lineage import cut
 from .retrieve import contexts
 from .traverse import edges_between, khop
 
@@ -79,7 +80,7 @@ def answer_contexts(graph: Graph, seeds: DataFrame, hops: int = 1, top_k: int =
     """
     near, _ = khop(graph, seeds, hops, top_k)
     place = Window.partitionBy("qid").orderBy(F.desc("degree"), "hop", "id")
-    ids = near.withColumnRenamed("rank", "degree").withColumn("rank", F.row_number().over(place)).select("qid", "id", "rank")
+    ids = cut(near.withColumnRenamed("rank", "degree").withColumn("rank", F.row_number().over(place)).select("qid", "id", "rank"))  # found once, for nodes and both ends
     nodes = ids.join(graph.nodes.select("id", F.concat_ws(" ", "type", "name").alias("description")), "id")
     line = F.format_string("%s -[%s]-> %s", "src", "relation", "dst")
     heavy = Window.partitionBy("qid").orderBy(F.desc("weight"), "src", "relation", "dst")
