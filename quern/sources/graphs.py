@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.hub import Graph
+from ..operators.lineage import cut
+from ..operators.sizes import carried
 
 _DATA = "array<struct<_key:string,_VALUE:string>>"
+#: How many rows a written file has at most, as a reader takes a file whole.
+LINES = 400_000
 
 
 def read_graphml(spark: SparkSession, path: str) -> Graph:
@@ -22,6 +26,7 @@ def read_graphml(spark: SparkSession, path: str) -> Graph:
     read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("file", F.col("_metadata.file_path"))
     keys = read("key", "_id string, `_attr.name` string, _for string").select("file", F.col("_id").alias("key"), F.col("`_attr.name`").alias("named"), F.col("_for").alias("of"))
     names = keys.groupBy("file").agg(*[F.map_from_entries(F.collect_set(F.when(F.coalesce("of", F.lit("all")).isin("all", kind), F.struct("key", "named")))).alias(kind) for kind in ("node", "edge")])
+    names = carried(cut(names))  # a row for each file goes to the rows, which are not gathered by file
     nodes = read("node", f"_id string, data {_DATA}").join(names, "file", "left")
     edges = read("edge", f"_source string, _target string, data {_DATA}").join(names, "file", "left")
 
@@ -50,7 +55,7 @@ def _quoted(c: Column) -> Column:
 
 
 def write_graphml(graph: Graph, path: str) -> None:
-    """The graph as a folder of GraphML files: each is whole by itself, with the nodes or the edges of one part.
+    """The graph as a folder of GraphML files: each is whole by itself, with at most LINES rows, nodes or edges of one part.
 
     Nodes have type and name, edges relation and weight. A reader of the folder
     finds every node and edge once; no part is gathered anywhere.
@@ -61,13 +66,20 @@ def write_graphml(graph: Graph, path: str) -> None:
     data = lambda k, c: F.concat(F.lit(f'<data key="{k}">'), _quoted(c), F.lit("</data>"))
     node = F.concat(F.lit('<node id="'), _quoted(F.col("id")), F.lit('">'), data("n0", F.col("type")), data("n1", F.col("name")), F.lit("</node>"))
     edge = F.concat(F.lit('<edge source="'), _quoted(F.col("src")), F.lit('" target="'), _quoted(F.col("dst")), F.lit('">'), data("e0", F.col("relation")), data("e1", F.col("weight")), F.lit("</edge>"))
-    # A row for the head and one for the foot of each part of the rows, which stay in order within their file.
+    # A row for the head and one for the foot of each file's rows, which stay in order; the writer begins a file after so many rows.
+    most = LINES - 2
     lines = graph.nodes.select(node.alias("value")).unionByName(graph.edges.select(edge.alias("value")))
 
     def framed(parts):
         yield [head]
+        left = most
         for part in parts:
-            yield part["value"].tolist()
+            values = part["value"].tolist()
+            while len(values) > left:
+                yield [*values[:left], "</graph></graphml>", head]
+                values, left = values[left:], most
+            yield values
+            left -= len(values)
         yield ["</graph></graphml>"]
 
     def whole(parts):
@@ -76,7 +88,7 @@ def write_graphml(graph: Graph, path: str) -> None:
         for values in framed(parts):
             yield pd.DataFrame({"value": values})
 
-    lines.mapInPandas(whole, "value string").write.mode("overwrite").text(path)
+    lines.mapInPandas(whole, "value string").write.mode("overwrite").option("maxRecordsPerFile", LINES).text(path)
 
 
 def write_json(graph: Graph, path: str) -> None:
