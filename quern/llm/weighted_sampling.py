@@ -167,7 +167,10 @@ def edited(docs: DataFrame) -> DataFrame:
     """
     rows = keyed(docs)
     order = Window.partitionBy("block").orderBy("key")
-    placed = rows.withColumn("block", block_of(F.col("key"), borders(rows))).select(
+    cuts = borders(rows)
+    # As many partitions as blocks: what a task's words take stays that of a few blocks, however many rows there are.
+    dealt = rows.withColumn("block", block_of(F.col("key"), cuts)).repartition(len(cuts) + 1, "block")
+    placed = dealt.select(
         "block", "key", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("follower")
     )
     n = F.length("text")

@@ -55,6 +55,14 @@ def test_borders_are_bounded(spark):
     assert len(sizes) == len(cuts) + 1 and max(sizes) < 4 * 20_000 / len(sizes)
 
 
+def test_tasks_hold_few_blocks(spark, monkeypatch):
+    """A task's words must not grow with the table: rows are dealt to more tasks where there are more blocks."""
+    monkeypatch.setattr(W.borders, "__defaults__", (100, 1 << 15, 3))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), "id").alias("text"))
+    sizes = [r["count"] for r in W.edited(docs).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1000
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 9, 27, 40])
 def test_block_of(spark, n):
     cuts = [f'{{"n":false,"i":{i},"h":{h},"m":0}}' for i in range(-3, 20) for h in (-5, 5)][:n]
