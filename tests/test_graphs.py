@@ -5,8 +5,9 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from quern.operators import hub, merge, pattern, retrieve, traverse
+from quern.operators import hub, merge, pattern, retrieve, sizes, traverse
 from quern.plans import catalogue
 
 
@@ -36,6 +37,19 @@ def test_kg_quality_whole_graph(spark, sf_dir):
     assert got["avg_clustering"] == pytest.approx(linked / len(nodes), abs=1e-4)
 
 
+def test_large_line_tables_are_dealt_to_more_tasks(spark, sf_dir, monkeypatch):
+    """What a task groups stays the same however many lines there are, and so do the edges and degrees."""
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain = hub.trade_graph(spark, sf_dir).edges
+    edges, degrees = rows(plain), rows(hub.degrees(plain))
+    monkeypatch.setattr(sizes.dealt, "__kwdefaults__", {"each": 200})
+    graph = hub.trade_graph(spark, sf_dir).edges
+    assert (rows(graph), rows(hub.degrees(graph))) == (edges, degrees)
+    for relation in ("supplied_by", "contains"):
+        tasks = [r["count"] for r in graph.where(F.col("relation") == relation).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) > 20 and max(tasks) < 400
+
+
 def cheapest(near, start, within=None):
     """Least costs from one node, over all nodes or some."""
     best, todo = {}, [(0.0, start)]
