@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,27 +90,32 @@ def aged(hits: DataFrame, now: Column, half_life: float) -> DataFrame:
     return weighted.withColumn("rank", F.row_number().over(order))
 
 
-_STATE = "micros long, fact_id long, value double, changes long, late long"
+_STATE = "attribute array<string>, micros array<long>, fact_id array<long>, value array<double>, changes array<long>, late array<long>"
 CHANGE = FACT + ", changes long, late long"
 
 
 def _follow(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One attribute's state: its newest fact, how often that changed, and how many facts came too late to matter."""
-    held = list(state.get) if state.exists else None
-    before = held and held[:2]
-    changes, late = (held[3], held[4]) if held else (0, 0)
+    """One entity's state: of each attribute its newest fact, how often that changed, and how many facts came too late to matter."""
+    held = {a: list(x) for a, *x in zip(*state.get)} if state.exists else {}
+    before = {a: x[:2] for a, x in held.items()}
     for rows in batches:
         # Plain numbers, as the state keeps them.
-        for micros, fact_id, value in zip(rows["micros"].tolist(), rows["fact_id"].tolist(), rows["value"].tolist()):
-            if held is None or (micros, fact_id) > (held[0], held[1]):
-                held = [micros, fact_id, value]
-            elif (micros, fact_id) != (held[0], held[1]):
-                late += 1
-    moved = held[:2] != before
-    changes += moved
-    state.update((*held[:3], changes, late))
+        for attribute, micros, fact_id, value in zip(*(rows[c].tolist() for c in ("attribute", "micros", "fact_id", "value"))):
+            x = held.get(attribute)
+            if x is None:
+                held[attribute] = [micros, fact_id, value, 0, 0]
+            elif (micros, fact_id) > (x[0], x[1]):
+                x[:3] = micros, fact_id, value
+            elif (micros, fact_id) != (x[0], x[1]):
+                x[4] += 1
+    moved = [a for a, x in held.items() if x[:2] != before.get(a)]
+    for a in moved:
+        held[a][3] += 1
+    state.update(tuple(map(list, zip(*((a, *x) for a, x in held.items())))))
     if moved:
-        yield pd.DataFrame({"entity": [key[0]], "attribute": [key[1]], "ts": [pd.Timestamp(held[0], unit="us")], "fact_id": [held[1]], "value": [held[2]], "changes": [changes], "late": [late]})
+        micros, *rest = zip(*(held[a] for a in moved))
+        fact_id, value, changes, late = map(list, rest)
+        yield pd.DataFrame({"entity": key[0], "attribute": moved, "ts": np.array(micros, "datetime64[us]"), "fact_id": fact_id, "value": value, "changes": changes, "late": late})
 
 
 def stream_newest(facts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -119,9 +125,11 @@ def stream_newest(facts: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     are counted and change nothing, and so do repeated ones. What is there is
     worked off, then it ends; started again with its checkpoint it goes on
     where it ended. newest() of all rows written is the state of the world.
+    An entity's attributes share one row of state, as each group costs a call
+    with its own frames.
     """
     keyed = facts.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))).where("micros is not null and fact_id is not null")
-    moved = keyed.select(*KEY, "micros", "fact_id", "value").groupBy(*KEY).applyInPandasWithState(_follow, CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
+    moved = keyed.select(*KEY, "micros", "fact_id", "value").groupBy("entity").applyInPandasWithState(_follow, CHANGE, _STATE, "append", GroupStateTimeout.NoTimeout)
     return moved.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
 
 

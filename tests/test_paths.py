@@ -125,6 +125,24 @@ def test_stream_with_late_rows_goes_on_from_its_checkpoint(spark, tmp_path):
     assert last["changes"] >= 2 and last["late"] > 0  # the state of the first run is still there
 
 
+def test_stream_keeps_one_state_for_each_entity(spark, tmp_path):
+    """A call and a row of state for each entity, not for each of its attributes; changes are still counted by attribute."""
+    rows = [r for r in facts_of(11, 240) if r[4] is not None] + [("e0", "far", datetime(2400, 1, 1), 10**7, 1.0), ("e1", None, T0, 10**7 + 1, None), ("e1", "none", T0, 10**7 + 2, None)]
+    at, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[:100], rows[100:]):
+        spark.createDataFrame(part, FACT).coalesce(1).write.mode("append").parquet(at)
+    facts = S.read_facts(spark, at, FACT, list(map(F.col, ("entity", "attribute", "ts", "fact_id", "value"))), files=1)
+    stream = S.stream_newest(facts, out, str(tmp_path / "checkpoint"))
+    stream.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in stream.recentProgress if p["stateOperators"]]
+    assert max(held) == len({r[0] for r in rows})
+    first, both = by_key(rows[:100]), by_key(rows)
+    want = {(*k, *v[-1], 1 + (k in first and first[k][-1] != v[-1])) for k, v in both.items()}
+    written = spark.read.schema(S.CHANGE).parquet(out)
+    last = written.groupBy("entity", "attribute").agg(F.max_by(F.struct("ts", "fact_id", "value", "changes"), F.struct("ts", "fact_id")).alias("x")).select("entity", "attribute", "x.*")
+    assert {tuple(r) for r in last.collect()} == want
+
+
 def triples_of(seed, n):
     rng = random.Random(seed)
     return [(f"s{rng.randrange(30)}", rng.choice(["A", "B", "C", None]), rng.choice(["r1", "r2", None]), f"o{rng.randrange(10)}", rng.choice("XY"), i) for i in range(n)]
