@@ -81,3 +81,14 @@ def test_bm25_query_goes_in_blocks(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(retrieval.R, "bm25", None)
     assert retrieval.bm25_topk(spark, sf_dir).count() > 0
+
+
+def test_texts_stay_where_they_lie(spark, monkeypatch):
+    """However many blocks of queries there are, no text is dealt to them."""
+    corpus = spark.range(200).selectExpr("id", "concat('w', id % 7, ' w', id % 11, ' x', id % 40) text")
+    queries = corpus.where("id % 10 = 0").withColumnRenamed("id", "qid")
+    monkeypatch.setattr(lexical, "QUERIES", 5)
+    top, plans = lexical.top, []
+    monkeypatch.setattr(lexical, "top", lambda scores, k: plans.append(scores._jdf.queryExecution().executedPlan().toString()) or top(scores, k))
+    assert rows(lexical.bm25_top(corpus, queries, 3)) == rows(retrieve.top(retrieve.bm25(corpus, queries), 3))
+    assert len(plans) == 4 and not any("Exchange" in p or "CoGroup" in p for p in plans)
