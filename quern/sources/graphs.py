@@ -57,6 +57,7 @@ def _quoted(c: Column) -> Column:
 def write_graphml(graph: Graph, path: str) -> None:
     """The graph as a folder of GraphML files: each is whole by itself, with at most LINES rows, nodes or edges of one part.
 
+    Files are gzip files, as their markup takes many times what the tables do.
     Nodes have type and name, edges relation and weight. A reader of the folder
     finds every node and edge once; no part is gathered anywhere.
     """
@@ -88,7 +89,7 @@ def write_graphml(graph: Graph, path: str) -> None:
         for values in framed(parts):
             yield pd.DataFrame({"value": values})
 
-    lines.mapInPandas(whole, "value string").write.mode("overwrite").option("maxRecordsPerFile", LINES).text(path)
+    lines.mapInPandas(whole, "value string").write.mode("overwrite").option("maxRecordsPerFile", LINES).option("compression", "gzip").text(path)
 
 
 def write_json(graph: Graph, path: str) -> None:

@@ -203,3 +203,13 @@ def test_catalogue():
     with pytest.raises(KeyError):
         c.resolve("y")
     assert tables.artifact_name("csr", "khop", "hybrid", 5, "t", True) == "csr_khop_hybrid_k5_t_fast_test"
+
+
+def test_graphml_takes_little_room(spark, tmp_path):
+    """Markup is compressed: a graph's files take a fifth of their text at most."""
+    edges = spark.range(5000).selectExpr("concat('O:', id) src", "concat('P:', id % 97) dst", "'contains' relation", "1.0D weight")
+    nodes = spark.createDataFrame([("a", "t", "a")], "id string, type string, name string")
+    graphs.write_graphml(hub.Graph(nodes, edges), str(tmp_path / "g"))
+    text = spark.read.text(str(tmp_path / "g")).selectExpr("sum(length(value) + 1) n").first()["n"]
+    assert 0 < sum(p.stat().st_size for p in (tmp_path / "g").glob("part-*")) * 5 < text
+    assert graphs.read_graphml(spark, str(tmp_path / "g")).edges.count() == 5000
